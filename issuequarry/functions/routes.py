@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuequarry.functions import payload as P
@@ -67,30 +67,40 @@ def jira_site(v: Column) -> Column:
     )
 
 
-def route_struct(v: Column, source: Column, external_key: Column, repo: Column, project: Column) -> Column:
-    """Parts of the canonical route; null for issues that have none."""
-    src = F.lower(source)
-    slug = repo_slug(repo, v)
+def with_route(df: DataFrame) -> DataFrame:
+    """Add ``parts``, the canonical route and its parts; null for issues that have none.
+
+    Expects source, external_key, repo, project and the variant ``payload``.
+    The shared pieces get columns of their own, so that each is computed once
+    and the generated code stays small.
+    """
+    v, key = F.col("payload"), F.col("external_key")
+    pieces = df.withColumns({
+        "_slug": repo_slug(F.col("repo"), v), "_number": issue_number(key, v), "_site": jira_site(v),
+        "_key": _some(key), "_src": F.lower("source"),
+    })
+    slug, number, site, key = F.col("_slug"), F.col("_number"), F.col("_site"), F.col("_key")
+    github = (F.col("_src") == "github") & number.isNotNull()
+    jira = (F.col("_src") == "jira") & key.isNotNull()
     owner = F.when(slug.contains("/"), _before(slug, "/")).otherwise(F.lit("sandbox"))
-    name = F.coalesce(_after(slug, "/"), slug, F.lit("unknown"))
-    number = issue_number(external_key, v)
-    key = _some(external_key)
-    proj = F.coalesce(_some(project), _before(key, "-"))
-    site = jira_site(v)
-    none = F.lit(None).cast("string")
-    github = F.struct(
-        F.lit("github").alias("source"),
-        F.concat(F.lit("/gh/"), owner, F.lit("/"), name, F.lit("/issues/"), number).alias("route"),
-        owner.alias("owner"), name.alias("repo"), number.alias("number"),
-        none.alias("site"), none.alias("project"), none.alias("key"),
-    )
-    jira = F.struct(
-        F.lit("jira").alias("source"),
-        F.concat(F.lit("/jira/"), site, F.lit("/"), proj, F.lit("/"), key).alias("route"),
-        none.alias("owner"), none.alias("repo"), none.alias("number"),
-        site.alias("site"), proj.alias("project"), key.alias("key"),
+    split = pieces.withColumns({
+        "_owner": F.when(github, owner), "_name": F.when(github, F.coalesce(_after(slug, "/"), slug, F.lit("unknown"))),
+        "_proj": F.when(jira, F.coalesce(_some(F.col("project")), _before(key, "-"))),
+        "_kind": F.when(github, F.lit("github")).when(jira, F.lit("jira")),
+    })
+    is_github, is_jira = F.col("_kind") == "github", F.col("_kind") == "jira"
+    route = F.when(
+        is_github, F.concat(F.lit("/gh/"), F.col("_owner"), F.lit("/"), F.col("_name"), F.lit("/issues/"), number)
+    ).when(is_jira, F.concat(F.lit("/jira/"), site, F.lit("/"), F.col("_proj"), F.lit("/"), key))
+    parts = F.struct(
+        F.col("_kind").alias("source"), route.alias("route"), F.col("_owner").alias("owner"), F.col("_name").alias("repo"),
+        F.when(is_github, number).alias("number"), F.when(is_jira, site).alias("site"),
+        F.col("_proj").alias("project"), F.when(is_jira, key).alias("key"),
     )
-    return F.when((src == "github") & number.isNotNull(), github).when((src == "jira") & key.isNotNull(), jira)
+    made = F.when(F.col("_kind").isNotNull(), parts)
+    # Exploding one element keeps later predicates on the route from being pushed
+    # down as copies of all the expressions above.
+    return split.select(*df.columns, F.explode(F.array(made)).alias("parts"))
 
 
 def origin_url(parts: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from issuequarry.functions.stemming import stem
 
@@ -53,7 +54,7 @@ def word_count(col: Column) -> Column:
 _STEM_CACHE_LIMIT = 500_000
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem token arrays with a per-task memo of bounded size.
 

@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from issuequarry.functions.text import strip, word_count
 
@@ -33,7 +34,11 @@ TERM_MARKS = ("\uf8fd", "\uf8fc")
 EDIT_BUDGET = 15
 EDIT_RATIO = 0.25
 
-_SPAN = "struct<idx:int,kind:string,value:string,start:int,end:int>"
+_SPAN = T.StructType([
+    T.StructField("idx", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()),
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+])
+_PROTECTED = T.StructType([T.StructField("masked", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])
 _COMPILED = [(kind, re.compile(pattern, flags)) for kind, pattern, flags in ENTITY_PATTERNS]
 
 
@@ -53,7 +58,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-@F.pandas_udf(f"struct<masked:string,spans:array<{_SPAN}>>")
+@F.pandas_udf(_PROTECTED)
 def _protect(texts: pd.Series) -> pd.DataFrame:
     masked, found = [], []
     for text in texts:
@@ -152,7 +157,7 @@ def _edits(source: list[str], target: list[str], allowed: int) -> int:
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in blocks if tag != "equal")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _token_edits(source: pd.Series, target: pd.Series, allowed: pd.Series) -> pd.Series:
     return pd.Series([
         _edits(_WORD.findall(s or ""), _WORD.findall(t or ""), int(a)) for s, t, a in zip(source, target, allowed)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from issuequarry.functions import payload as P
 from issuequarry.operators import neighbors as N
 from issuequarry.operators import text_search as T
-from issuequarry.operators.viewer import result_url_column, route_column, with_payload
+from issuequarry.functions.routes import with_route
+from issuequarry.operators.viewer import result_url_column, with_payload
 
 # The constant parts of a proposal.
 PROPOSAL_LABELS = ("needs-triage",)
@@ -32,8 +33,8 @@ def search_params(queries: DataFrame) -> DataFrame:
 def shown(hits: DataFrame, issues: DataFrame) -> DataFrame:
     """Add title, route and URL to hits; only the hit issues have their payload parsed."""
     joined = hits.join(issues.select(*[F.col(c) for c in _SHOWN]), hits.issue_id == F.col("id"), "inner")
-    return with_payload(joined).select(
-        *hits.columns, "title", route_column()["route"].alias("route"), result_url_column().alias("url")
+    return with_route(with_payload(joined)).select(
+        *hits.columns, "title", F.col("parts.route").alias("route"), result_url_column().alias("url")
     )
 
 

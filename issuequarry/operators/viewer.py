@@ -20,13 +20,9 @@ def with_payload(issues: DataFrame) -> DataFrame:
     return issues.withColumn("payload", P.parse_payload(F.col("raw_json")))
 
 
-def route_column() -> Column:
-    return R.route_struct(*(F.col(c) for c in ("payload", "source", "external_key", "repo", "project")))
-
-
 def canonical_routes(issues: DataFrame) -> DataFrame:
     """Issue id, route and its parts; unroutable issues have nulls."""
-    return with_payload(issues).select("id", route_column().alias("parts")).select(
+    return R.with_route(with_payload(issues)).select(
         "id", F.col("parts.source").alias("route_source"), "parts.route", "parts.owner",
         F.col("parts.repo").alias("route_repo"), "parts.number", "parts.site",
         F.col("parts.project").alias("route_project"), "parts.key",
@@ -34,8 +30,7 @@ def canonical_routes(issues: DataFrame) -> DataFrame:
 
 
 def origin_urls(issues: DataFrame) -> DataFrame:
-    routed = with_payload(issues).select("id", route_column().alias("parts"))
-    return routed.select("id", "parts.route", R.origin_url(F.col("parts")).alias("origin_url"))
+    return R.with_route(with_payload(issues)).select("id", "parts.route", R.origin_url(F.col("parts")).alias("origin_url"))
 
 
 def result_url_column() -> Column:
@@ -210,7 +205,7 @@ def _summary_columns() -> list[Column]:
 
 
 def _routable(labelled: DataFrame) -> DataFrame:
-    return with_payload(labelled).withColumn("parts", route_column()).filter("parts is not null")
+    return R.with_route(with_payload(labelled)).filter("parts is not null")
 
 
 def viewer_summaries(issues: DataFrame, labels: DataFrame) -> DataFrame:
