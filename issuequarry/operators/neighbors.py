@@ -34,7 +34,7 @@ MAX_PIVOTS = 1024
 BOUND_BYTES = 64 << 20
 PAIRS_PER_KEY = 1024
 # Distances closer than this are ties, and ties go to the lower id.
-DECIMALS = 9
+DECIMALS = 12
 _KEY = ["model", "h1", "h2"]
 
 _BLOCK_SCHEMA = (
@@ -215,8 +215,8 @@ def _matrix_bytes(part: pd.DataFrame) -> bytes:
     return np.stack([np.asarray(v, dtype=np.float32) for v in part["embedding"]]).tobytes()
 
 
-def pack_vectors(points: DataFrame, router: Router, keep: int, block_rows: int) -> DataFrame:
-    """Blocks of the searched side: ids, matrix, and the ring of centre distances they cover."""
+def pack_vectors(points: DataFrame, router: Router, keep: int, block_rows: int) -> tuple[DataFrame, int]:
+    """Blocks of the searched side (ids, matrix, ring of centre distances), and their number."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block_id, part in _groups(batches, block_rows):
@@ -229,7 +229,8 @@ def pack_vectors(points: DataFrame, router: Router, keep: int, block_rows: int)
             })
 
     routed = _routed(points.select(*_KEY, "ids", "embedding"), router, "ids array<long>, ")
-    return written(routed.mapInPandas(pack, _BLOCK_SCHEMA), "blocks")
+    blocks, facts = written(routed.mapInPandas(pack, _BLOCK_SCHEMA), "blocks", n=F.count(F.lit(1)))
+    return blocks, facts["n"]
 
 
 class _HomeCell(Router):
@@ -242,8 +243,8 @@ class _HomeCell(Router):
         return self.router.vector_cells(points)[:1]
 
 
-def pack_queries(queries: DataFrame, router: Router, chunk_rows: int) -> DataFrame:
-    """Chunks of the asking side: keys, matrix, and the cells to visit."""
+def pack_queries(queries: DataFrame, router: Router, chunk_rows: int) -> tuple[DataFrame, int]:
+    """Chunks of the asking side (keys, matrix, cells to visit), and their number."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk_id, part in _groups(batches, chunk_rows):
@@ -257,7 +258,8 @@ def pack_queries(queries: DataFrame, router: Router, chunk_rows: int) -> DataFra
 
     distinct = _keyed(queries).groupBy(*_KEY).agg(F.any_value("embedding").alias("embedding"))
     routed = _routed(distinct, _HomeCell(router), "")
-    return written(routed.mapInPandas(pack, _CHUNK_SCHEMA), "chunks")
+    chunks, facts = written(routed.mapInPandas(pack, _CHUNK_SCHEMA), "chunks", n=F.count(F.lit(1)))
+    return chunks, facts["n"]
 
 
 def block_pairs(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -352,10 +354,10 @@ def _candidates(work: DataFrame, keep: int, metric: str) -> DataFrame:
 
 
 def _answers(
-    queries: DataFrame, blocks: DataFrame, chunks: DataFrame, k: int, keep: int, metric: str,
-    exclude_self: bool, overlapping: bool,
+    queries: DataFrame, packed_vectors: tuple[DataFrame, int], packed_queries: tuple[DataFrame, int], k: int,
+    keep: int, metric: str, exclude_self: bool, overlapping: bool,
 ) -> DataFrame:
-    n_blocks, n_chunks = blocks.count(), chunks.count()
+    (blocks, n_blocks), (chunks, n_chunks) = packed_vectors, packed_queries
     pairs = block_pairs(chunks, blocks).select("chunk_id", "block_id")
     work = _attach(pairs, blocks.select("block_id", "ids", F.col("mat").alias("bmat")), "block_id", "chunk_id", n_chunks)
     work = _attach(
@@ -383,17 +385,15 @@ def _answers(
     )
 
 
-def _exact_router(points: DataFrame, keep: int, metric: str, block_rows: int, max_pivots: int) -> PivotRouter:
-    facts = points.agg(
-        F.count("*").alias("n"), F.approx_count_distinct("model").alias("models"),
-        (F.max(l2_norm(F.col("embedding"))) if metric == "ip" else F.lit(None).cast("double")).alias("longest"),
-    ).first()
-    count = min(max_pivots, max(1, math.ceil(facts.n / (4 * block_rows))))
-    per_pivot = max(1, facts.models) * keep * 8
+def _exact_router(
+    points: DataFrame, facts: dict, keep: int, metric: str, block_rows: int, max_pivots: int
+) -> PivotRouter:
+    count = min(max_pivots, max(1, math.ceil(facts["n"] / (4 * block_rows))))
+    per_pivot = max(1, facts["models"]) * keep * 8
     count = max(1, min(count, BOUND_BYTES // per_pivot))
     picked = points.select("embedding").orderBy("h1", "h2").limit(count).collect()
-    pivots = stack([r.embedding for r in picked]) if picked else np.zeros((1, 1))
-    lift = None if metric != "ip" else float(facts.longest or 0.0)
+    pivots = stack([r.embedding for r in picked])
+    lift = None if metric != "ip" else float(facts["longest"] or 0.0)
     return PivotRouter(pivots, keep, lift, bounded=count * per_pivot <= BOUND_BYTES)
 
 
@@ -431,19 +431,29 @@ def exact_knn(
     equal values rank by id.
     """
     keep = k + int(exclude_self)
-    points = written(distinct_vectors(vectors, keep), "points")
-    router = _exact_router(points, keep, metric, block_rows, max_pivots)
-    blocks = pack_vectors(points, router, keep, block_rows)
-    router = _learn_bounds(router, blocks)
+    longest = F.max(l2_norm(F.col("embedding"))) if metric == "ip" else F.max(F.lit(None).cast("double"))
+    points, facts = written(
+        distinct_vectors(vectors, keep), "points",
+        n=F.count(F.lit(1)), models=F.approx_count_distinct("model"), longest=longest,
+    )
+    if not facts["n"]:
+        value = "similarity" if metric == "ip" else "distance"
+        return queries.limit(0).select(
+            "query_id", F.col("query_id").alias("issue_id"), F.lit(0).cast("bigint").alias("rank"),
+            F.lit(0.0).alias(value),
+        )
+    router = _exact_router(points, facts, keep, metric, block_rows, max_pivots)
+    packed = pack_vectors(points, router, keep, block_rows)
+    router = _learn_bounds(router, packed[0])
     chunks = pack_queries(queries, router, block_rows)
-    return _answers(queries, blocks, chunks, k, keep, metric, exclude_self, overlapping=False)
+    return _answers(queries, packed, chunks, k, keep, metric, exclude_self, overlapping=False)
 
 
 @dataclass
 class AnnIndex:
     """Packed vectors with the router that placed them; reusable for any query table."""
 
-    blocks: DataFrame
+    packed: tuple[DataFrame, int]
     router: Router
     keep: int
     overlapping: bool
@@ -456,9 +466,9 @@ class AnnIndex:
             raise ValueError(f"this index holds at most {self.keep} copies per vector")
         chunks = pack_queries(queries, self.router, BLOCK_ROWS // 8)
         found = _answers(
-            queries, self.blocks, chunks, k, k + int(exclude_self), "l2", exclude_self, self.overlapping
+            queries, self.packed, chunks, k, k + int(exclude_self), "l2", exclude_self, self.overlapping
         )
-        return found, block_pairs(chunks, self.blocks)
+        return found, block_pairs(chunks[0], self.packed[0])
 
     def search_with_cost(self, queries: DataFrame, k: int, exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
         """Neighbours, and one row with the share of all vector pairs that was compared."""
@@ -470,7 +480,7 @@ class AnnIndex:
         asked = _keyed(queries).agg(
             zero.alias("compared"), F.count_distinct(*_KEY).cast("double").alias("asked"), zero.alias("stored")
         )
-        stored = self.blocks.select(F.explode("ids").alias("ids")).agg(
+        stored = self.packed[0].select(F.explode("ids").alias("ids")).agg(
             zero.alias("compared"), zero.alias("asked"), F.count_distinct("ids").cast("double").alias("stored")
         )
         counts = compared.unionByName(asked).unionByName(stored)
@@ -492,8 +502,10 @@ def ivf_index(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = written(distinct_vectors(vectors, keep), "points")
-    drawn = points.orderBy("h1", "h2").limit(train_rows).select(
+    points, facts = written(distinct_vectors(vectors, keep), "points", n=F.count(F.lit(1)))
+    # The hash decides who is drawn, on every executor alike and without a sort.
+    every = max(1, math.ceil(facts["n"] / train_rows))
+    drawn = points.filter(F.pmod("h1", F.lit(every)) == 0).select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(drawn)
@@ -506,7 +518,7 @@ def projection_index(
     block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
     """Random-projection tables; a vector appears once per table."""
-    points = written(distinct_vectors(vectors, keep), "points")
+    points = written(distinct_vectors(vectors, keep), "points")[0]
     head = points.select(F.size("embedding").alias("dim")).first()
     router = ProjectionRouter.make(head.dim if head else 1, tables, width, seed)
     return AnnIndex(pack_vectors(points, router, keep, block_rows), router, keep, overlapping=True)

@@ -78,7 +78,7 @@ def hybrid_search(
     )
     weighted = both.join(queries.select("query_id", "alpha"), "query_id")
     blend = F.col("vector_score") * F.col("alpha") + F.col("text_score") * (F.lit(1.0) - F.col("alpha"))
-    scored = weighted.withColumn("score", F.round(blend, 9)).drop("alpha")
+    scored = weighted.withColumn("score", F.round(blend, 12)).drop("alpha")
     return shown(T.top_by_score(scored, "score", k), issues)
 
 

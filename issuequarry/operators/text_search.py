@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuequarry.functions.text import ENGLISH_STOP_WORDS, stem_tokens, tokens
-from issuequarry.session import written
+from issuequarry.session import checkpointed
 
 
 def document_text(title: Column, body: Column) -> Column:
@@ -127,7 +127,7 @@ def cover_density(hits: Column) -> Column:
 
 
 def text_rank(matches: DataFrame) -> DataFrame:
-    return matches.select("query_id", "issue_id", F.round(cover_density(F.col("hits")), 9).alias("text_score"))
+    return matches.select("query_id", "issue_id", F.round(cover_density(F.col("hits")), 12).alias("text_score"))
 
 
 def top_by_score(scored: DataFrame, score: str, k: Column | int) -> DataFrame:
@@ -143,14 +143,14 @@ def text_search(issues: DataFrame, queries: DataFrame, k: int = 10, stemmed: boo
     The match reads terms and postings several times, so both are written once
     instead of cutting every text anew.
     """
-    terms = written(query_terms(queries, stemmed), "terms")
-    postings = written(relevant_postings(issues, terms, stemmed), "postings")
+    terms = checkpointed(query_terms(queries, stemmed), "terms")
+    postings = checkpointed(relevant_postings(issues, terms, stemmed), "postings")
     return top_by_score(text_rank(text_match(postings, terms)), "text_score", k)
 
 
 def matching_issue_ids(issues: DataFrame, text: str, stemmed: bool = True) -> DataFrame:
     """Ids of the issues one query text matches, for facet search."""
     query = issues.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(text).alias("text"))
-    terms = written(query_terms(query, stemmed), "terms")
-    postings = written(relevant_postings(issues, terms, stemmed), "postings")
+    terms = checkpointed(query_terms(query, stemmed), "terms")
+    postings = checkpointed(relevant_postings(issues, terms, stemmed), "postings")
     return text_match(postings, terms).select(F.col("issue_id").alias("id"))

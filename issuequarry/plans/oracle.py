@@ -70,11 +70,11 @@ _CTES = {
   SELECT vec_id AS id, CASE WHEN vec_id <> original THEN original END AS duplicate_of
   FROM embeddings JOIN (SELECT label, min(vec_id) AS original FROM embeddings GROUP BY label) USING (label)""",
     "dists": """
-  SELECT a.issue_id AS query_id, b.issue_id, a.model, round(list_distance(a.embedding, b.embedding), 9) AS distance
+  SELECT a.issue_id AS query_id, b.issue_id, a.model, round(list_distance(a.embedding, b.embedding), 12) AS distance
   FROM vectors a JOIN vectors b ON a.model = b.model""",
     "dots": """
   SELECT a.issue_id, b.issue_id AS neighbor_id, a.model = b.model AS same,
-         round(list_inner_product(a.embedding, b.embedding), 9) AS similarity
+         round(list_inner_product(a.embedding, b.embedding), 12) AS similarity
   FROM vectors a JOIN vectors b ON a.issue_id <> b.issue_id""",
     "duptop": """
   SELECT id, duplicate_of, neighbor_id, similarity, rank FROM (
@@ -91,7 +91,7 @@ _CTES = {
   GROUP BY t.id, t.duplicate_of""",
     "near": """
   SELECT q.query_id, v.issue_id, distance, row_number() OVER (PARTITION BY q.query_id ORDER BY distance, v.issue_id) AS rank
-  FROM (SELECT q.query_id, v.issue_id, round(list_distance(q.embedding, v.embedding), 9) AS distance
+  FROM (SELECT q.query_id, v.issue_id, round(list_distance(q.embedding, v.embedding), 12) AS distance
         FROM queries q JOIN vectors v ON v.model = q.model) v JOIN queries q ON q.query_id = v.query_id""",
     "words": """
   SELECT issue_id, word AS term, pos FROM (
@@ -121,7 +121,7 @@ _CTES = {
     "covers": """
   SELECT query_id, issue_id, begin_at, min(place) AS place, min(pos) AS pos FROM ends GROUP BY query_id, issue_id, begin_at""",
     "ranked": """
-  SELECT c.query_id, c.issue_id, round(sum(0.1::DOUBLE / (1 + (c.pos - b.pos) - (c.place - c.begin_at))), 9) AS text_score
+  SELECT c.query_id, c.issue_id, round(sum(0.1::DOUBLE / (1 + (c.pos - b.pos) - (c.place - c.begin_at))), 12) AS text_score
   FROM covers c JOIN occurrences b ON b.query_id = c.query_id AND b.issue_id = c.issue_id AND b.place = c.begin_at
   GROUP BY c.query_id, c.issue_id""",
     "texttop": """
@@ -418,7 +418,7 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_search": _sql(
             "SELECT query_id, issue_id, rank, round(vector_score, 6) AS vector_score, round(text_score, 6) AS text_score, "
             f"round(score, 6) AS score, {shown} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, issue_id) "
-            "AS rank FROM (SELECT query_id, issue_id, v AS vector_score, t AS text_score, round(v * alpha + t * (1 - alpha), 9) AS score "
+            "AS rank FROM (SELECT query_id, issue_id, v AS vector_score, t AS text_score, round(v * alpha + t * (1 - alpha), 12) AS score "
             "FROM (SELECT query_id, issue_id, coalesce(v, 0) AS v, coalesce(t, 0) AS t FROM "
             "(SELECT query_id, issue_id, 1 / (1 + distance) AS v FROM near WHERE rank <= 10) FULL JOIN "
             "(SELECT query_id, issue_id, text_score AS t FROM texttop WHERE rank <= 10) USING (query_id, issue_id)) c "

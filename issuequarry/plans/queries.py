@@ -12,7 +12,7 @@ from issuequarry.functions.instants import utc_naive
 from issuequarry.functions.payload import parse_payload
 from issuequarry.operators import embed, evaluate, maintain, neighbors, normalize, protect, search, text_search, viewer
 from issuequarry.plans import views as V
-from issuequarry.session import scratch_path, written
+from issuequarry.session import scratch_path, checkpointed
 from issuequarry.sources import archives
 from issuequarry.sources import deliveries as D
 from issuequarry.streaming import jobs as S
@@ -102,7 +102,7 @@ def load_guard(spark, sf):
 def load_counts(spark, sf):
     """Forced load: the archives replace what was there."""
     loaded, labels, _ = _archive_load(spark, sf, force=True)
-    loaded = written(loaded, "loaded")
+    loaded = checkpointed(loaded, "loaded")
     per_issue = labels.groupBy("issue_id").agg(F.count("*").alias("n"))
     counted = loaded.join(per_issue, F.col("id") == F.col("issue_id"), "left")
     return maintain.load_counts(loaded).join(
@@ -352,7 +352,7 @@ def distinct_routes(spark, sf):
 
 def _duplicates(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
     one_model = V.vectors(spark, sf).withColumn("model", F.lit("m"))
-    found = written(neighbors.all_pairs_similarity(one_model, 5), "pairs")
+    found = checkpointed(neighbors.all_pairs_similarity(one_model, 5), "pairs")
     return evaluate.duplicate_metrics(found, V.truth(spark, sf), 5, strict)
 
 
@@ -412,7 +412,7 @@ def ann_lsh(spark, sf):
 def ann_recall(spark, sf):
     """Recall and compared share of both approximate paths against the exact one."""
     q, v = _asked(spark, sf)
-    exact = written(neighbors.exact_knn(q, v, 5, exclude_self=True), "exact")
+    exact = checkpointed(neighbors.exact_knn(q, v, 5, exclude_self=True), "exact")
     rows = None
     for name, index in (("ivf", neighbors.ivf_index(v, lists=16, nprobe=8)), ("lsh", neighbors.projection_index(v))):
         found, share = index.search_with_cost(q, 5, exclude_self=True)
@@ -465,8 +465,8 @@ def text_index_english(spark, sf):
 @query
 def text_match(spark, sf):
     q = V.queries(spark, sf)
-    terms = written(text_search.query_terms(q, stemmed=False), "terms")
-    postings = written(text_search.relevant_postings(V.issues(spark, sf), terms, stemmed=False), "postings")
+    terms = checkpointed(text_search.query_terms(q, stemmed=False), "terms")
+    postings = checkpointed(text_search.relevant_postings(V.issues(spark, sf), terms, stemmed=False), "postings")
     return text_search.text_match(postings, terms).select("query_id", "issue_id", "n_terms")
 
 

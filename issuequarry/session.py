@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_session(app_name: str = "issuequarry", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,13 +49,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/issuequarry/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
     """Cut lineage by writing ``df`` to the shared scratch folder and reading it back.
 
     Unlike a cached frame the table survives the loss of executors, and later
-    stages read only the columns they need.
+    stages read only the columns they need. ``facts`` are aggregates observed
+    during the write, so that sizes cost no pass of their own.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    seen = Observation()
+    if facts:
+        df = df.observe(seen, *[fact.alias(key) for key, fact in facts.items()])
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), (seen.get if facts else {})
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """The written table alone."""
+    return written(df, name)[0]

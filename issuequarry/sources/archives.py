@@ -13,7 +13,7 @@ from issuequarry import schemas
 from issuequarry.functions.instants import run_timestamp
 from issuequarry.functions.text import strip
 from issuequarry.operators import maintain, normalize
-from issuequarry.session import written
+from issuequarry.session import checkpointed
 from issuequarry.sources.paths import exists
 
 
@@ -99,7 +99,7 @@ def load_archives(
     run_ts = run_timestamp(run_iso)
     # Line order of a file scan decides which of two records with one key is last.
     arriving = lines.withColumn("arrival", F.monotonically_increasing_id())
-    records = written(normalize.normalize_archive(arriving, run_ts), "records")
+    records = checkpointed(normalize.normalize_archive(arriving, run_ts), "records")
     loaded = maintain.upsert_issues(issues, records.drop("labels"))
     owners = records.join(loaded.select("id", *maintain.ISSUE_KEY), maintain.ISSUE_KEY)
     batch = owners.select(F.col("id").alias("issue_id"), "labels", "source", "arrival")
