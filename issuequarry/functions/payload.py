@@ -41,9 +41,8 @@ def integer_only(v: Column, path: str) -> Column:
 def truthy(v: Column, path: str) -> Column:
     """Text of the value unless it is empty, zero, false or missing."""
     value = text(v, path)
-    empty = (value == "") | (
-        (kind(v, path) != "STRING") & (value.isin("false", "{}", "[]") | (value.try_cast("double") == 0.0))
-    )
+    zero = F.coalesce(value.try_cast("double") == 0.0, F.lit(False))
+    empty = (value == "") | ((kind(v, path) != "STRING") & (value.isin("false", "{}", "[]") | zero))
     return F.when(~empty, value)
 
 
