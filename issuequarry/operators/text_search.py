@@ -16,16 +16,17 @@ def document_text(title: Column, body: Column) -> Column:
 
 def positioned_terms(df: DataFrame, key: str, content: Column, stemmed: bool = True) -> DataFrame:
     """(key, term, pos) rows: stop words removed but counted, positions from one."""
-    words = df.select(key, tokens(content).alias("words"))
+    # The arrays are built inside the explode: exploding a column would add a
+    # pushed-down size filter that cuts every text a second time.
     if stemmed:
-        words = words.select(key, "words", stem_tokens("words").alias("stems"))
+        words = df.select(key, tokens(content).alias("words"))
+        paired = words.select(key, "words", stem_tokens("words").alias("stems"))
         # A stop word is recognised before stemming.
-        words = words.select(key, F.arrays_zip("words", "stems").alias("w"))
-        rows = words.select(key, F.posexplode("w").alias("p", "t")).select(
+        rows = paired.select(key, F.posexplode(F.arrays_zip("words", "stems")).alias("p", "t")).select(
             key, "p", F.col("t.words").alias("word"), F.col("t.stems").alias("term")
         )
     else:
-        rows = words.select(key, F.posexplode("words").alias("p", "word")).withColumn("term", F.col("word"))
+        rows = df.select(key, F.posexplode(tokens(content)).alias("p", "word")).withColumn("term", F.col("word"))
     kept = rows.filter(~F.col("word").isin(*ENGLISH_STOP_WORDS))
     return kept.select(key, "term", (F.col("p") + 1).cast("bigint").alias("pos"))
 

@@ -240,8 +240,9 @@ def issues_by_route(routes: DataFrame, issues: DataFrame, labels: DataFrame, rou
     projections are computed.
     """
     wanted = routes.select(route).distinct()
-    keys = parse_routes(wanted, route).select(
-        route, "source", F.explode("external_keys").alias("external_key")
+    parsed = R.parse_route(F.col(route))
+    keys = wanted.select(
+        route, parsed["source"].alias("source"), F.explode(parsed["external_keys"]).alias("external_key")
     )
     found = (
         keys.join(issues.select("id", "source", "external_key"), ["source", "external_key"])

@@ -32,7 +32,7 @@ def spread(df: DataFrame) -> DataFrame:
     work on alone. Inputs beyond the bound keep the partitions of their scan.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) > SMALL_INPUT:
+    if int(str(size)) > SMALL_INPUT:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
