@@ -524,6 +524,15 @@ def projection_index(
     return AnnIndex(pack_vectors(points, router, keep, block_rows), router, keep, overlapping=True)
 
 
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int, *, index: AnnIndex | None = None, exclude_self: bool = False, **options
+) -> DataFrame:
+    """Exact neighbours, or those of an index built before over the same vectors."""
+    if index is not None:
+        return index.search(queries, k, exclude_self)
+    return exact_knn(queries, vectors.select("issue_id", "model", "embedding"), k, exclude_self=exclude_self, **options)
+
+
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Mean share of the true ``k`` neighbours that were found."""
     hits = truth.select("query_id", "issue_id").join(
@@ -542,7 +551,7 @@ def vectors_join_issues(vectors: DataFrame, issues: DataFrame, model: str | None
 def knn_graph(vectors: DataFrame, k: int = 5, **options) -> DataFrame:
     """The ``k`` nearest other issues of the same model; the score is 1 - distance, unclamped."""
     queries = vectors.select(F.col("issue_id").alias("query_id"), "model", "embedding")
-    found = exact_knn(queries, vectors.select("issue_id", "model", "embedding"), k, exclude_self=True, **options)
+    found = nearest(queries, vectors, k, exclude_self=True, **options)
     return found.select(
         F.col("query_id").alias("issue_id"), F.col("issue_id").alias("neighbor_id"), "rank", "distance",
         (F.lit(1.0) - F.col("distance")).alias("score"),

@@ -42,10 +42,11 @@ def vector_search(queries: DataFrame, vectors: DataFrame, issues: DataFrame, k:
     """Nearest issues per query; the score 1 - distance is clamped to 0..1, the order is by distance.
 
     Vectors whose issue is gone are left out before the search, as the inner
-    join of the two tables does.
+    join of the two tables does. Pass ``index=`` to search a prebuilt index of
+    such vectors instead of all of them.
     """
     live = vectors.join(issues.select("id"), F.col("issue_id") == F.col("id"), "left_semi")
-    found = N.exact_knn(queries, live.select("issue_id", "model", "embedding"), k, **options)
+    found = N.nearest(queries, live, k, **options)
     score = F.greatest(F.lit(1.0) - F.greatest("distance", F.lit(0.0)), F.lit(0.0))
     return shown(found.withColumn("score", score), issues)
 
@@ -69,7 +70,7 @@ def hybrid_search(
     Both sides are cut to ``k`` per query before they meet; the text rank is
     not rescaled. Only the final hits fetch their issue.
     """
-    near = N.exact_knn(queries, vectors.select("issue_id", "model", "embedding"), k, **options)
+    near = N.nearest(queries, vectors, k, **options)
     vector_hits = near.withColumn("vector_score", F.lit(1.0) / (F.lit(1.0) + F.col("distance")))
     text_hits = T.text_search(issues, queries, k, stemmed)
     # A dangling vector takes up one of the k candidates, then finds no issue.

@@ -11,6 +11,7 @@ from issuequarry.functions import payload as P
 from issuequarry.functions import routes as R
 from issuequarry.functions.instants import utc_naive
 from issuequarry.functions.text import non_blank
+from issuequarry.session import checkpointed
 
 COMMENT = "array<struct<author:string,body:string,body_html:string,created_at:timestamp_ntz>>"
 
@@ -70,8 +71,8 @@ def issues_left_labels(
     return joined.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
 
-def merged_labels(v: Column, table_labels: Column) -> Column:
-    """Union of table labels and payload labels: trimmed, non-blank, distinct, sorted."""
+def stated_labels(v: Column) -> Column:
+    """Label names in the payload: strings, or objects with a name or label."""
 
     def name(item: Column) -> Column:
         stated = F.coalesce(P.truthy(item, "$.name"), P.truthy(item, "$.label"))
@@ -81,14 +82,19 @@ def merged_labels(v: Column, table_labels: Column) -> Column:
     listed = F.when(at_top, P.objects_or_scalars(v, "$.labels")).otherwise(
         P.objects_or_scalars(v, "$.issue.labels")
     )
-    stated = F.coalesce(F.transform(listed, name), F.array().cast("array<string>"))
-    cleaned = F.transform(F.concat(F.coalesce(table_labels, F.array().cast("array<string>")), stated), non_blank)
+    return F.coalesce(F.transform(listed, name), F.array().cast("array<string>"))
+
+
+def merged_labels(stated: Column, table_labels: Column) -> Column:
+    """Union of payload and table labels: trimmed, non-blank, distinct, sorted."""
+    cleaned = F.transform(F.concat(table_labels, stated), non_blank)
     return F.array_sort(F.array_distinct(F.filter(cleaned, lambda x: x.isNotNull())))
 
 
 def issue_labels(issues: DataFrame, labels: DataFrame) -> DataFrame:
-    joined = with_payload(issues_left_labels(issues.select("id", "raw_json"), labels))
-    return joined.select("id", merged_labels(F.col("payload"), F.col("labels")).alias("labels"))
+    stated = with_payload(issues).select("id", stated_labels(F.col("payload")).alias("stated"))
+    joined = issues_left_labels(stated, labels)
+    return joined.select("id", merged_labels(F.col("stated"), F.col("labels")).alias("labels"))
 
 
 def priority_column(v: Column) -> Column:
@@ -194,37 +200,50 @@ def in_link_counts(links: DataFrame) -> DataFrame:
     return links.filter("target_id is not null").groupBy("target_id").agg(F.count("*").alias("in_links"))
 
 
-def _summary_columns() -> list[Column]:
-    parts, v = F.col("parts"), F.col("payload")
-    return [
-        F.col("id"), parts["source"].alias("source"), parts["route"].alias("route"),
-        R.origin_url(parts).alias("origin_url"), F.coalesce("title", F.lit("")).alias("title"),
-        F.col("status"), priority_column(v).alias("priority"),
-        merged_labels(v, F.col("labels")).alias("labels"), F.col("repo"), F.col("project"), F.col("created_at"),
-    ]
+SUMMARY = [
+    "id", "source", "route", "origin_url", "title", "status", "priority", "labels", "repo", "project", "created_at",
+]
+
+
+def _projected(issues: DataFrame, *carried: Column) -> DataFrame:
+    """Everything a summary takes from the issue itself, for routable issues.
+
+    Payloads are parsed and dropped here, before labels are joined, so that the
+    join moves short columns only.
+    """
+    v, parts = F.col("payload"), F.col("parts")
+    return R.with_route(with_payload(issues)).filter("parts is not null").select(
+        "id", parts["source"].alias("source"), parts["route"].alias("route"), R.origin_url(parts).alias("origin_url"),
+        F.coalesce("title", F.lit("")).alias("title"), "status", priority_column(v).alias("priority"),
+        stated_labels(v).alias("stated"), "repo", "project", "created_at", *carried,
+    )
 
 
-def _routable(labelled: DataFrame) -> DataFrame:
-    return R.with_route(with_payload(labelled)).filter("parts is not null")
+def _with_labels(
+    projected: DataFrame, labels: DataFrame, wanted: Sequence[str] | None = None, strict_labels: bool = False
+) -> DataFrame:
+    joined = issues_left_labels(projected, labels, wanted, strict_labels)
+    return joined.withColumn("labels", merged_labels(F.col("stated"), F.col("labels"))).drop("stated")
 
 
 def viewer_summaries(issues: DataFrame, labels: DataFrame) -> DataFrame:
     """Eleven summary fields of every routable issue; bodies are never read."""
-    return _routable(issues_left_labels(issues, labels)).select(*_summary_columns())
+    return _with_labels(_projected(issues), labels).select(*SUMMARY)
 
 
 def viewer_records(issues: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fifteen record fields of every routable issue, comments nested."""
-    return _records(issues_left_labels(issues, labels), [])
-
+    """Fifteen record fields of every routable issue, comments nested.
 
-def _records(labelled: DataFrame, carried: list[str]) -> DataFrame:
+    Comments are rendered before the join and bodies after it: of the two, only
+    the text travels.
+    """
     v = F.col("payload")
-    body = F.coalesce("body", F.lit(""))
-    return _routable(labelled).select(
-        *carried, *_summary_columns(), body.alias("body"), R.render_body(body).alias("body_html"),
+    projected = _projected(
+        issues, F.coalesce("body", F.lit("")).alias("body"),
         banner_column(v, F.col("parts.source")).alias("determinism"), comments_column(v).alias("comments"),
     )
+    html = R.render_body(F.col("body")).alias("body_html")
+    return _with_labels(projected, labels).select(*SUMMARY, "body", html, "determinism", "comments")
 
 
 def parse_routes(routes: DataFrame, route: str = "route") -> DataFrame:
@@ -250,8 +269,8 @@ def issues_by_route(routes: DataFrame, issues: DataFrame, labels: DataFrame, rou
     )
     needed = found.select("id").distinct()
     hits = issues.join(needed, "id", "left_semi")
-    records = _records(issues_left_labels(hits, labels.join(needed, labels.issue_id == needed.id, "left_semi")), [])
-    records = records.withColumnRenamed("route", "canonical_route")
+    near = labels.join(needed, labels.issue_id == needed.id, "left_semi")
+    records = viewer_records(hits, near).withColumnRenamed("route", "canonical_route")
     answers = wanted.join(found, route, "left").join(records, "id", "left")
     missing = F.when(F.col("canonical_route").isNull(), F.lit("route not found")).otherwise(F.lit("ok"))
     return answers.withColumn("lookup", missing)
@@ -275,8 +294,11 @@ def viewer_search(
 
     The limit is applied to issues before labels are joined and before
     unroutable rows are dropped. ``matching_ids`` (column ``id``) is the result
-    of the text match. Only ids are sorted; the chosen rows are fetched after.
+    of the text match. The limit is at most 200, so the chosen rows are few
+    enough to be broadcast to the labels.
     """
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be between 1 and 200")
     base = issues
     for column, values in (("source", sources), ("repo", repos), ("project", projects), ("status", states)):
         if values:
@@ -286,9 +308,6 @@ def viewer_search(
         base = base.filter(F.coalesce(stated, F.lit("")).isin(*priorities))
     if matching_ids is not None:
         base = base.join(matching_ids.select("id").distinct(), "id", "left_semi")
-    newest = base.drop("body").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    newest = checkpointed(base.drop("body").orderBy(F.desc("created_at"), F.desc("id")).limit(limit), "newest")
     near = labels.join(F.broadcast(newest.select("id")), F.col("issue_id") == F.col("id"), "left_semi")
-    hits = issues_left_labels(newest, near, label_names, strict_labels)
-    return _routable(hits).select(*_summary_columns())
-
-
+    return _with_labels(_projected(newest), near, label_names, strict_labels).select(*SUMMARY)

@@ -88,6 +88,8 @@ def test_approximate_paths_find_most_neighbours_of_clusters(spark):
         found, share = index.search_with_cost(q, 5, exclude_self=True)
         assert neighbors.recall(found, exact, 5).first().recall > 0.9
         assert 0 < share.first().candidate_share
+    graph = neighbors.knn_graph(v, 5, index=index)
+    assert graph.count() == 240 * 5 and graph.filter("issue_id = neighbor_id").count() == 0
 
 
 def test_vector_search_scores_routes_and_urls(spark):
