@@ -41,9 +41,19 @@ def embedding_text(title: Column, body: Column) -> Column:
     return strip(F.concat(F.coalesce(title, empty), F.lit("\n\n"), F.coalesce(body, empty)))
 
 
+# A word with its hyphenated parts, or a number with sign and decimal points.
+TOKEN = r"\p{N}*\p{L}[\p{L}\p{N}]*(?:-\p{N}*\p{L}[\p{L}\p{N}]*)*|-?\p{N}+(?:\.\p{N}+)*"
+_COMPOUND = r"[\p{L}\p{N}]-\p{N}*\p{L}"
+
+
 def tokens(col: Column) -> Column:
-    """Lower-cased runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased words and numbers, in order; a hyphenated word is followed by its parts."""
+    found = F.regexp_extract_all(F.lower(col), F.lit(TOKEN), F.lit(0))
+    hyphenated = F.flatten(F.transform(
+        found,
+        lambda w: F.when(w.rlike(_COMPOUND), F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w)),
+    ))
+    return F.when(col.rlike(_COMPOUND), hyphenated).otherwise(found)
 
 
 def word_count(col: Column) -> Column:

@@ -39,7 +39,7 @@ _KEY = ["model", "h1", "h2"]
 
 _BLOCK_SCHEMA = (
     "block_id long, model string, cell long, n int, pmin double, pmax double, heads array<double>, "
-    "ids array<array<long>>, mat binary"
+    "ids array<long>, sizes array<int>, mat binary"
 )
 _CHUNK_SCHEMA = (
     "chunk_id long, model string, n int, h1s array<long>, h2s array<long>, mat binary, "
@@ -221,11 +221,12 @@ def pack_vectors(points: DataFrame, router: Router, keep: int, block_rows: int)
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block_id, part in _groups(batches, block_rows):
             ring = part["pdist"].to_numpy()
-            heads = np.repeat(ring, [len(i) for i in part["ids"]])[:keep]
+            sizes = part["ids"].map(len).to_numpy()
+            heads = np.repeat(ring, sizes)[:keep]
             yield pd.DataFrame({
                 "block_id": [block_id], "model": [part["model"].iloc[0]], "cell": [int(part["cell"].iloc[0])],
                 "n": [len(part)], "pmin": [ring.min()], "pmax": [ring.max()], "heads": [heads.tolist()],
-                "ids": [[list(map(int, i)) for i in part["ids"]]], "mat": [_matrix_bytes(part)],
+                "ids": [np.concatenate(part["ids"].tolist())], "sizes": [sizes.astype(np.int32)], "mat": [_matrix_bytes(part)],
             })
 
     routed = _routed(points.select(*_KEY, "ids", "embedding"), router, "ids array<long>, ")
@@ -270,85 +271,139 @@ def block_pairs(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.select("chunk_id", "block_id", "cn", "bn").distinct()
 
 
-def _attach(pairs: DataFrame, table: DataFrame, key: str, other: str, other_count: int) -> DataFrame:
-    """Join the packed side named by ``key`` onto the pairs.
+def _salted(pairs: DataFrame, other: str, salts: int) -> DataFrame:
+    """Pairs with a salt taken from the partner, all zero when one is enough."""
+    salt = F.pmod(F.xxhash64(other), F.lit(salts)) if salts > 1 else F.lit(0).cast("bigint")
+    return pairs.withColumn("_salt", salt)
 
-    A block may be asked for by every chunk. Beyond ``PAIRS_PER_KEY`` possible
-    partners the key is salted by the partner, and the packed row is copied only
-    to the salts that occur.
-    """
-    salts = math.ceil(other_count / PAIRS_PER_KEY)
+
+def _with_blocks(pairs: DataFrame, blocks: DataFrame, salts: int) -> DataFrame:
+    """Pairs with the packed block. A block that many chunks ask for is copied per salt first."""
     if salts <= 1:
-        return pairs.join(table, key)
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(salts)))
-    copies = salted.select(key, "_salt").distinct().join(table, key)
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
-
-
-def _best_in_block(q: np.ndarray, v: np.ndarray, low_ids: np.ndarray, keep: int, metric: str):
-    """Row, column and cost of the ``keep`` best columns per row, ties included before the cut by id."""
-    product = q @ v.T
-    cost = -product if metric == "ip" else (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * product
-    if cost.shape[1] > keep:
-        limit = np.partition(cost, keep - 1, axis=1)[:, keep - 1]
-        rows, cols = np.nonzero(cost <= limit[:, None] + 1e-8 * (1.0 + np.abs(limit[:, None])))
-    else:
-        rows, cols = (a.ravel() for a in np.indices(cost.shape))
-    exact = np.empty(len(rows))
-    for start in range(0, len(rows), 32768):
-        r, c = rows[start:start + 32768], cols[start:start + 32768]
-        if metric == "ip":
-            exact[start:start + 32768] = -np.einsum("ij,ij->i", q[r], v[c])
-        else:
-            gap = q[r] - v[c]
-            exact[start:start + 32768] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-    exact = np.round(exact, DECIMALS)
-    order = np.lexsort((low_ids[cols], exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    kept = place < keep
-    return rows[kept], cols[kept], exact[kept]
+        return pairs.join(blocks, "block_id")
+    salted = _salted(pairs, "chunk_id", salts)
+    copies = salted.select("block_id", "_salt").distinct().join(blocks, "block_id")
+    return salted.join(copies, ["block_id", "_salt"]).drop("_salt")
 
 
-def _candidates(work: DataFrame, keep: int, metric: str) -> DataFrame:
-    """(query key, cost, id) rows: the best ``keep`` of every block pair.
+def _work(pairs: DataFrame, blocks: DataFrame, chunks: DataFrame, n_blocks: int, n_chunks: int, tasks: int) -> DataFrame:
+    """Rows for the search: each chunk followed by the blocks it has to look at.
 
-    Consecutive pairs of one chunk are merged before anything is emitted.
+    A chunk travels once per salt, not once per block, and sorting puts it in
+    front of its blocks. The number of tasks is fixed: the bytes are few for the
+    work they cause, so sizing tasks by bytes would leave cores idle. Few chunks
+    against many blocks are salted until every task gets a share.
     """
+    salts = min(n_blocks, max(math.ceil(n_blocks / PAIRS_PER_KEY), math.ceil(tasks / max(1, n_chunks))))
+    found = _with_blocks(pairs, blocks.select("block_id", "ids", "sizes", "mat"), math.ceil(n_chunks / PAIRS_PER_KEY))
+    asked = _salted(pairs, "block_id", salts).select("chunk_id", "_salt").distinct().join(chunks, "chunk_id")
+    none = F.lit(None)
+    looked_at = _salted(found, "block_id", salts).select(
+        "chunk_id", "_salt", F.lit(1).alias("turn"), none.cast("string").alias("model"),
+        none.cast("array<long>").alias("h1s"), none.cast("array<long>").alias("h2s"), "mat", "ids", "sizes",
+    )
+    asking = asked.select(
+        "chunk_id", "_salt", F.lit(0).alias("turn"), "model", "h1s", "h2s", "mat",
+        none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"),
+    )
+    both = asking.unionByName(looked_at)
+    return both.repartition(min(tasks, max(1, n_blocks * n_chunks)), "chunk_id", "_salt").sortWithinPartitions(
+        "chunk_id", "_salt", "turn"
+    )
+
+
+class _Best:
+    """The best ``keep`` (cost, id) pairs of every row of one chunk, block by block.
 
-    def merge(held: pd.DataFrame | None, found: pd.DataFrame) -> pd.DataFrame:
-        both = found if held is None else pd.concat([held, found], ignore_index=True)
-        both = both.sort_values(["row", "cost", "id"], kind="stable").drop_duplicates(["row", "id"])
-        return both[both.groupby("row").cumcount() < keep]
+    A block only has to offer what is no worse than a row's current last place,
+    which after the first blocks is next to nothing.
+    """
 
-    def emit(chunk, held: pd.DataFrame) -> pd.DataFrame:
-        model, h1s, h2s = chunk
-        rows = held["row"].to_numpy()
+    def __init__(self, row, keep: int, metric: str):
+        self.names = (row.model, np.asarray(row.h1s), np.asarray(row.h2s))
+        self.q = _matrix(row.mat, len(row.h1s))
+        self.norms = np.einsum("ij,ij->i", self.q, self.q, dtype=np.float64)
+        self.keep, self.metric = keep, metric
+        self.last = np.full(len(self.q), math.inf)
+        self.rows = np.empty(0, dtype=np.int64)
+        self.cost = np.empty(0)
+        self.ids = np.empty(0, dtype=np.int64)
+
+    def offer(self, v: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        norms = np.einsum("ij,ij->i", v, v, dtype=np.float64)
+        cost = self.q @ v.T
+        if self.metric == "ip":
+            np.negative(cost, out=cost)
+            limit = self.last
+        else:
+            cost *= np.float32(-2.0)
+            cost += self.norms[:, None].astype(np.float32)
+            cost += norms[None, :].astype(np.float32)
+            limit = self.last**2
+        # Single precision sorts out the candidates; the bound covers its rounding, twice.
+        slack = (4 * v.shape[1] + 16) * 6e-8 * (self.norms + norms.max())
+        open_rows = np.isinf(limit)
+        if open_rows.any() and cost.shape[1] > self.keep:
+            part = np.partition(cost[open_rows], self.keep - 1, axis=1)
+            limit = limit.copy()
+            limit[open_rows] = part[:, self.keep - 1]
+        rows, cols = np.nonzero(cost <= (limit + slack)[:, None].astype(np.float32))
+        if not len(rows):
+            return
+        exact = np.empty(len(rows))
+        for start in range(0, len(rows), 32768):
+            r, c = rows[start:start + 32768], cols[start:start + 32768]
+            if self.metric == "ip":
+                exact[start:start + 32768] = -np.einsum("ij,ij->i", self.q[r], v[c], dtype=np.float64)
+            else:
+                gap = self.q[r].astype(np.float64) - v[c]
+                exact[start:start + 32768] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        exact = np.round(exact, DECIMALS)
+        copies = sizes[cols]
+        within = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        start = np.repeat((np.cumsum(sizes) - sizes)[cols], copies)
+        self._merge(np.repeat(rows, copies), np.repeat(exact, copies), ids[start + within])
+
+    def _merge(self, rows: np.ndarray, cost: np.ndarray, ids: np.ndarray) -> None:
+        rows, cost, ids = (np.concatenate(p) for p in ((self.rows, rows), (self.cost, cost), (self.ids, ids)))
+        order = np.lexsort((ids, cost, rows))
+        rows, cost, ids = rows[order], cost[order], ids[order]
+        # The same pair can come from several tables of an index; copies of a pair are adjacent.
+        fresh = np.ones(len(rows), dtype=bool)
+        fresh[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+        rows, cost, ids = rows[fresh], cost[fresh], ids[fresh]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        kept = place < self.keep
+        self.rows, self.cost, self.ids = rows[kept], cost[kept], ids[kept]
+        full = place[kept] == self.keep - 1
+        self.last[self.rows[full]] = self.cost[full]
+
+    def frame(self) -> pd.DataFrame:
+        model, h1s, h2s = self.names
         return pd.DataFrame({
-            "model": model, "h1": np.asarray(h1s)[rows], "h2": np.asarray(h2s)[rows],
-            "cost": held["cost"].to_numpy(), "id": held["id"].to_numpy(),
+            "model": model, "h1": h1s[self.rows], "h2": h2s[self.rows], "cost": self.cost, "id": self.ids,
         })
 
+
+def _matrix(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.float32).reshape(rows, -1)
+
+
+def _candidates(work: DataFrame, keep: int, metric: str) -> DataFrame:
+    """(query key, cost, id) rows: the best ``keep`` of every chunk over the blocks that follow it."""
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, chunk, held, q = None, None, None, None
+        best: _Best | None = None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                if row.chunk_id != current:
-                    if held is not None:
-                        yield emit(chunk, held)
-                    current, chunk, held = row.chunk_id, (row.model, row.h1s, row.h2s), None
-                    q = np.frombuffer(row.cmat, dtype=np.float32).reshape(len(row.h1s), -1).astype(np.float64)
-                v = np.frombuffer(row.bmat, dtype=np.float32).reshape(-1, q.shape[1]).astype(np.float64)
-                low = np.array([ids[0] for ids in row.ids], dtype=np.int64)
-                rows, cols, cost = _best_in_block(q, v, low, keep, metric)
-                copies = np.array([len(ids) for ids in row.ids])[cols]
-                found = pd.DataFrame({
-                    "row": np.repeat(rows, copies), "cost": np.repeat(cost, copies),
-                    "id": np.concatenate([row.ids[c] for c in cols]) if len(cols) else np.array([], dtype=np.int64),
-                })
-                held = merge(held, found)
-        if held is not None:
-            yield emit(chunk, held)
+                if row.turn == 0:
+                    if best is not None:
+                        yield best.frame()
+                    best = _Best(row, keep, metric)
+                else:
+                    best.offer(_matrix(row.mat, len(row.sizes)), row.ids, row.sizes.astype(np.int64))
+        if best is not None:
+            yield best.frame()
 
     return work.mapInPandas(search, "model string, h1 long, h2 long, cost double, id long")
 
@@ -358,12 +413,10 @@ def _answers(
     keep: int, metric: str, exclude_self: bool, overlapping: bool,
 ) -> DataFrame:
     (blocks, n_blocks), (chunks, n_chunks) = packed_vectors, packed_queries
+    spark = queries.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = block_pairs(chunks, blocks).select("chunk_id", "block_id")
-    work = _attach(pairs, blocks.select("block_id", "ids", F.col("mat").alias("bmat")), "block_id", "chunk_id", n_chunks)
-    work = _attach(
-        work, chunks.select("chunk_id", "model", "h1s", "h2s", F.col("mat").alias("cmat")),
-        "chunk_id", "block_id", n_blocks,
-    )
+    work = _work(pairs, blocks, chunks.drop("probes"), n_blocks, n_chunks, tasks)
     found = _candidates(work, keep, metric)
     if overlapping:
         found = found.distinct()

@@ -96,11 +96,11 @@ _CTES = {
     "words": """
   SELECT issue_id, word AS term, pos FROM (
     SELECT id AS issue_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM (
-      SELECT id, regexp_extract_all(lower(title || ' ' || body), '[\\p{L}\\p{N}]+') AS w FROM docs))
+      SELECT id, TOKENS(title || ' ' || body) AS w FROM docs))
   WHERE word NOT IN (SELECT unnest(string_split(STOPS, ' ')))""",
     "terms": """
   SELECT query_id, word AS term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (
-    SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM queries)
+    SELECT DISTINCT query_id, unnest(TOKENS(text)) AS word FROM queries)
   WHERE word NOT IN (SELECT unnest(string_split(STOPS, ' ')))""",
     "matches": """
   SELECT query_id, issue_id, n_terms FROM terms
@@ -231,9 +231,18 @@ def _sql(body: str, *needed: str) -> str:
         add(name)
     parts = ",\n".join(f"{name} AS ({_CTES[name]})" for name in order)
     text = f"WITH {parts}\n{body}" if order else body
+    for content in ("title || ' ' || body", "text"):
+        text = text.replace(f"TOKENS({content})", _tokens(content))
     return text.replace("STOPS", _stops())
 
 
+def _tokens(content: str) -> str:
+    word = r"\p{N}*\p{L}[\p{L}\p{N}]*"
+    found = rf"regexp_extract_all(lower({content}), '{word}(?:-{word})*|-?\p{{N}}+(?:\.\p{{N}}+)*')"
+    parts = r"CASE WHEN regexp_matches(x, '[\p{L}\p{N}]-\p{N}*\p{L}') THEN list_concat([x], string_split(x, '-')) ELSE [x] END"
+    return f"flatten(list_transform({found}, lambda x: {parts}))"
+
+
 def _escaped(x: str) -> str:
     return (
         f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from issuequarry.functions.stemming import stem
+from issuequarry.functions.text import tokens
 from issuequarry.operators import embed, evaluate, neighbors, search, text_search
 
 ISSUES = "id long, source string, external_key string, title string, body string, repo string, project string, raw_json string"
@@ -157,6 +158,16 @@ def test_cover_density_against_all_intervals(spark):
         assert got[i] == pytest.approx(_rank_by_all_intervals([str(t) for t in range(len(c))], c))
 
 
+def test_tokens(spark):
+    cases = {
+        "Well-known bug": ["well-known", "well", "known", "bug"], "ABC-42 v1.5": ["abc", "-42", "v1", "5"],
+        "2024-01-02, 3.14": ["2024", "-01", "-02", "3.14"], "foo_bar a-b-c": ["foo", "bar", "a-b-c", "a", "b", "c"],
+        "Élan -- 12abc": ["élan", "12abc"], "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.w for r in df.select("t", tokens(F.col("t")).alias("w")).collect()} == cases
+
+
 def test_text_search_stems_and_drops_stop_words(spark):
     issues = spark.createDataFrame([
         (1, "The failing connections", "were failing again"), (2, "Connected once", ""), (3, "the of", "and"),
