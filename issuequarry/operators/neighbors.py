@@ -264,11 +264,14 @@ def pack_queries(queries: DataFrame, router: Router, chunk_rows: int) -> tuple[D
 
 
 def block_pairs(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Chunk and block ids that have to meet: equal cell, overlapping ring."""
+    """Chunk and block ids that have to meet: equal cell, overlapping ring.
+
+    A block has one cell and a chunk names a cell once, so no pair comes twice.
+    """
     asked = chunks.select("chunk_id", "model", F.col("n").alias("cn"), F.inline("probes"))
     rings = blocks.select("block_id", "model", "cell", "pmin", "pmax", F.col("n").alias("bn"))
     met = asked.join(rings, ["model", "cell"]).filter("pmax >= lo and pmin <= hi")
-    return met.select("chunk_id", "block_id", "cn", "bn").distinct()
+    return met.select("chunk_id", "block_id", "cn", "bn")
 
 
 def _salted(pairs: DataFrame, other: str, salts: int) -> DataFrame:

@@ -84,8 +84,13 @@ def mask_corpus(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def locked_entities(texts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per protected span."""
-    return mask_corpus(texts.select(id_col, text), text).select(id_col, F.inline("spans"))
+    """One row per protected span.
+
+    An inner explode would add a size filter that scans every text twice; the
+    outer one with a filter on its own output does not.
+    """
+    masked = mask_corpus(texts.select(id_col, text), text)
+    return masked.select(id_col, F.inline_outer("spans")).filter("idx is not null")
 
 
 def entity_stats(entities: DataFrame) -> DataFrame:

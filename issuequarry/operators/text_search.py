@@ -14,18 +14,27 @@ def document_text(title: Column, body: Column) -> Column:
     return F.concat(F.coalesce(title, empty), F.lit(" "), F.coalesce(body, empty))
 
 
-def positioned_terms(df: DataFrame, key: str, content: Column, stemmed: bool = True) -> DataFrame:
-    """(key, term, pos) rows: stop words removed but counted, positions from one."""
+def positioned_terms(
+    df: DataFrame, key: str, content: Column, stemmed: bool = True, spread: bool = False
+) -> DataFrame:
+    """(key, term, pos) rows: stop words removed but counted, positions from one.
+
+    ``spread`` deals documents out by key just before they are cut into rows.
+    """
     # The arrays are built inside the explode: exploding a column would add a
     # pushed-down size filter that cuts every text a second time.
     if stemmed:
         words = df.select(key, tokens(content).alias("words"))
         paired = words.select(key, "words", stem_tokens("words").alias("stems"))
+        if spread:
+            paired = paired.repartition(key)
         # A stop word is recognised before stemming.
         rows = paired.select(key, F.posexplode(F.arrays_zip("words", "stems")).alias("p", "t")).select(
             key, "p", F.col("t.words").alias("word"), F.col("t.stems").alias("term")
         )
     else:
+        if spread:
+            df = df.repartition(key)
         rows = df.select(key, F.posexplode(tokens(content)).alias("p", "word")).withColumn("term", F.col("word"))
     kept = rows.filter(~F.col("word").isin(*ENGLISH_STOP_WORDS))
     return kept.select(key, "term", (F.col("p") + 1).cast("bigint").alias("pos"))
@@ -37,8 +46,9 @@ def text_index(issues: DataFrame, stemmed: bool = True) -> DataFrame:
     Documents are spread by id before they are cut into words, so the grouping
     by (issue_id, term) needs no second shuffle and no word travels alone.
     """
-    spread = issues.select(F.col("id").alias("issue_id"), "title", "body").repartition("issue_id")
-    rows = positioned_terms(spread, "issue_id", document_text(F.col("title"), F.col("body")), stemmed)
+    documents = issues.select(F.col("id").alias("issue_id"), "title", "body")
+    content = document_text(F.col("title"), F.col("body"))
+    rows = positioned_terms(documents, "issue_id", content, stemmed, spread=True)
     return rows.groupBy("issue_id", "term").agg(
         F.array_sort(F.collect_list("pos")).alias("positions")
     ).select("term", "issue_id", "positions")

@@ -161,3 +161,13 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
     summaries = V.vectors(spark, SF).select("issue_id")
     assert "embedding" not in summaries._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+def test_expensive_steps_run_once(spark):
+    from issuequarry.operators import protect, text_search
+
+    entities = protect.locked_entities(V.masked_inputs(spark, SF))
+    assert entities._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for stemmed in (False, True):
+        plan = text_search.text_index(V.issues(spark, SF), stemmed)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("regexp_extract_all") <= 3
