@@ -33,6 +33,8 @@ BLOCK_ROWS = 1024
 MAX_PIVOTS = 1024
 BOUND_BYTES = 64 << 20
 PAIRS_PER_KEY = 1024
+# From this many blocks on, a first look at home is cheaper than what it rules out.
+HOME_LOOK_BLOCKS = 64
 # Distances closer than this are ties, and ties go to the lower id.
 DECIMALS = 12
 _KEY = ["model", "h1", "h2"]
@@ -42,9 +44,9 @@ _BLOCK_SCHEMA = (
     "ids array<long>, sizes array<int>, mat binary"
 )
 _CHUNK_SCHEMA = (
-    "chunk_id long, model string, n int, h1s array<long>, h2s array<long>, mat binary, "
-    "probes array<struct<cell:long,lo:double,hi:double>>"
+    "chunk_id long, model string, cell long, n int, pmin double, pmax double, h1s array<long>, h2s array<long>, mat binary"
 )
+_PROBE_SCHEMA = "chunk_id long, model string, cn int, cell long, lo double, hi double"
 
 
 class Router:
@@ -54,8 +56,11 @@ class Router:
         """One (cell, distance to its centre) pair of arrays per cell a vector belongs to."""
         raise NotImplementedError
 
-    def probes(self, points: np.ndarray, model: str) -> list[tuple[int, float, float]]:
-        """Cells to visit, each with the range of centre distances that matters."""
+    def probes(self, points: np.ndarray, model: str, last: np.ndarray | None = None) -> list[tuple[int, float, float]]:
+        """Cells to visit, each with the range of centre distances that matters.
+
+        ``last`` holds, per point, a cost that its answers are known not to exceed.
+        """
         raise NotImplementedError
 
 
@@ -84,14 +89,17 @@ class PivotRouter(Router):
         cell = distance.argmin(1)
         return [(cell, distance[np.arange(len(cell)), cell])]
 
-    def probes(self, points, model):
+    def probes(self, points, model, last=None):
         if not self.bounded:
             return [(c, -math.inf, math.inf) for c in range(len(self.pivots))]
         radius = self.radius.get(model)
         if radius is None:
             return []
+        known = math.inf if last is None else last
         if self.lift is not None:
+            squared = (points * points).sum(1) + self.lift**2
             points = np.hstack([points, np.zeros((len(points), 1))])
+            known = np.sqrt(np.maximum(squared + 2.0 * known, 0.0))
         distance = pairwise_l2(points, self._centres())
         heads = self.heads[model]
         reach = np.empty(len(points))
@@ -99,7 +107,7 @@ class PivotRouter(Router):
             part = (distance[start:start + 64, :, None] + heads[None]).reshape(-1, heads.size)
             at = min(self.keep, heads.size) - 1
             reach[start:start + 64] = np.partition(part, at, axis=1)[:, at] if heads.size >= self.keep else math.inf
-        reach += 1e-6 * (1.0 + distance.max(1))
+        reach = np.minimum(reach, known) + 1e-6 * (1.0 + distance.max(1))
         near = distance - reach[:, None] <= radius[None, :]
         low = np.where(near, distance - reach[:, None], math.inf).min(0)
         high = np.where(near, distance + reach[:, None], -math.inf).max(0)
@@ -118,7 +126,7 @@ class CentreRouter(Router):
         cell = distance.argmin(1)
         return [(cell, distance[np.arange(len(cell)), cell])]
 
-    def probes(self, points, model):
+    def probes(self, points, model, last=None):
         distance = pairwise_l2(points, self.centres)
         count = min(self.nprobe, distance.shape[1])
         nearest = np.argpartition(distance, count - 1, axis=1)[:, :count]
@@ -145,7 +153,7 @@ class ProjectionRouter(Router):
         cells = self._buckets(points)
         return [(cells[:, t], np.zeros(len(points))) for t in range(cells.shape[1])]
 
-    def probes(self, points, model):
+    def probes(self, points, model, last=None):
         return [(int(c), -math.inf, math.inf) for c in np.unique(self._buckets(points))]
 
 
@@ -245,16 +253,14 @@ class _HomeCell(Router):
 
 
 def pack_queries(queries: DataFrame, router: Router, chunk_rows: int) -> tuple[DataFrame, int]:
-    """Chunks of the asking side (keys, matrix, cells to visit), and their number."""
+    """Chunks of the asking side (keys, matrix, home cell and ring), and their number."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk_id, part in _groups(batches, chunk_rows):
-            model = part["model"].iloc[0]
-            probes = router.probes(stack(part["embedding"]), model)
             yield pd.DataFrame({
-                "chunk_id": [chunk_id], "model": [model], "n": [len(part)],
+                "chunk_id": [chunk_id], "model": [part["model"].iloc[0]], "cell": [int(part["cell"].iloc[0])],
+                "n": [len(part)], "pmin": [part["pdist"].min()], "pmax": [part["pdist"].max()],
                 "h1s": [part["h1"].tolist()], "h2s": [part["h2"].tolist()], "mat": [_matrix_bytes(part)],
-                "probes": [[{"cell": c, "lo": lo, "hi": hi} for c, lo, hi in probes]],
             })
 
     distinct = _keyed(queries).groupBy(*_KEY).agg(F.any_value("embedding").alias("embedding"))
@@ -263,17 +269,60 @@ def pack_queries(queries: DataFrame, router: Router, chunk_rows: int) -> tuple[D
     return chunks, facts["n"]
 
 
-def block_pairs(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+def probe_cells(chunks: DataFrame, router: Router, lasts: DataFrame | None = None) -> DataFrame:
+    """The cells every chunk has to visit, one row each."""
+    asked = chunks.select("chunk_id", "model", "n", "mat")
+    if lasts is None:
+        asked = asked.withColumn("lasts", F.lit(None).cast("array<array<double>>"))
+    else:
+        asked = asked.join(lasts, "chunk_id", "left")
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                last = None if row.lasts is None else np.min(np.stack([np.asarray(x) for x in row.lasts]), axis=0)
+                probes = router.probes(_matrix(row.mat, row.n).astype(np.float64), row.model, last)
+                frame = pd.DataFrame(probes, columns=["cell", "lo", "hi"])
+                yield frame.assign(chunk_id=row.chunk_id, model=row.model, cn=row.n)[
+                    ["chunk_id", "model", "cn", "cell", "lo", "hi"]
+                ]
+
+    return written(asked.mapInPandas(probe, _PROBE_SCHEMA), "probes")[0]
+
+
+def block_pairs(probes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Chunk and block ids that have to meet: equal cell, overlapping ring.
 
     A block has one cell and a chunk names a cell once, so no pair comes twice.
     """
-    asked = chunks.select("chunk_id", "model", F.col("n").alias("cn"), F.inline("probes"))
     rings = blocks.select("block_id", "model", "cell", "pmin", "pmax", F.col("n").alias("bn"))
-    met = asked.join(rings, ["model", "cell"]).filter("pmax >= lo and pmin <= hi")
+    met = probes.join(rings, ["model", "cell"]).filter("pmax >= lo and pmin <= hi")
     return met.select("chunk_id", "block_id", "cn", "bn")
 
 
+def _home_lasts(
+    packed_vectors: tuple[DataFrame, int], packed_queries: tuple[DataFrame, int], keep: int, metric: str, tasks: int
+) -> DataFrame:
+    """A first look at the nearest blocks of the home cell: per chunk, costs its answers cannot exceed.
+
+    Whatever is found there bounds the search; two blocks per chunk keep the
+    look short and leave the result untouched.
+    """
+    (blocks, n_blocks), (chunks, n_chunks) = packed_vectors, packed_queries
+    home = chunks.select("chunk_id", "model", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("at"))
+    rings = blocks.select("block_id", "model", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("mid"))
+    w = Window.partitionBy("chunk_id").orderBy(F.abs(F.col("mid") - F.col("at")), "block_id")
+    near = home.join(rings, ["model", "cell"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
+    work = _work(near.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks, tasks)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk_id, best in _searched(batches, keep, metric):
+            yield pd.DataFrame({"chunk_id": [chunk_id], "last": [best.last]})
+
+    found = work.mapInPandas(look, "chunk_id long, last array<double>")
+    return found.groupBy("chunk_id").agg(F.collect_list("last").alias("lasts"))
+
+
 def _salted(pairs: DataFrame, other: str, salts: int) -> DataFrame:
     """Pairs with a salt taken from the partner, all zero when one is enough."""
     salt = F.pmod(F.xxhash64(other), F.lit(salts)) if salts > 1 else F.lit(0).cast("bigint")
@@ -300,6 +349,7 @@ def _work(pairs: DataFrame, blocks: DataFrame, chunks: DataFrame, n_blocks: int,
     salts = min(n_blocks, max(math.ceil(n_blocks / PAIRS_PER_KEY), math.ceil(tasks / max(1, n_chunks))))
     found = _with_blocks(pairs, blocks.select("block_id", "ids", "sizes", "mat"), math.ceil(n_chunks / PAIRS_PER_KEY))
     asked = _salted(pairs, "block_id", salts).select("chunk_id", "_salt").distinct().join(chunks, "chunk_id")
+    asked = asked.select("chunk_id", "_salt", "model", "h1s", "h2s", "mat")
     none = F.lit(None)
     looked_at = _salted(found, "block_id", salts).select(
         "chunk_id", "_salt", F.lit(1).alias("turn"), none.cast("string").alias("model"),
@@ -392,34 +442,43 @@ def _matrix(raw: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.float32).reshape(rows, -1)
 
 
+def _searched(batches: Iterator[pd.DataFrame], keep: int, metric: str) -> Iterator[tuple[int, _Best]]:
+    """Chunks of a task with the best they found in the blocks that follow them."""
+    chunk_id, best = None, None
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if row.turn == 0:
+                if best is not None:
+                    yield chunk_id, best
+                chunk_id, best = row.chunk_id, _Best(row, keep, metric)
+            else:
+                best.offer(_matrix(row.mat, len(row.sizes)), row.ids, row.sizes.astype(np.int64))
+    if best is not None:
+        yield chunk_id, best
+
+
 def _candidates(work: DataFrame, keep: int, metric: str) -> DataFrame:
     """(query key, cost, id) rows: the best ``keep`` of every chunk over the blocks that follow it."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: _Best | None = None
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if row.turn == 0:
-                    if best is not None:
-                        yield best.frame()
-                    best = _Best(row, keep, metric)
-                else:
-                    best.offer(_matrix(row.mat, len(row.sizes)), row.ids, row.sizes.astype(np.int64))
-        if best is not None:
+        for _, best in _searched(batches, keep, metric):
             yield best.frame()
 
     return work.mapInPandas(search, "model string, h1 long, h2 long, cost double, id long")
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _answers(
-    queries: DataFrame, packed_vectors: tuple[DataFrame, int], packed_queries: tuple[DataFrame, int], k: int,
-    keep: int, metric: str, exclude_self: bool, overlapping: bool,
+    queries: DataFrame, packed_vectors: tuple[DataFrame, int], packed_queries: tuple[DataFrame, int],
+    probes: DataFrame, k: int, keep: int, metric: str, exclude_self: bool, overlapping: bool,
 ) -> DataFrame:
     (blocks, n_blocks), (chunks, n_chunks) = packed_vectors, packed_queries
-    spark = queries.sparkSession
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = block_pairs(chunks, blocks).select("chunk_id", "block_id")
-    work = _work(pairs, blocks, chunks.drop("probes"), n_blocks, n_chunks, tasks)
+    pairs = block_pairs(probes, blocks).select("chunk_id", "block_id")
+    work = _work(pairs, blocks, chunks, n_blocks, n_chunks, _tasks(queries))
     found = _candidates(work, keep, metric)
     if overlapping:
         found = found.distinct()
@@ -502,7 +561,9 @@ def exact_knn(
     packed = pack_vectors(points, router, keep, block_rows)
     router = _learn_bounds(router, packed[0])
     chunks = pack_queries(queries, router, block_rows)
-    return _answers(queries, packed, chunks, k, keep, metric, exclude_self, overlapping=False)
+    lasts = _home_lasts(packed, chunks, keep, metric, _tasks(queries)) if packed[1] >= HOME_LOOK_BLOCKS else None
+    probes = probe_cells(chunks[0], router, lasts)
+    return _answers(queries, packed, chunks, probes, k, keep, metric, exclude_self, overlapping=False)
 
 
 @dataclass
@@ -521,10 +582,11 @@ class AnnIndex:
         if k + int(exclude_self) > self.keep:
             raise ValueError(f"this index holds at most {self.keep} copies per vector")
         chunks = pack_queries(queries, self.router, BLOCK_ROWS // 8)
+        probes = probe_cells(chunks[0], self.router)
         found = _answers(
-            queries, self.packed, chunks, k, k + int(exclude_self), "l2", exclude_self, self.overlapping
+            queries, self.packed, chunks, probes, k, k + int(exclude_self), "l2", exclude_self, self.overlapping
         )
-        return found, block_pairs(chunks[0], self.packed[0])
+        return found, block_pairs(probes, self.packed[0])
 
     def search_with_cost(self, queries: DataFrame, k: int, exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
         """Neighbours, and one row with the share of all vector pairs that was compared."""

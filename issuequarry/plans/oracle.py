@@ -500,6 +500,14 @@ def oracle_sql() -> dict[str, str]:
             "SELECT issue_id AS id, label FROM tags WHERE label IN ('quality-1', 'toxic-1') UNION ALL "
             "SELECT id, unnest(['lang-' || lang, 'needs-triage', origin]) FROM docs) GROUP BY id) a ON a.id = r.id "
             "WHERE route IS NOT NULL", "routed", "tags", "docs"),
+        "viewer_search_text": _sql(
+            f"SELECT {summary} FROM (SELECT * FROM routed WHERE id IN (SELECT issue_id FROM words WHERE term = 'les') "
+            "AND id IN (SELECT issue_id FROM words WHERE term = 'des') ORDER BY created_at DESC, id DESC LIMIT 200) r "
+            "JOIN alltags a ON a.id = r.id WHERE route IS NOT NULL", "routed", "alltags", "words"),
+        "in_link_counts": _sql(
+            "SELECT first_id AS target_id, count(*) AS in_links FROM ("
+            f"SELECT {tracker_link} AS route FROM (SELECT rtrim(unnest({url_list}), '.,);') AS url FROM linked)) l "
+            "JOIN routes r ON r.route = l.route GROUP BY first_id", "linked", "routes"),
         "unmask_corpus": _sql("SELECT doc_id, text AS restored, true AS same FROM maskin", "maskin"),
         "token_counts": (
             "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+')) AS BIGINT) AS tokens FROM documents"),

@@ -12,7 +12,7 @@ from issuequarry.functions.instants import utc_naive
 from issuequarry.functions.payload import parse_payload
 from issuequarry.operators import embed, evaluate, maintain, neighbors, normalize, protect, search, text_search, viewer
 from issuequarry.plans import views as V
-from issuequarry.session import scratch_path, checkpointed
+from issuequarry.session import checkpointed, scratch_path
 from issuequarry.sources import archives
 from issuequarry.sources import deliveries as D
 from issuequarry.streaming import jobs as S
@@ -609,6 +609,21 @@ def viewer_search(spark, sf):
     return _flat(found)
 
 
+@query
+def viewer_search_text(spark, sf):
+    """Facet search with a text: issues that hold both words, newest first."""
+    issues = V.issues(spark, sf)
+    matching = text_search.matching_issue_ids(issues, "les des", stemmed=False)
+    found = viewer.viewer_search(issues, V.labels(spark, sf), matching_ids=matching, limit=200)
+    return _flat(found)
+
+
+@query
+def in_link_counts(spark, sf):
+    links = viewer.link_rewrites(V.linked_texts(spark, sf), viewer.distinct_routes(V.issues(spark, sf)))
+    return viewer.in_link_counts(links)
+
+
 # --- protection and edit accounting ------------------------------------------------------------
 
 

@@ -25,8 +25,9 @@ def _brute(matrix, models, k, metric):
     return out
 
 
-@pytest.mark.parametrize("metric", ["l2", "ip"])
-def test_exact_search_equals_brute_force_on_clusters_copies_and_ties(spark, metric):
+@pytest.mark.parametrize("metric,home_blocks", [("l2", 1), ("l2", 1000), ("ip", 1), ("ip", 1000)])
+def test_exact_search_equals_brute_force_on_clusters_copies_and_ties(spark, monkeypatch, metric, home_blocks):
+    monkeypatch.setattr(neighbors, "HOME_LOOK_BLOCKS", home_blocks)
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((6, 8)) * 5
     matrix = np.vstack([
@@ -52,8 +53,12 @@ def test_clusters_are_pruned(spark):
     packed = neighbors.pack_vectors(points, router, 4, 8)
     router = neighbors._learn_bounds(router, packed[0])
     chunks = neighbors.pack_queries(v.withColumnRenamed("issue_id", "query_id"), router, 8)
-    met = neighbors.block_pairs(chunks[0], packed[0]).count()
-    assert met < 0.25 * packed[1] * chunks[1]
+    everything = packed[1] * chunks[1]
+    met = neighbors.block_pairs(neighbors.probe_cells(chunks[0], router), packed[0]).count()
+    assert met < 0.25 * everything
+    lasts = neighbors._home_lasts(packed, chunks, 4, "l2", 8)
+    closer = neighbors.block_pairs(neighbors.probe_cells(chunks[0], router, lasts), packed[0]).count()
+    assert closer < 0.6 * met
 
 
 def test_salted_attachment_changes_nothing(spark, monkeypatch):
