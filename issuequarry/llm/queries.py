@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import chat_format, quality_rules, sharding
+from issuequarry.llm import chat_format, decontaminate, quality_rules, sharding
 from issuequarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_verdicts(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Query]:
     return {
         "op3_sharding": op3_sharding,
+        "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op10_chat_formatting": op10_chat_formatting,
     }
@@ -36,6 +41,7 @@ def registry() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_sharding": sharding.oracle(),
+        "op6_decontamination": decontaminate.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op10_chat_formatting": chat_format.ORACLE,
     }
