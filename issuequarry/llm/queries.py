@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import chat_format, decontaminate, quality_rules, sharding
+from issuequarry.llm import chat_format, decontaminate, packing, quality_rules, sharding
 from issuequarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -32,6 +36,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Query]:
     return {
         "op3_sharding": op3_sharding,
+        "op4_packing": op4_packing,
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op10_chat_formatting": op10_chat_formatting,
