@@ -86,7 +86,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches(stream, 3 << 20):
+        for batch in batches(stream, 6 << 20):
             ids, starts = encode_column(batch.column("text"), path)
             sizes = np.diff(starts)
             pieces = -(-sizes // capacity)

@@ -1,8 +1,10 @@
-"""Token ids of whole texts, by words.
+"""Token ids of whole texts, by units.
 
-The tokenizer drops white space and never merges across it, so a text's ids are those of its words in order. Each
-distinct word is encoded once per Python worker; invented or rare words cost one encoding, frequent ones a look-up.
-The store of known words is emptied when it is full, which changes no result.
+The tokenizer drops white space, lowers the case and never merges across white space or from a letter into a following
+punctuation mark. A text is therefore cut there into units, and its ids are those of its units in order. Each distinct
+unit is encoded once per Python worker: invented or rare words cost one encoding, frequent ones a look-up by a 64-bit
+hash. The store of known units is emptied when it is full, which changes no result. Texts with very long units, or
+with the opening of a special token, are encoded as they are.
 """
 
 from __future__ import annotations
@@ -12,12 +14,19 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from issuequarry.llm.common import hash_spans, lower_ascii, text_bytes
+
 #: End of document.
 END_ID = 1
-#: Known words a worker keeps; longer words than ``LONGEST`` bytes are encoded where they stand.
-KNOWN = 600_000
-LONGEST = 48
-_PUNCTUATION = ".,!?;:"
+#: Known units a worker keeps; texts with longer units than ``LONGEST`` bytes are encoded whole.
+KNOWN = 1_000_000
+LONGEST = 64
+_JOINED = 256
+
+_BLANK, _LETTER, _MARK = (np.zeros(256, dtype=bool) for _ in range(3))
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LETTER[97:123] = True
+_MARK[[33, 44, 46, 58, 59, 63]] = True
 
 
 def default_path() -> str:
@@ -27,8 +36,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokens:
-    """Ids of words, kept as places in one flat array."""
+class UnitTokens:
+    """Ids of units, kept as places in one flat array."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,125 +49,118 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
-        self.start = np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
-
-    def _store(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.place)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n + len(words) + 1 > len(self.start):
-            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += len(ids)
-        for k, word in enumerate(words, n):
-            self.place[word] = k
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.place[word]
-        return self.flat[self.start[k] : self.start[k + 1]]
-
-    def _encode(self, words: list[bytes]) -> None:
-        """Encode unknown words. Words of letters only are encoded in one string; each ends at a word-end id."""
-        letters = [w for w in words if w.decode().isalpha()]
-        for at in range(0, len(letters), 4096):
-            part = letters[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype=np.int64)
-            last = np.flatnonzero(self.ends[ids])
+        self.hashes = np.zeros(0, dtype=np.uint64)  # sorted
+        self.place = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.start = np.zeros(1, dtype=np.int64)
+
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units one after the other, and how many each has.
+
+        Units of letters are encoded many in one string; each gives one word, whose last id is a word end.
+        """
+        ids: list[list[int] | None] = [None] * len(units)
+        letters = [k for k, u in enumerate(units) if u.isalpha()]
+        for at in range(0, len(letters), _JOINED):
+            part = letters[at : at + _JOINED]
+            found = self.tokenizer.encode(" ".join([units[k] for k in part]), add_special_tokens=False).ids
+            last = np.flatnonzero(self.ends[found])
             if len(last) == len(part):
-                self._store(part, ids, np.diff(last, prepend=-1))
-            else:  # some letter turns into more than letters
-                self._each(part)
-        self._each([w for w in words if w not in self.place])
-
-    def _each(self, words: list[bytes]) -> None:
-        if words:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-            self._store(words, np.array([i for x in found for i in x], dtype=np.int64), np.array([len(x) for x in found]))
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        if len(self.place) + 2 * len(new) > KNOWN and self.place:
-            self.clear()
-            new = list(words)
-        split: list[tuple[bytes, bytes, bytes]] = []
-        stems: dict[bytes, None] = {}
-        for word in new:
-            text = word.decode()
-            body = text.rstrip(_PUNCTUATION)
-            # Between a letter and what follows it here there is always a cut, so both sides can be encoded alone.
-            if body and body[-1].isalpha():
-                stem = (body.lower() if body.isascii() else body).encode()
-                rest = text[len(body) :].encode()
-                if stem == word:
-                    stems[word] = None
-                else:
-                    split.append((word, stem, rest))
-                    stems[stem] = None
-                    if rest:
-                        stems[rest] = None
-            else:
-                stems[word] = None
-        self._encode([s for s in stems if s not in self.place])
-        if split:
-            parts = [np.concatenate((self._ids(stem), self._ids(rest))) if rest else self._ids(stem) for _, stem, rest in split]
-            self._store([w for w, _, _ in split], np.concatenate(parts), np.array([len(p) for p in parts]))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                begin = 0
+                for k, end in zip(part, (last + 1).tolist()):
+                    ids[k] = found[begin:end]
+                    begin = end
+        rest = [k for k, x in enumerate(ids) if x is None]  # also letters that turn into more than letters
+        if rest:
+            for k, e in zip(rest, self.tokenizer.encode_batch([units[k] for k in rest], add_special_tokens=False)):
+                ids[k] = e.ids
+        return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _places(self, hashes: np.ndarray, units) -> np.ndarray:
+        """Places of hashes; ``units(which)`` gives the strings of those asked for."""
+        def look() -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+            return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
+
+        at, known = look()
+        if not known.all():
+            if len(self.hashes) + len(hashes) > KNOWN:
+                self.clear()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            ids, sizes = self._encoded(units(new))
+            used = self.start[-1]
+            if used + len(ids) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros(max(len(ids), len(self.flat)), dtype=np.uint32)))
+            self.flat[used : used + len(ids)] = ids
+            place = np.concatenate((self.place, np.arange(len(new)) + len(self.start) - 1))
+            self.start = np.concatenate((self.start, used + np.cumsum(sizes)))
+            merged = np.concatenate((self.hashes, hashes[new]))
+            order = np.argsort(merged)
+            self.hashes, self.place = merged[order], place[order]
+            at, _ = look()
+        return self.place[at]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with END_ID after each, and where each text's ids start (and the last end)."""
-        words: list[bytes] = []
-        counts = []
-        for text in texts:
-            own = text.split()
-            words += own
-            counts.append(len(own))
-        distinct = set(words)
-        long = {w for w in distinct if len(w) > LONGEST}
-        if long:
-            return self._with_long(texts)
-        self.learn(distinct)
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        raw, begin = text_bytes(column)
+        n_texts = len(begin) - 1
+        if not n_texts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        data = lower_ascii(raw)
+        blank = _BLANK[data]
+        opens = _MARK[data]
+        opens[1:] &= _LETTER[data[:-1]]
+        opens[1:] |= blank[:-1]
+        opens[0] = True
+        opens &= ~blank
+        closes = ~blank
+        closes[:-1] &= blank[1:] | opens[1:]
+        first, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        owner = np.searchsorted(begin, first, side="right") - 1
+        opening = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+        alone = np.union1d(owner[end - first > LONGEST], np.searchsorted(begin, opening, side="right") - 1)
+        if len(alone):
+            usual = ~np.isin(owner, alone)
+            first, end, owner = first[usual], end[usual], owner[usual]
+        hashes = hash_spans(data, first, end)
+        # Sorting the upper bits of the hash with the place packed below them is far cheaper than an argsort. Runs of
+        # equal hashes may come apart when upper bits agree; then a unit is merely looked up twice.
+        low = np.uint64(len(hashes).bit_length())
+        packed = np.sort((hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64))
+        order = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        ranked = hashes[order]
+        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)]
+        sample = order[fresh]
+        text = data.tobytes()
+        place = self._places(ranked[fresh], lambda which: [text[a:b].decode() for a, b in zip(first[sample[which]].tolist(), end[sample[which]].tolist())])
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = place[np.cumsum(fresh) - 1]
         sizes = self.start[at + 1] - self.start[at]
         upto = np.concatenate(([0], np.cumsum(sizes)))
-        ends = np.cumsum(counts)
-        per_text = upto[ends] - upto[ends - np.array(counts)]
+        bound = np.searchsorted(owner, np.arange(n_texts + 1))
+        per_text = upto[bound[1:]] - upto[bound[:-1]]
+        whole = {int(i): self.tokenizer.encode(raw[begin[i] : begin[i + 1] - 1].tobytes().decode(), add_special_tokens=False).ids for i in alone}
+        for i, ids in whole.items():
+            per_text[i] = len(ids)
         starts = np.concatenate(([0], np.cumsum(per_text + 1)))
-        ids = np.full(starts[-1], END_ID, dtype=np.uint32)
-        body = np.ones(len(ids), dtype=bool)
+        out = np.full(starts[-1], END_ID, dtype=np.uint32)
+        body = np.ones(len(out), dtype=bool)
         body[starts[1:] - 1] = False
-        source = np.repeat(self.start[at] - upto[:-1], sizes) + np.arange(upto[-1])
-        ids[body] = self.flat[source]
-        return ids, starts
+        for i, ids in whole.items():
+            out[starts[i] : starts[i + 1] - 1] = ids
+            body[starts[i] : starts[i + 1]] = False
+        source = np.repeat(self.start[at] - upto[:-1], sizes)
+        source += np.arange(upto[-1])
+        out[body] = self.flat[source]
+        return out, starts
 
-    def _with_long(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with a very long word are encoded one by one, the others together."""
-        plain = [i for i, t in enumerate(texts) if max(map(len, t.split()), default=0) <= LONGEST]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        if plain:
-            ids, starts = self.encode([texts[i] for i in plain])
-            for k, i in enumerate(plain):
-                out[i] = ids[starts[k] : starts[k + 1]]
-        for i in set(range(len(texts))) - set(plain):
-            found = self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids
-            out[i] = np.array([*found, END_ID], dtype=np.uint32)
-        return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
 
-
-_loaded: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """The tokenizer of this Python worker, with the words it knows from earlier tasks."""
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+_loaded: dict[str, UnitTokens] = {}
 
 
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    texts = [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
-    return word_tokens(path).encode(texts)
+    """By the tokenizer of this Python worker, with the units it knows from earlier tasks."""
+    if path not in _loaded:
+        _loaded[path] = UnitTokens(path)
+    return _loaded[path].encode(column)
