@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import chat_format, decontaminate, packing, quality_rules, sharding
+from issuequarry.llm import chat_format, decontaminate, packing, quality_rules, sentence_spans, sharding
 from issuequarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.removals(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.digest(chat_format.format_chats(rows))
@@ -39,6 +43,7 @@ def registry() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
+        "op8_sentence_spans": op8_sentence_spans,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
@@ -48,5 +53,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_sharding": sharding.oracle(),
         "op6_decontamination": decontaminate.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
+        "op8_sentence_spans": sentence_spans.ORACLE,
         "op10_chat_formatting": chat_format.ORACLE,
     }
