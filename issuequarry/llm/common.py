@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -120,3 +121,10 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def sampled(rows: DataFrame, keys: list[str], about: int) -> DataFrame:
+    """About ``about`` rows, chosen by a hash of their keys at a rate set by the counted total. For model fitting only."""
+    grain = 1 << 30
+    rate = min(1.0, about / max(1, rows.count()))
+    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(grain)) < F.lit(int(rate * grain)))

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import chat_format, decontaminate, packing, quality_rules, sentence_spans, sharding
+from issuequarry.llm import chat_format, decontaminate, packing, quality_crf, quality_rules, sentence_spans, sharding
 from issuequarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
         "op6_decontamination": op6_decontamination,
