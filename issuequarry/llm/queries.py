@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import chat_format, decontaminate, packing, quality_crf, quality_rules, sentence_spans, sharding
+from issuequarry.llm import chat_format, decontaminate, near_dedup, packing, pii, quality_crf, quality_rules, sentence_spans, sharding
 from issuequarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,11 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.removals(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.learn(docs))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.digest(chat_format.format_chats(rows))
@@ -44,11 +53,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_near_dedup": op2_near_dedup,
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_sentence_spans": op8_sentence_spans,
+        "op9_pii": op9_pii,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
