@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import chat_format, decontaminate, near_dedup, packing, pii, quality_crf, quality_rules, sentence_spans, sharding
+from issuequarry.llm import chat_format, decontaminate, near_dedup, packing, pii, quality_crf, quality_rules, sentence_spans, sharding, suffix_dedup
 from issuequarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -56,6 +60,7 @@ def registry() -> dict[str, Query]:
         "op2_near_dedup": op2_near_dedup,
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_sentence_spans": op8_sentence_spans,
