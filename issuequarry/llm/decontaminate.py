@@ -181,8 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "item", F.col("m.gram").alias("gram"), F.col("m.near").alias("near_item"),
     )
     # Several places of an item may look alike; each content is needed once.
-    item_grams = item_grams.distinct()
-    item_wholes = items.select(F.col("id").cast("string").alias("item"), F.explode("shorts").alias("s")).select("item", "s.hash").distinct()
+    item_grams = checkpointed(item_grams.distinct(), "decontaminate-grams")
+    item_wholes = items.select(F.col("id").cast("string").alias("item"), F.explode("shorts").alias("s")).select("item", "s.hash")
+    item_wholes = checkpointed(item_wholes.distinct(), "decontaminate-wholes")
     grams = rows.select("row", F.explode("marks").alias("m")).select("row", "m.gram", "m.place", "m.near")
     wholes = rows.select("row", F.explode("shorts").alias("s")).select("row", "s.hash", "s.place", "s.length")
     met = grams.join(item_grams, "gram").select("row", "item", "place", "near", "near_item")

@@ -112,14 +112,16 @@ def _verified(percent: int):
 def connected(edges: DataFrame) -> DataFrame:
     """node and comp, the smallest node of its component, by alternating large and small stars.
 
-    Stars are a minimum per node and a join back on it, so a node of any degree is never gathered in one place.
+    Stars are a minimum per node and a join back on it, so a node of any degree is never gathered in one place. The
+    minima are written first, so that the edges of a node of high degree can be split at run time.
     """
     now, seen = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("u", "v") % 1_000_003))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large, "edges-large")
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
             F.col("e.v").alias("u"), F.col("e.m").alias("v"),
         ).filter("u <> v").distinct()
@@ -128,7 +130,7 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         now, seen = after, facts
     tops = now.select(F.col("v").alias("u"), "v").distinct()
-    return now.unionByName(tops).select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    return checkpointed(now.unionByName(tops).select(F.col("u").alias("node"), F.col("v").alias("comp")), "edges-labels")
 
 
 def _plausible(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -149,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     # Inverted lists under each class's rarest retained values.
     postings = classes.select("rep", "hi", "lo", F.explode("sketch").alias("value"))
-    shared = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = checkpointed(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
     met = postings.join(shared, "value").groupBy("rep", "hi", "lo").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))
     needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
     rare = F.size("met") - needed + 1  # values of one class alone would come first in the order, and take no list
@@ -157,7 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         "rep", "hi", "lo", "n", "sketch", F.explode(F.slice("met", F.lit(1), rare.cast("int"))).alias("e"),
     ).select("rep", "hi", "lo", "n", "sketch", F.col("e.value").alias("value"))
     entries = checkpointed(entries, "near-entries")
-    listed = entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value")
+    listed = checkpointed(entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value"), "near-listed")
     entries = checkpointed(entries.join(listed, "value"), "near-lists")
 
     # Full sets of the listed classes alone. The filter over ids has a fixed size whatever the corpus.
@@ -188,8 +190,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         return checkpointed(met.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct(), "near-pairs")
 
     def centres_by(order: Column, members: DataFrame) -> DataFrame:
-        chosen = members.groupBy("value").agg(F.min_by("rep", order).alias("centre"))
-        return members.join(chosen, "value").filter("rep = centre").drop("centre")
+        chosen = checkpointed(members.groupBy("value").agg(F.min_by("rep", order).alias("rep")), "near-chosen")
+        return checkpointed(members.join(chosen, ["value", "rep"]), "near-centres")
 
     member = entries.select("value", "rep", "n", "sketch", F.col("rep").alias("comp"))
     edges = checkpointed(links(pairs_of(member, centres_by(F.col("rep"), member))), "near-links")
@@ -198,13 +200,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         placed = member.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         placed = checkpointed(placed, "near-placed")
         open_lists = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("value")
+        open_lists = checkpointed(open_lists, "near-open-lists")
         still = checkpointed(placed.join(open_lists, "value"), "near-open")
         if step == "centre by hash":
             pairs = pairs_of(still, centres_by(F.xxhash64("value", "rep"), still))
         else:
             # All classes outside a list's largest component meet those of other components.
             sizes = still.groupBy("value", "comp").agg(F.count("*").alias("size")).groupBy("value").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"))
-            outside = still.join(sizes, "value").filter("comp <> most").drop("most")
+            outside = checkpointed(still.join(checkpointed(sizes, "near-sizes"), "value").filter("comp <> most").drop("most"), "near-outside")
             pairs = pairs_of(still, outside)
         edges = checkpointed(edges.unionByName(links(pairs)), "near-links")
         labels = connected(edges)

@@ -73,9 +73,10 @@ def _scan(run: int):
 def _covered(rows: DataFrame, run: int) -> DataFrame:
     """Per row with something to remove: the numbers of its removed sentences, sorted."""
     places = rows.select("row", "doc_id", F.posexplode("runs").alias("at", "run"))
-    again = places.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run")
-    found = places.join(again, "run")
-    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"))
+    # Sides with one row per run are written first: then the other side's hot runs can be split at run time.
+    again = checkpointed(places.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run"), "sentence-again")
+    found = checkpointed(places.join(again, "run"), "sentence-found")
+    first = checkpointed(found.groupBy("run").agg(F.min(F.struct("doc_id", "row", "at")).alias("first")), "sentence-first")
     later = found.join(first, "run").filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
     marks = later.select("row", F.explode(F.sequence("at", F.col("at") + (run - 1))).alias("at")).distinct()
     return marks.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("removed"))

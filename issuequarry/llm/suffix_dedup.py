@@ -184,7 +184,8 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
     texts = rows.filter(F.size("anchors") > 0).groupBy("hi", "lo", "anchors").agg(F.count("*").alias("m"))
     texts = checkpointed(texts, "suffix-texts")
     places = texts.select("hi", "lo", "m", F.explode("anchors").alias("a")).select("hi", "lo", "m", "a.*")
-    again = places.groupBy("g").agg(F.sum("m").alias("n")).filter("n > 1").select("g")
+    # Sides with one row per key are written first: then the other side's hot keys can be split at run time.
+    again = checkpointed(places.groupBy("g").agg(F.sum("m").alias("n")).filter("n > 1").select("g"), "suffix-again")
     places = checkpointed(places.join(again, "g"), "suffix-places")
     contents = places.groupBy("g", "x").agg(F.sum("m").alias("n"), F.min(F.struct("hi", "lo", "at", "size")).alias("r"))
     contents = checkpointed(contents.select("g", "x", "n", "r.*"), "suffix-contents")
@@ -206,7 +207,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
 
     wanted = contents.groupBy("hi", "lo").agg(F.collect_list(F.struct("g", "x", "n", "at", "size")).alias("wanted"))
     cut = raw.join(wanted, ["hi", "lo"]).select("raw", "wanted").mapInArrow(_extracts, "g bigint, x bigint, n bigint, extract binary")
-    weights = contents.groupBy("g").agg(F.sum("size").alias("bytes"))
+    weights = checkpointed(contents.groupBy("g").agg(F.sum("size").alias("bytes")), "suffix-weights")
     total = weights.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
     crowded = weights.filter(F.col("bytes") > shard_bytes).select("g", F.lit(True).alias("crowded"))
@@ -214,7 +215,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
     usual = extracts.filter("crowded IS NULL").select("g", "x", "n", "extract", F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard"))
     judged = usual.groupBy("shard").applyInArrow(lambda t: _sorted_shard(length)(t), "g bigint, x bigint, runs array<int>")
     spelt = extracts.filter("crowded").select("g", "x", "n", "extract").mapInArrow(_windows(length), "g bigint, x bigint, n bigint, w binary, at int")
-    twice = spelt.groupBy("g", "w").agg(F.sum("n").alias("total")).filter("total > 1").select("g", "w")
+    twice = checkpointed(spelt.groupBy("g", "w").agg(F.sum("n").alias("total")).filter("total > 1").select("g", "w"), "suffix-twice")
     single = spelt.join(twice, ["g", "w"]).select("g", "x", F.array(F.col("at"), F.col("at") + 1).alias("runs"))
     judged = checkpointed(judged.unionByName(single).filter(F.size("runs") > 0), "suffix-judged")
 
