@@ -9,7 +9,9 @@ A document's set holds the hashes of its distinct ``SHINGLE``-word shingles; its
    many documents hold are hardly ever used.
 3. Within a list, pairs are not spelt out. Every class first meets the list's smallest class; classes already connected
    are then left alone, others meet a second centre chosen by hash, and what is still apart meets every class of another
-   component. A union-sketch estimate in the join condition keeps pairs without a chance from ever being rows.
+   component. Two tests in the join condition keep pairs without a chance from ever being rows: the parities of
+   ``ODD_BITS`` buckets, which differ in no more places than the sets have unshared values (so no link is lost), and
+   the union-sketch estimate.
 4. Survivors are verified on full sets, which only classes in such lists rebuild from their texts, and connected.
 
 No link between components is lost: any two classes of one list are compared, or already connected.
@@ -36,6 +38,7 @@ KEPT = 32
 SHARED = 12
 PERCENT = 80
 FILTER_BITS = 22
+ODD_BITS = 1024
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -64,16 +67,22 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
     return int(hi.view(np.int64)), int(lo.view(np.int64))
 
 
+def odd_bits(own: np.ndarray) -> np.ndarray:
+    """One bit per bucket: whether an odd number of the set's values falls into it."""
+    bucket = (mix(own.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) % np.uint64(ODD_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(bucket, minlength=ODD_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _sketches(shingle: int, kept: int):
     def sketch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            size, hi, lo, low = [], [], [], []
+            size, hi, lo, low, odd = [], [], [], [], []
             for own in shingle_sets(batch.column("text"), shingle):
                 a, b = set_key(own)
-                size.append(len(own)), hi.append(a), lo.append(b), low.append(own[:kept])
+                size.append(len(own)), hi.append(a), lo.append(b), low.append(own[:kept]), odd.append(odd_bits(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "hi", "lo", "sketch"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "hi", "lo", "sketch", "odd"],
             )
 
     return sketch
@@ -133,6 +142,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return checkpointed(now.unionByName(tops).select(F.col("u").alias("node"), F.col("v").alias("comp")), "edges-labels")
 
 
+def _few_unshared(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
+    """With the asked similarity at most (100 - percent) of (100 + percent) parts of both sizes are unshared."""
+    differing = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return differing * (100 + percent) <= (na + nb) * (100 - percent)
+
+
 def _plausible(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
     """Sizes allow the similarity, and so does the estimate from the union's ``KEPT`` smallest values."""
     union = F.sort_array(F.array_union(a, b))
@@ -145,8 +160,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """One row per document: doc_id, n_shingles, component_id, kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lean = docs.select("doc_id", "text")
-    rows = checkpointed(lean.mapInArrow(_sketches(shingle, KEPT), f"doc_id {kind}, n bigint, hi bigint, lo bigint, sketch array<bigint>"), "near-sketches")
-    classes = rows.filter("n > 0").groupBy("hi", "lo", "n", "sketch").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL")
+    rows = checkpointed(lean.mapInArrow(_sketches(shingle, KEPT), f"doc_id {kind}, n bigint, hi bigint, lo bigint, sketch array<bigint>, odd array<bigint>"), "near-sketches")
+    classes = rows.filter("n > 0").groupBy("hi", "lo", "n", "sketch", "odd").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL")
     classes = checkpointed(classes, "near-classes")
 
     # Inverted lists under each class's rarest retained values.
@@ -156,8 +171,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
     rare = F.size("met") - needed + 1  # values of one class alone would come first in the order, and take no list
     entries = classes.join(met, ["rep", "hi", "lo"]).filter(rare > 0).select(
-        "rep", "hi", "lo", "n", "sketch", F.explode(F.slice("met", F.lit(1), rare.cast("int"))).alias("e"),
-    ).select("rep", "hi", "lo", "n", "sketch", F.col("e.value").alias("value"))
+        "rep", "hi", "lo", "n", "sketch", "odd", F.explode(F.slice("met", F.lit(1), rare.cast("int"))).alias("e"),
+    ).select("rep", "hi", "lo", "n", "sketch", "odd", F.col("e.value").alias("value"))
     entries = checkpointed(entries, "near-entries")
     listed = checkpointed(entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value"), "near-listed")
     entries = checkpointed(entries.join(listed, "value"), "near-lists")
@@ -183,9 +198,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), f"a {kind}, b {kind}")
 
     def pairs_of(members: DataFrame, centres: DataFrame) -> DataFrame:
-        c = centres.select("value", *[F.col(x).alias(f"c_{x}") for x in ("rep", "n", "sketch", "comp")])
+        c = centres.select("value", *[F.col(x).alias(f"c_{x}") for x in ("rep", "n", "sketch", "odd", "comp")])
         apart = (F.col("rep") != F.col("c_rep")) & (F.col("comp") != F.col("c_comp"))
-        fit = _plausible(F.col("sketch"), F.col("c_sketch"), F.col("n"), F.col("c_n"), percent)
+        fit = _few_unshared(F.col("odd"), F.col("c_odd"), F.col("n"), F.col("c_n"), percent) & _plausible(F.col("sketch"), F.col("c_sketch"), F.col("n"), F.col("c_n"), percent)
         met = members.join(c, (members["value"] == c["value"]) & apart & fit)
         return checkpointed(met.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct(), "near-pairs")
 
@@ -193,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         chosen = checkpointed(members.groupBy("value").agg(F.min_by("rep", order).alias("rep")), "near-chosen")
         return checkpointed(members.join(chosen, ["value", "rep"]), "near-centres")
 
-    member = entries.select("value", "rep", "n", "sketch", F.col("rep").alias("comp"))
+    member = entries.select("value", "rep", "n", "sketch", "odd", F.col("rep").alias("comp"))
     edges = checkpointed(links(pairs_of(member, centres_by(F.col("rep"), member))), "near-links")
     labels = connected(edges)
     for step in ("centre by hash", "all that is apart"):
