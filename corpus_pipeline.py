@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the line classifier does not reject."""
     model = quality_crf.learn(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.scored(docs, model).filter("score >= 0.5").select(*docs.columns)
+    return quality_crf.scored(docs, model).filter("_score >= 0.5").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from issuequarry.llm.common import batches, hash_spans, lists, sampled, spans_of, text_bytes
 
@@ -189,18 +190,17 @@ def learn(docs: DataFrame, labels: DataFrame, about: int = TRAIN_DOCS) -> dict[s
     return fit(x[take], counts[key], label[key])
 
 
-def scored(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    """The documents, all their columns, with ``score``. Only the text is read for it."""
-    columns = [c for c in docs.columns if c != "score"]
+def scored(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "_score") -> DataFrame:
+    """The documents, all their columns, with the score as column ``name``. Only the text is read for it."""
+    columns = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             found = document_scores(model, *line_features(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)], names=[*columns, name])
 
-    given = docs.select(*columns)
-    schema = given.schema.add("score", "double")
-    return given.mapInArrow(score, schema)
+    return docs.mapInArrow(score, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
