@@ -610,23 +610,21 @@ class AnnIndex:
 
 def ivf_index(
     vectors: DataFrame, *, lists: int = 100, nprobe: int = 8, keep: int = 51, seed: int = 42,
-    train_rows: int = 1_000_000, block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
     """Inverted lists around k-means centres.
 
-    Only the centres are learnt from a bounded draw of distinct vectors; every
+    The centres are fitted, distributed, to all distinct vectors, and every
     vector is placed in a list.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points, facts = written(distinct_vectors(vectors, keep), "points", n=F.count(F.lit(1)))
-    # The hash decides who is drawn, on every executor alike and without a sort.
-    every = max(1, math.ceil(facts["n"] / train_rows))
-    drawn = points.filter(F.pmod("h1", F.lit(every)) == 0).select(
+    points = written(distinct_vectors(vectors, keep), "points")[0]
+    features = points.select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(drawn)
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(features)
     router = CentreRouter(np.stack(model.clusterCenters()), nprobe)
     return AnnIndex(pack_vectors(points, router, keep, block_rows), router, keep, overlapping=False)
 

@@ -148,7 +148,7 @@ def event_filter(deliveries: DataFrame) -> DataFrame:
 
 
 def with_verdict(deliveries: DataFrame, github_secret: str, jira_secret: str | None = None) -> DataFrame:
-    """Add ``authentic``: signature check for one provider, identifier check for the other.
+    """Add ``authentic``: signature check for one provider, identifier check for the other, nothing from anyone else.
 
     There is no built-in HMAC; composing one from hash built-ins would put key
     material into query plans, so the check runs on Arrow batches instead.
@@ -169,9 +169,9 @@ def with_verdict(deliveries: DataFrame, github_secret: str, jira_secret: str | N
     identified = F.lit(True)
     if jira_secret:
         identified = F.coalesce(headers[IDENTIFIER_HEADER] == F.lit(jira_secret), F.lit(False))
-    github = F.col("source") == "github"
+    github, jira = F.col("source") == "github", F.col("source") == "jira"
     checked = deliveries.withColumn("_signed", signed(F.col("body"), headers[SIGNATURE_HEADER]))
-    return checked.withColumn("authentic", F.when(github, F.col("_signed")).otherwise(identified)).drop("_signed")
+    return checked.withColumn("authentic", F.when(github, F.col("_signed")).when(jira, identified).otherwise(F.lit(False))).drop("_signed")
 
 
 def authentic_deliveries(

@@ -158,7 +158,8 @@ def _edits(source: list[str], target: list[str], allowed: int) -> int:
     at_least = max(len(source), len(target)) - shared
     if at_least > allowed:
         return at_least
-    blocks = SequenceMatcher(a=source, b=target).get_opcodes()
+    # Common words count in long texts as they do in short ones.
+    blocks = SequenceMatcher(a=source, b=target, autojunk=False).get_opcodes()
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in blocks if tag != "equal")
 
 

@@ -18,25 +18,10 @@ SECRET = "secret"
 JIRA_BASE_URL = "https://tracker.example.net"
 
 
-SMALL_INPUT = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores.
-
-    A small file is often a single row group, which one task would read and
-    work on alone. Inputs beyond the bound keep the partitions of their scan.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def run_ts() -> Column:
     return run_timestamp(RUN_ISO)
 
@@ -68,7 +53,7 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _typed(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+    return _typed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _iso(suffix: Column) -> Column:

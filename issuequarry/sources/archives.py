@@ -38,16 +38,23 @@ def scan_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def scan_ndjson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw archive lines (column ``value``), blank ones dropped, malformed ones failing the job."""
+    """Raw archive lines (column ``value``), blank ones dropped, malformed ones failing the job.
+
+    ``arrival`` orders them by file, block and line; it is taken in the scan, before a gzip file is spread.
+    """
     found = resolve_archive(spark, path)
     if found is None:
         raise FileNotFoundError(path)
-    lines = spark.read.text(found).filter(strip(F.col("value")) != "")
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    lines = spark.read.text(found).select("value", place.alias("arrival")).filter(strip(F.col("value")) != "")
     if found.endswith(".gz"):
         lines = lines.repartition(spark.sparkContext.defaultParallelism)
     well_formed = F.try_parse_json("value").isNotNull()
     failed = F.raise_error(F.concat(F.lit("malformed archive line: "), F.col("value"))).cast("string")
-    return lines.select(F.when(well_formed, F.col("value")).otherwise(failed).alias("value"))
+    return lines.select(F.when(well_formed, F.col("value")).otherwise(failed).alias("value"), "arrival")
 
 
 def scan_labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -97,9 +104,8 @@ def load_archives(
     for scan in scans[1:]:
         lines = lines.unionByName(scan)
     run_ts = run_timestamp(run_iso)
-    # Line order of a file scan decides which of two records with one key is last.
-    arriving = lines.withColumn("arrival", F.monotonically_increasing_id())
-    records = checkpointed(normalize.normalize_archive(arriving, run_ts), "records")
+    # Line order decides which of two records with one key is last.
+    records = checkpointed(normalize.normalize_archive(lines, run_ts), "records")
     loaded = maintain.upsert_issues(issues, records.drop("labels"))
     owners = records.join(loaded.select("id", *maintain.ISSUE_KEY), maintain.ISSUE_KEY)
     batch = owners.select(F.col("id").alias("issue_id"), "labels", "source", "arrival")
