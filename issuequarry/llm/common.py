@@ -36,7 +36,7 @@ def row_keys(n: int, state: dict) -> np.ndarray:
     return np.arange(first, first + n, dtype=np.int64)
 
 
-def batches(stream: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(stream: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``limit`` bytes of column ``text``, or one longer text."""
     for batch in stream:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
