@@ -67,18 +67,38 @@ def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        for key, by in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(size, by, dtype=np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+#: Bytes of one block of the prefix sums: what hashing needs beside the data does not grow with a text.
+_BLOCK = 1 << 18
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int = _BLOCK) -> np.ndarray:
+    """base**0 to base**n modulo 2**64; tables of one block are kept."""
+    if n == _BLOCK and base in _powers:
+        return _powers[base]
+    steps = np.full(n + 1, base, dtype=np.uint64)
+    steps[0] = 1
+    table = np.multiply.accumulate(steps)
+    if n == _BLOCK:
+        _powers[base] = table
+    return table
+
+
+def _prefix_sums(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The polynomial of all bytes before each place, places in ascending order, a block of the data at a time."""
+    up = _powers_of(BASE)
+    out = np.zeros(len(at), dtype=np.uint64)
+    total, scale = np.zeros(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+    sums = np.zeros(_BLOCK + 1, dtype=np.uint64)
+    blocks = np.arange(0, len(data) + 1, _BLOCK)
+    cuts = np.append(np.searchsorted(at, blocks), len(at))
+    for block, i, j in zip(blocks.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+        part = data[block : block + _BLOCK]
+        np.cumsum((part + np.uint64(1)) * up[: len(part)], out=sums[1 : len(part) + 1])
+        out[i:j] = total + scale * sums[at[i:j] - block]
+        total += scale * sums[len(part)]
+        scale *= up[_BLOCK]
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,11 +111,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, by prefix sums of a polynomial modulo 2**64."""
-    up, down = _power_table(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
+    """64-bit hash of each byte span, by prefix sums of a polynomial modulo 2**64. Starts and ends ascend."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    far = _powers_of(pow(INVERSE, _BLOCK, 1 << 64), len(data) // _BLOCK)
+    down = far[starts // _BLOCK] * _powers_of(INVERSE)[starts % _BLOCK]
+    return mix((_prefix_sums(data, ends) - _prefix_sums(data, starts)) * down + mix((ends - starts).astype(np.uint64)))
 
 
 def hash_runs(words: np.ndarray, length: int) -> np.ndarray:

@@ -185,11 +185,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def known(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            yield batch.filter(pa.array(bits[batch.column("s").to_numpy(zero_copy_only=False)])).drop_columns(["s"])
+            yield batch.filter(pa.array(bits[batch.column("s").to_numpy(zero_copy_only=False)]))
+
+    def known_sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sets(shingle)(known(stream))
 
     keyed = lean.filter("doc_id IS NOT NULL").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int"))
-    text_kind = f"doc_id {kind}, text string"
-    sets = keyed.mapInArrow(known, text_kind).mapInArrow(_sets(shingle), f"doc_id {kind}, hi bigint, lo bigint, shingles binary")
+    sets = keyed.mapInArrow(known_sets, f"doc_id {kind}, hi bigint, lo bigint, shingles binary")
     sets = sets.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "hi", "lo"], "left_semi").groupBy("rep", "hi", "lo").agg(F.first("shingles").alias("shingles"))
     sets = checkpointed(sets.select("rep", "shingles"), "near-sets")
 

@@ -45,16 +45,17 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     n_texts = len(starts) - 1
     begin, end = spans_of(~_BLANK[data])
     text_of_word = np.searchsorted(starts, begin, side="right") - 1
-    breaks = np.concatenate(([0], np.cumsum(data == 10)))[begin] if len(begin) else begin
+    breaks = np.searchsorted(np.flatnonzero(data == 10), begin)
     opens = np.flatnonzero(np.concatenate(([True], (np.diff(breaks) > 0) | (np.diff(text_of_word) > 0)))[: len(begin)])
     n_words = np.diff(np.append(opens, len(begin)))
     line_begin, line_end = begin[opens], end[np.append(opens[1:], len(begin)) - 1] if len(opens) else begin[opens]
     text = text_of_word[opens]
     size = (line_end - line_begin).astype(np.float64)
 
+    bounds = np.stack((line_begin, line_end), axis=1).ravel()  # a blank ends each text, so ends are places too
+
     def per_line(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-        return (total[line_end] - total[line_begin]).astype(np.float64)
+        return np.add.reduceat(flags, bounds, dtype=np.int64)[::2].astype(np.float64) if len(bounds) else np.zeros(0)
 
     upper, lower, digit, symbol, shout, stop, accent = (per_line(row[data]) for row in _TABLE)
     if len(data):  # capitals of the Latin-1 block: C3 80 to C3 9E

@@ -39,9 +39,9 @@ def sentences_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     begin, end = spans_of(~_BLANK[data])
     if not len(begin):
         return begin, end, np.zeros(len(starts) - 1, dtype=np.int64)
-    breaks = np.concatenate(([0], np.cumsum(data == 10)))
+    breaks = np.flatnonzero(data == 10)
     text = np.searchsorted(starts, begin, side="right") - 1
-    closes = _STOP[data[end[:-1] - 1]] | (breaks[begin[1:]] > breaks[end[:-1]]) | (text[1:] != text[:-1])
+    closes = _STOP[data[end[:-1] - 1]] | (np.searchsorted(breaks, begin[1:]) > np.searchsorted(breaks, end[:-1])) | (text[1:] != text[:-1])
     opens = np.flatnonzero(np.concatenate(([True], closes)))
     place = np.arange(len(begin)) - np.repeat(opens, np.diff(np.append(opens, len(begin))))
     first = np.flatnonzero(place % LONGEST == 0)
