@@ -18,6 +18,9 @@ from issuequarry.session import checkpointed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Words per shingle of the near-duplicate stage.
+SHINGLE = 5
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the line classifier does not reject."""
@@ -27,7 +30,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dedup.kept(docs)
+    return near_dedup.kept(docs, SHINGLE)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
