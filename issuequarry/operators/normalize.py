@@ -29,6 +29,11 @@ def _with_issue(df: DataFrame, raw: str) -> DataFrame:
     )
 
 
+def readable(raw: Column) -> Column:
+    """Whether a payload is a JSON object. Anything else holds no issue and belongs in quarantine."""
+    return P.is_object(P.parse_payload(raw), "$")
+
+
 def _id_text(v: Column) -> Column:
     return F.coalesce(P.text(v, "$.id"), F.lit("None"))
 
@@ -70,7 +75,7 @@ def _jira_fields(p: Column, i: Column, raw: Column, run_ts: Column) -> Column:
 
 def _normalized(df: DataFrame, raw: str, run_ts: Column, fields) -> DataFrame:
     kept = [c for c in df.columns if c not in (raw, "source", "headers")]
-    parsed = _with_issue(df, raw)
+    parsed = _with_issue(df.filter(readable(F.col(raw))), raw)
     issue = fields(F.col("_payload"), F.col("_issue"), F.col(raw), run_ts)
     return parsed.select(*kept, issue.alias("_row")).select(*kept, "_row.*")
 
@@ -79,13 +84,14 @@ def normalize_github(df: DataFrame, run_ts: Column, raw: str = "body") -> DataFr
     """Issue rows from repository-tracker payloads; other columns of ``df`` are kept.
 
     Pull-request events keep title and body elsewhere and so come out with a
-    blank title; ``blank_title`` flags them.
+    blank title; ``blank_title`` flags them. Payloads that are no JSON object
+    give no row.
     """
     return _normalized(df, raw, run_ts, _github_fields)
 
 
 def normalize_jira(df: DataFrame, run_ts: Column, raw: str = "body") -> DataFrame:
-    """Issue rows from project-tracker payloads; missing parents give nulls."""
+    """Issue rows from project-tracker payloads; missing parents give nulls, no JSON object gives no row."""
     return _normalized(df, raw, run_ts, _jira_fields)
 
 

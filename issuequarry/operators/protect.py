@@ -6,6 +6,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from difflib import SequenceMatcher
+from itertools import chain, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,11 +35,11 @@ TERM_MARKS = ("\uf8fd", "\uf8fc")
 EDIT_BUDGET = 15
 EDIT_RATIO = 0.25
 
-_SPAN = T.StructType([
-    T.StructField("idx", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()),
-    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+#: A text cut at all span bounds: pieces at odd places are spans, the others lie between them.
+_CUT = T.StructType([
+    T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("bounds", T.ArrayType(T.IntegerType())),
+    T.StructField("pieces", T.ArrayType(T.StringType())),
 ])
-_PROTECTED = T.StructType([T.StructField("masked", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN))])
 _COMPILED = [(kind, re.compile(pattern, flags)) for kind, pattern, flags in ENTITY_PATTERNS]
 
 
@@ -58,29 +59,28 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-@F.pandas_udf(_PROTECTED)
-def _protect(texts: pd.Series) -> pd.DataFrame:
-    masked, found = [], []
+@F.pandas_udf(_CUT)
+def _cut_at_spans(texts: pd.Series) -> pd.DataFrame:
+    rows = []
     for text in texts:
-        if text is None:
-            masked.append(None)
-            found.append([])
-            continue
-        parts, rows, cursor = [], [], 0
-        for idx, (start, end, kind) in enumerate(find_spans(text)):
-            parts += [text[cursor:start], f"{SPAN_MARKS[0]}{idx}{SPAN_MARKS[1]}"]
-            rows.append({"idx": idx, "kind": kind, "value": text[start:end], "start": start, "end": end})
-            cursor = end
-        parts.append(text[cursor:])
-        masked.append("".join(parts))
-        found.append(rows)
-    return pd.DataFrame({"masked": masked, "spans": found})
+        spans = find_spans(text) if text is not None else []
+        bounds = [0, *chain.from_iterable(span[:2] for span in spans), len(text or "")]
+        pieces = [text[a:b] for a, b in pairwise(bounds)] if text is not None else None
+        rows.append(([kind for _, _, kind in spans], bounds, pieces))
+    return pd.DataFrame(rows, columns=_CUT.names)
 
 
 def mask_corpus(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``masked`` and ``spans`` to every row."""
-    cut = texts.withColumn("_cut", _protect(F.col(text)))
-    return cut.select(*texts.columns, "_cut.masked", "_cut.spans")
+    """Add ``masked`` and ``spans`` to every row. Python cuts the text, Spark puts numbers in place of the spans."""
+    cut = texts.withColumn("_cut", _cut_at_spans(F.col(text)))
+    pieces, bounds = F.col("_cut.pieces"), F.col("_cut.bounds")
+    number = lambda i: F.floor(i / 2).cast("string")
+    masked = F.array_join(F.transform(pieces, lambda piece, i: F.when(
+        i % 2 == 1, F.concat(F.lit(SPAN_MARKS[0]), number(i), F.lit(SPAN_MARKS[1]))).otherwise(piece)), "")
+    spans = F.transform("_cut.kinds", lambda kind, i: F.struct(
+        i.alias("idx"), kind.alias("kind"), F.get(pieces, 2 * i + 1).alias("value"),
+        F.get(bounds, 2 * i + 1).alias("start"), F.get(bounds, 2 * i + 2).alias("end")))
+    return cut.select(*texts.columns, masked.alias("masked"), spans.alias("spans"))
 
 
 def locked_entities(texts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -318,8 +318,9 @@ def oracle_sql() -> dict[str, str]:
         "load_guard": _sql(
             "SELECT source, count(*) AS issues, CAST(0 AS BIGINT) AS loaded FROM issues GROUP BY source", "issues"),
         "load_counts": _sql(
-            f"SELECT source, count(*) AS inserted, CAST(2 * count(*) AS BIGINT) AS labels, count(*) AS ids FROM "
-            f"(SELECT DISTINCT tracker AS source, {archive_key} AS k FROM docs) GROUP BY source", "docs"),
+            "SELECT source, count(*) AS inserted, CAST(2 * count(DISTINCT k) AS BIGINT) AS labels, count(DISTINCT k) AS ids, "
+            f"CAST(0 AS BIGINT) AS stale_vectors FROM (SELECT tracker AS source, {archive_key} AS k FROM docs) GROUP BY source",
+            "docs"),
         "sink_ndjson_or_parquet": _sql(
             "SELECT format, source, count(*) AS rows, CAST(sum(length(title) + length(body)) AS BIGINT) AS characters "
             "FROM issues, (SELECT unnest(['parquet', 'json']) AS format) GROUP BY format, source", "issues"),
@@ -440,11 +441,11 @@ def oracle_sql() -> dict[str, str]:
             "CAST(CASE WHEN turn > 0 THEN turn * 20 ELSE 10 END AS BIGINT) AS k, "
             "CAST(CASE WHEN role <> 'user' THEN turn / 2.0 ELSE 0.5 END AS DOUBLE) AS alpha FROM conversations)"),
         "triage_propose": _sql(
-            "SELECT query_id AS issue_id, 'needs-triage' AS labels, '' AS assignee_candidates, "
-            "'Similar issues suggest investigating related regressions.' AS summary, "
-            "string_agg(CAST(issue_id AS VARCHAR), ',' ORDER BY rank) AS similar_ids FROM (SELECT *, row_number() OVER "
-            "(PARTITION BY query_id ORDER BY distance, issue_id) AS rank FROM dists WHERE query_id IN (SELECT id FROM issues) "
-            "AND issue_id IN (SELECT id FROM issues)) WHERE rank <= 5 GROUP BY query_id", "dists", "issues"),
+            "SELECT id AS issue_id, 'needs-triage' AS labels, '' AS assignee_candidates, "
+            "'Similar issues suggest investigating related regressions.' AS summary, coalesce(similar_ids, '') AS similar_ids "
+            "FROM issues LEFT JOIN (SELECT query_id, string_agg(CAST(issue_id AS VARCHAR), ',' ORDER BY rank) AS similar_ids "
+            "FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, issue_id) AS rank FROM dists "
+            "WHERE issue_id IN (SELECT id FROM issues)) WHERE rank <= 5 GROUP BY query_id) ON query_id = id", "dists", "issues"),
         "writeback_plan": _sql(
             ", judged AS (SELECT a.*, i.id, i.source, repo, external_key, CASE WHEN i.id IS NULL THEN 'issue not found' "
             f"WHEN {github_ok} AND (repo IS NULL OR i.id = 0) THEN 'missing repo or number' "
@@ -517,6 +518,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_ingest": _sql(
             "SELECT row_number() OVER (ORDER BY first_arrival) AS id, source, external_key, title, body, status, "
             f"{_STAMP} AS created_at FROM ingested", "ingested"),
+        "rejected_deliveries": _sql(
+            "SELECT tracker AS source, arrival, CAST(NULL AS VARCHAR) AS body_md5 FROM sent WHERE forged UNION ALL "
+            "SELECT 'github', 1000000000000 + 2 * page_id, md5(html) FROM pages UNION ALL "
+            "SELECT 'GitHub', 1000000000001 + 2 * page_id, md5('{\"issue\": {\"id\": ' || page_id || '}}') FROM pages", "sent"),
         "embed_jobs": _sql(
             "SELECT row_number() OVER (ORDER BY first_arrival) AS issue_id, false AS force FROM ingested", "ingested"),
         "stream_embed": _sql(

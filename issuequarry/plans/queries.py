@@ -79,35 +79,42 @@ def stream_deliveries(spark, sf):
     return received.select("source", "arrival", F.col("headers")[normalize.EVENT_HEADER].alias("event"))
 
 
-def _archive_load(spark: SparkSession, sf: str, force: bool) -> tuple[DataFrame, DataFrame, int]:
+def _archives(spark: SparkSession, sf: str) -> dict[str, str]:
     paths = {}
     records = V.archive_records(spark, sf)
     for flavor in ("github", "jira"):
         paths[flavor] = scratch_path(spark, f"archive-{flavor}")
         records.filter(F.col("flavor") == flavor).select("value").write.text(paths[flavor])
     paths["other"] = scratch_path(spark, "absent")
+    return paths
+
+
+def _archive_load(spark: SparkSession, sf: str, paths: dict[str, str], force: bool) -> tuple[DataFrame, DataFrame, int, list[DataFrame]]:
     return archives.load_archives(
-        spark, paths, V.issues(spark, sf), V.labels(spark, sf).select(*schemas.LABELS.names), V.RUN_ISO, force
+        spark, paths, V.issues(spark, sf), V.labels(spark, sf).select(*schemas.LABELS.names), V.RUN_ISO, force,
+        [V.vectors(spark, sf)],
     )
 
 
 @query
 def load_guard(spark, sf):
     """Unforced load into a filled table: nothing is loaded, the table stays."""
-    kept, _, loaded = _archive_load(spark, sf, force=False)
+    kept, _, loaded, _ = _archive_load(spark, sf, _archives(spark, sf), force=False)
     return kept.groupBy("source").agg(F.count("*").alias("issues"), F.lit(loaded).cast("bigint").alias("loaded"))
 
 
 @query
 def load_counts(spark, sf):
-    """Forced load: the archives replace what was there."""
-    loaded, labels, _ = _archive_load(spark, sf, force=True)
+    """Forced load: the archives replace what was there, and nothing of the old issues stays."""
+    paths = _archives(spark, sf)
+    loaded, labels, _, (vectors,) = _archive_load(spark, sf, paths, force=True)
     loaded = checkpointed(loaded, "loaded")
     per_issue = labels.groupBy("issue_id").agg(F.count("*").alias("n"))
     counted = loaded.join(per_issue, F.col("id") == F.col("issue_id"), "left")
-    return maintain.load_counts(loaded).join(
+    stale = maintain.cascade_orphans(vectors, loaded).agg(F.count("*").alias("stale_vectors"))
+    return maintain.load_counts(archives.archive_lines(spark, paths)).join(
         counted.groupBy("source").agg(F.sum("n").alias("labels"), F.count_distinct("id").alias("ids")), "source"
-    )
+    ).join(F.broadcast(stale))
 
 
 @query
@@ -505,9 +512,11 @@ def search_params(spark, sf):
 
 @query
 def triage_propose(spark, sf):
-    """Proposal for every issue with a stored vector, similar issues in rank order."""
+    """Proposal for every issue, by its stored vector or one computed from its text; similar issues in rank order."""
     v, issues = V.vectors(spark, sf), V.issues(spark, sf)
-    targets = maintain.cascade_orphans(v, issues)
+    latest = search.issue_latest_vector(
+        issues, v, lambda texts: embed.embed_corpus(texts, "issue_id"), embed.HASHING_MODEL)
+    targets = checkpointed(latest.select("issue_id", "model", "embedding"), "targets")
     proposed = search.triage_propose(targets, v, issues, 5)
     ids = F.array_join(F.transform("similar", lambda s: s["issue_id"].cast("string")), ",")
     return _flat(proposed.select("issue_id", "labels", "assignee_candidates", "summary", ids.alias("similar_ids")))
@@ -682,7 +691,7 @@ def protected_terms(spark, sf):
 
 def _ingested(spark: SparkSession, sf: str) -> str:
     inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "tables")
-    V.deliveries(spark, sf).write.json(inbox)
+    V.deliveries(spark, sf).unionByName(V.stray_deliveries(spark, sf)).write.json(inbox)
     S.stream_ingest(D.stream_deliveries(spark, inbox), root, V.run_ts(), V.SECRET, V.SECRET).awaitTermination()
     return root
 
@@ -693,6 +702,14 @@ def stream_ingest(spark, sf):
         "id", "source", "external_key", "title", "body", "status", "created_at"))
 
 
+@query
+def rejected_deliveries(spark, sf):
+    """The quarantine: forged deliveries, markup instead of JSON, and an unknown source."""
+    stray = F.col("arrival") >= 10**12
+    return S.quarantined(spark, _ingested(spark, sf)).select(
+        "source", "arrival", F.when(stray, F.md5(F.col("body").cast("binary"))).alias("body_md5"))
+
+
 @query
 def embed_jobs(spark, sf):
     """Jobs the ingest stream queued, one per issue of the batch."""

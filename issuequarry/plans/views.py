@@ -246,6 +246,17 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("tracker").alias("source"), headers.alias("headers"), body.alias("body"), "arrival")
 
 
+def stray_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries per page that hold no issue: its markup, rightly signed, and a payload of an unknown source."""
+    page, pages = F.col("page_id"), table(spark, sf_dir, "pages").select("page_id", "html")
+    headers = F.create_map(F.lit("X-GitHub-Event"), F.lit("issues"), F.lit("X-Hub-Signature-256"), _signature(F.col("body")))
+    at = F.lit(10**12) + page * 2
+    markup = pages.select(F.lit("github").alias("source"), F.col("html").alias("body"), at.alias("arrival"))
+    payload = F.concat(F.lit('{"issue": {"id": '), page.cast("string"), F.lit("}}"))
+    unknown = pages.select(F.lit("GitHub").alias("source"), payload.alias("body"), (at + 1).alias("arrival"))
+    return markup.unionByName(unknown).select("source", headers.alias("headers"), "body", "arrival")
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding jobs in event order: view events name the issue in their properties."""
     named = F.get_json_object("props", "$.k").cast("bigint")

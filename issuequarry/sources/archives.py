@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -78,35 +79,41 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     return seen.get["rows"]
 
 
+def archive_lines(spark: SparkSession, archives: Mapping[str, str]) -> DataFrame | None:
+    """Lines of several archives (flavour to path) with their flavour; a missing file is skipped with a warning."""
+    scans = []
+    for flavor, path in archives.items():
+        if resolve_archive(spark, path) is None:
+            warnings.warn(f"archive of {flavor} missing: {path}", stacklevel=2)
+            continue
+        scans.append(scan_ndjson_lines(spark, path).withColumn("flavor", F.lit(flavor)))
+    return reduce(DataFrame.unionByName, scans) if scans else None
+
+
 def load_archives(
     spark: SparkSession, archives: Mapping[str, str], issues: DataFrame, labels: DataFrame,
-    run_iso: str, force: bool = False,
-) -> tuple[DataFrame, DataFrame, int]:
+    run_iso: str, force: bool = False, dependants: Sequence[DataFrame] = (),
+) -> tuple[DataFrame, DataFrame, int, list[DataFrame]]:
     """Load archives (flavour to path) into empty tables.
 
     Tables that hold issues are left alone unless ``force``, which starts from
-    empty ones. A missing file is skipped with a warning. Returns issues,
-    labels and the number of records loaded.
+    empty ones. Ids begin anew then, so the ``dependants`` (vectors, neighbour
+    rows: tables that name issues by id) are emptied too. Returns issues,
+    labels, the number of records loaded, and the dependants.
     """
+    dependants = list(dependants)
     if force:
         issues, labels = issues.limit(0), labels.limit(0)
+        dependants = [table.limit(0) for table in dependants]
     elif issues.limit(1).count():
-        return issues, labels, 0
-    scans = []
-    for flavor, path in archives.items():
-        if resolve_archive(spark, path) is None:
-            warnings.warn(f"archive of {flavor} missing: {path}", stacklevel=2)
-            continue
-        scans.append(scan_ndjson_lines(spark, path).withColumn("flavor", F.lit(flavor)))
-    if not scans:
-        return issues, labels, 0
-    lines = scans[0]
-    for scan in scans[1:]:
-        lines = lines.unionByName(scan)
+        return issues, labels, 0, dependants
+    lines = archive_lines(spark, archives)
+    if lines is None:
+        return issues, labels, 0, dependants
     run_ts = run_timestamp(run_iso)
     # Line order decides which of two records with one key is last.
     records = checkpointed(normalize.normalize_archive(lines, run_ts), "records")
     loaded = maintain.upsert_issues(issues, records.drop("labels"))
     owners = records.join(loaded.select("id", *maintain.ISSUE_KEY), maintain.ISSUE_KEY)
     batch = owners.select(F.col("id").alias("issue_id"), "labels", "source", "arrival")
-    return loaded, maintain.replace_labels(labels, batch, run_ts), records.count()
+    return loaded, maintain.replace_labels(labels, batch, run_ts), records.count(), dependants

@@ -27,6 +27,13 @@ def test_unknown_sources_are_rejected(spark):
     assert [r.source for r in kept.collect()] == ["jira"] and rejected.count() == 3
 
 
+def test_bodies_that_are_no_object_are_set_aside(spark):
+    bodies = ["no json", "", None, "[1]", "5", "null", '{"issue": {"id": 1}}', "{}"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    good = [r.body for r in df.filter(normalize.readable(df.body)).collect()]
+    assert good == ['{"issue": {"id": 1}}', "{}"]
+
+
 def test_job_ids_may_be_text(spark):
     lines = spark.createDataFrame([('{"issue_id": "5"}',), ('{"issue_id": 6, "force": true}',), ('{"issue_id": "x"}',), ("no json",)], "value string")
     good, bad = jobs.parse_jobs(lines)

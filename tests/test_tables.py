@@ -84,13 +84,16 @@ def test_archives(spark, tmp_path):
     assert {r.id for r in typed.collect()} == {"r1", "r2"}
     issues, labels = spark.createDataFrame([], schemas.ISSUES), spark.createDataFrame([], schemas.LABELS)
     with pytest.warns(UserWarning, match="jira missing"):
-        loaded, tags, n = archives.load_archives(
+        loaded, tags, n, _ = archives.load_archives(
             spark, {"github": str(path), "jira": str(tmp_path / "none")}, issues, labels, RUN)
     assert n == 2 and {r.external_key for r in loaded.collect()} == {"a/b#1", "r2"}
     assert [(r.label, r.source) for r in tags.collect()] == [("x", "github")]
     again = archives.load_archives(spark, {"github": str(path)}, loaded, tags, RUN)
     assert again[2] == 0 and again[0].count() == 2
-    assert archives.load_archives(spark, {"github": str(path)}, loaded, tags, RUN, force=True)[2] == 2
+    old = spark.createDataFrame([(1, [0.5], "m", None)], schemas.ISSUE_VECTORS)
+    assert archives.load_archives(spark, {"github": str(path)}, loaded, tags, RUN, dependants=[old])[3][0].count() == 1
+    forced = archives.load_archives(spark, {"github": str(path)}, loaded, tags, RUN, force=True, dependants=[old])
+    assert forced[2] == 2 and forced[3][0].count() == 0
     bad = tmp_path / "bad.ndjson"
     bad.write_text('{"id": "ok"}\n{"id": \n')
     with pytest.raises(Exception, match="malformed"):
