@@ -44,6 +44,10 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.removals(table(spark, sf_dir, "documents"))
 
 
+def op8_passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.learn(docs))
@@ -64,6 +68,7 @@ def registry() -> dict[str, Query]:
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_sentence_spans": op8_sentence_spans,
+        "op8_passage_spans": op8_passage_spans,
         "op9_pii": op9_pii,
         "op10_chat_formatting": op10_chat_formatting,
     }

@@ -8,6 +8,12 @@ back, the first of each (by doc_id, then row, then place) stays, and sentences c
 Counting combines inside the map tasks, and the joins have one row per hash on one side, so a passage in a third of
 all documents is split by adaptive execution. Only hashes and places are shuffled, never texts.
 
+``removals`` misses some repeats that start or end in mid-sentence: a passage merged with the text around it may keep fewer
+than ``RUN`` sentences of its own, and long sentences are cut by count. ``passages`` covers these. Its pieces begin at
+the smallest word hash of any ``REACH`` words, whatever is around them, and a run goes on to the first piece ``LEAST``
+words on. Cuts differ only within ``REACH - 1`` words of a shared stretch's edges, so every stretch of
+``LEAST + 4 * REACH - 3`` = 51 words has a run in common wherever it stands, and no shorter repeat than ``LEAST`` is removed.
+
 Defined results: null and empty texts have no sentences; texts of fewer than ``RUN`` sentences have no span and stay;
 repeats inside one text count; of equal texts the one with the smallest id stays whole; rows of one id are told apart
 by row; null ids come first; empty tables give no rows; further columns are ignored.
@@ -22,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issuequarry.llm.common import batches, hash_runs, hash_spans, lists, row_keys, signed, spans_of, text_bytes
+from issuequarry.llm.common import BASE, INVERSE, _powers_of, batches, hash_runs, hash_spans, lists, mix, row_keys, signed, spans_of, text_bytes
 from issuequarry.session import checkpointed
 
 RUN = 3
 LONGEST = 16
+REACH = 8
+LEAST = 22
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -102,6 +110,74 @@ def removals(docs: DataFrame, run: int = RUN) -> DataFrame:
     )
 
 
+def pieces_of(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin a piece: each text's first, and the smallest of any ``REACH`` words of a text."""
+    opens = np.zeros(len(words), dtype=bool)
+    opens[(np.cumsum(counts) - counts)[counts > 0]] = True
+    count = len(words) - REACH + 1
+    if count > 0:
+        text = np.repeat(np.arange(len(counts)), counts)
+        best, step_of = words[:count].copy(), np.zeros(count, dtype=np.int64)
+        for step in range(1, REACH):
+            other = words[step : step + count]
+            better = other < best
+            np.copyto(best, other, where=better)
+            step_of[better] = step
+        opens[(np.arange(count) + step_of)[text[:count] == text[REACH - 1 :]]] = True
+    return np.flatnonzero(opens)
+
+
+def _scan_pieces(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state: dict = {}
+    for batch in batches(stream):
+        data, starts = text_bytes(batch.column("text"))
+        begin, end = spans_of(~_BLANK[data])
+        words = mix(hash_spans(data, begin, end))
+        per_text = np.diff(np.searchsorted(begin, starts))
+        at = pieces_of(words, per_text)
+        owner = np.repeat(np.arange(len(per_text)), per_text)[at]
+        counts = np.bincount(owner, minlength=len(per_text))
+        after = np.append(at, len(words))
+        # A run ends where a piece begins, or with its text.
+        upto = np.minimum(after[np.searchsorted(at, at + LEAST)], np.cumsum(per_text)[owner])
+        whole = upto - at >= LEAST
+        up = _powers_of(BASE, len(words))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
+        a, b = at[whole], upto[whole]
+        runs = mix((sums[b] - sums[a]) * _powers_of(INVERSE, len(words))[a] + mix((b - a).astype(np.uint64)))
+        lasts = np.searchsorted(at, b) - 1 - (np.cumsum(counts) - counts)[owner[whole]]
+        n_runs = np.bincount(owner[whole], minlength=len(per_text))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(row_keys(len(counts), state)), batch.column("doc_id"), pa.array(counts.astype(np.int64)),
+                lists(signed(runs), n_runs, pa.int64()), lists(lasts.astype(np.int32), n_runs, pa.int32()),
+                lists((begin[at] - starts[owner]).astype(np.int32), counts, pa.int32()), lists((end[after[1:] - 1] - starts[owner]).astype(np.int32), counts, pa.int32()),
+            ],
+            names=["row", "doc_id", "n_pieces", "runs", "lasts", "begins", "ends"],
+        )
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """One row per document: pieces, pieces of passages that are repeated from an earlier place, and their byte spans."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row bigint, doc_id {kind}, n_pieces bigint, runs array<bigint>, lasts array<int>, begins array<int>, ends array<int>"
+    rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_scan_pieces, schema), "passage-pieces")
+    places = rows.select("row", "doc_id", F.posexplode(F.arrays_zip("runs", "lasts")).alias("at", "e")).select("row", "doc_id", "at", F.col("e.runs").alias("run"), F.col("e.lasts").alias("last"))
+    again = checkpointed(places.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run"), "passage-again")
+    found = checkpointed(places.join(again, "run"), "passage-found")
+    first = checkpointed(found.groupBy("run").agg(F.min(F.struct("doc_id", "row", "at")).alias("first")), "passage-first")
+    later = found.join(first, "run").filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
+    covered = later.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", "last"))))).alias("removed"))
+    joined = rows.select("row", "doc_id", "n_pieces", "begins", "ends").join(covered, "row", "left")
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
+    size = lambda at: F.get(F.col("ends"), at) - F.get(F.col("begins"), at)
+    return joined.select(
+        "doc_id", "n_pieces", F.size(gone).cast("bigint").alias("n_removed"),
+        F.aggregate(gone, F.lit(0).cast("bigint"), lambda total, at: total + size(at)).alias("removed_bytes"),
+        F.array_join(F.transform(gone, lambda at: F.concat_ws(":", F.get(F.col("begins"), at), F.get(F.col("ends"), at))), ",").alias("removed"),
+    )
+
+
 def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         out = []

@@ -199,6 +199,31 @@ def test_sentence_spans_and_texts(docs, none):
     assert sentence_spans.removals(none).count() == 0
 
 
+@pytest.mark.parametrize("stops", [(), (12, 25, 38)])
+def test_passages_in_mid_sentence(spark, none, stops):
+    passage = [f"p{k}" + ("." if k in stops else "") for k in range(51)]
+    heads = [0, 3, 8, 13, 29]
+    around = lambda k, n, w: [f"{w}{k}x{j}" for j in range(n)]
+    texts = [" ".join([*around(k, n, "a"), *passage, *around(k, 40 - n, "z")]) for k, n in enumerate(heads)]
+    texts += [" ".join([*around(9, 5, "a"), *passage[:21], *around(9, 5, "z")]), "\n".join(passage)]
+    rows = {r.doc_id: r for r in sentence_spans.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)).collect()}
+    assert rows[0].n_removed == rows[5].n_removed == 0
+    for k in (1, 2, 3, 4, 6):
+        gone = [texts[k].encode()[slice(*map(int, s.split(":")))].decode().split() for s in rows[k].removed.split(",")]
+        gone = [w for words in gone for w in words]
+        assert len(gone) >= sentence_spans.LEAST and set(gone) <= set(passage)
+    assert sentence_spans.passages(none).count() == 0
+
+
+def test_passages_on_odd_rows(docs):
+    rows = sentence_spans.passages(docs).collect()
+    assert len(rows) == len(_rows())
+    by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
+    copies = [k for k, t in enumerate(_texts()) if t == _texts()[5]]
+    assert by_id[0].n_pieces == by_id[1].n_pieces == by_id[2].n_pieces == 0
+    assert by_id[copies[-1]].n_removed == by_id[copies[-1]].n_pieces > 2
+
+
 def test_quality_rules_base_values(docs, none):
     def brute(text):
         w = _words(text)
