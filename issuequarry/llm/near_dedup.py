@@ -4,7 +4,7 @@ A document's set holds the hashes of its distinct ``SHINGLE``-word shingles; its
 
 1. Documents with equal sets are one class, counted inside the map tasks, so thousands of copies are one row from here.
 2. Inverted lists of retained values: two sets with the asked similarity share far more than ``SHARED`` of their
-   retained values (all but about one pair in 10**9 at the threshold; sets of up to 15 shingles always). So it is enough
+   retained values (all but about 3.5 pairs in 10**10 at the threshold; sets of up to 15 shingles always). So it is enough
    to list each class under its rarest values, all but the ``SHARED - 1`` most frequent ones: values of a passage that
    many documents hold are hardly ever used.
 3. Within a list, pairs are not spelt out. Every class first meets the list's smallest class; classes already connected
@@ -35,7 +35,7 @@ from issuequarry.session import checkpointed, written
 
 SHINGLE = 4
 KEPT = 32
-SHARED = 12
+SHARED = 10
 PERCENT = 80
 FILTER_BITS = 22
 ODD_BITS = 1024

@@ -5,10 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from issuequarry.llm import (
     bilstm_crf, chat_format, decontaminate, near_dedup, packing, pii, quality_crf, quality_rules, sentence_spans, sharding,
@@ -83,6 +85,16 @@ def test_parity_never_exceeds_the_unshared(spark):
         assert bits <= unshared
 
 
+def test_links_with_few_shared_values_reach_the_exact_check(spark):
+    kept = near_dedup.KEPT
+    assert sum(comb(kept, k) * 0.8**k * 0.2 ** (kept - k) for k in range(near_dedup.SHARED)) < 1e-9
+    # Of the union's 32 smallest values, 10 (9) are in both sketches.
+    rows = [(hits, list(range(hits)) + list(range(100, 200, 2))[: kept - hits], list(range(hits)) + list(range(101, 200, 2))[: kept - hits]) for hits in (9, 10)]
+    pairs = spark.createDataFrame(rows, "hits int, a array<bigint>, b array<bigint>")
+    fit = near_dedup._plausible(F.col("a"), F.col("b"), F.lit(1000), F.lit(1000), near_dedup.PERCENT)
+    assert {r.hits: r.fit for r in pairs.select("hits", fit.alias("fit")).collect()} == {9: False, 10: True}
+
+
 def test_connected_finds_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     assert {(r.node, r.comp) for r in near_dedup.connected(edges).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
