@@ -118,13 +118,19 @@ def _verified(percent: int):
     return verify
 
 
+def _facts() -> dict[str, Column]:
+    """What tells two edge sets apart: their size, and all bits of the edges' hashes, combined in two ways."""
+    full = F.xxhash64("u", "v")
+    return {"n": F.count(F.lit(1)), "x": F.bit_xor(full), "s": F.sum(full.cast("decimal(20,0)"))}
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and comp, the smallest node of its component, by alternating large and small stars.
 
     Stars are a minimum per node and a join back on it, so a node of any degree is never gathered in one place. The
     minima are written first, so that the edges of a node of high degree can be split at run time.
     """
-    now, seen = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("u", "v") % 1_000_003))
+    now, seen = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", **_facts())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")
@@ -134,7 +140,7 @@ def connected(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
             F.col("e.v").alias("u"), F.col("e.m").alias("v"),
         ).filter("u <> v").distinct()
-        after, facts = written(small, "edges", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("u", "v") % 1_000_003))
+        after, facts = written(small, "edges", **_facts())
         if facts == seen:
             break
         now, seen = after, facts

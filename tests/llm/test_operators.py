@@ -100,6 +100,15 @@ def test_connected_finds_a_long_path(spark):
     assert {(r.node, r.comp) for r in near_dedup.connected(edges).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_edge_sets_that_agree_by_chance_differ(spark):
+    hashes = spark.range(20000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).withColumn("h", F.xxhash64("u", "v") % 1_000_003)
+    same = hashes.groupBy("h").agg(F.sort_array(F.collect_list("u")).alias("us")).filter("size(us) > 1").orderBy("h").first().us
+    edges = [spark.createDataFrame([(u, u + 1)], "u bigint, v bigint") for u in same[:2]]
+    sums = {e.agg(F.sum(F.xxhash64("u", "v") % 1_000_003)).first()[0] for e in edges}
+    assert len(sums) == 1 and len({tuple(e.agg(*near_dedup._facts().values()).first()) for e in edges}) == 2
+    assert sorted(map(tuple, near_dedup.connected(edges[0].toDF("a", "b")).collect())) == [(same[0], same[0]), (same[0] + 1, same[0])]
+
+
 def test_suffix_arrays_are_sorted():
     draw = np.random.default_rng(1)
     for n in range(1, 120):
