@@ -245,6 +245,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def kept(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, all their columns, one of each component; rows without id stay."""
-    gone = near_duplicates(docs, shingle, percent).filter("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, all their columns, one row of each component: the smallest id, no id last, of equal ids one row.
+
+    Rows are told apart by a key stored with them, so repeated rows and rows without id are nodes of their own.
+    """
+    keyed = checkpointed(docs.withColumn("_key", F.monotonically_increasing_id()), "near-keyed")
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_comp"))
+    placed = keyed.select("_key", "doc_id").join(found, "_key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("_key"))
+    first = placed.groupBy("_comp").agg(F.min(order).alias("first")).select(F.col("first._key").alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(*docs.columns)

@@ -75,6 +75,16 @@ def test_near_dedup_is_brute_force(docs, none):
     assert {r.doc_id for r in kept.collect()} == {None} | {k for k in comp if comp[k] == k}
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(60)) for w in "abcd")
+    rows = [(1, a), (1, a), (None, a), (4, a + " end"), (None, b), (None, b), (None, b + " end"), (2, ""), (None, None), (3, c), (3, d)]
+    kept = near_dedup.kept(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect()
+    first_of_b = {b, b + " end"} & {r.text for r in kept}
+    assert len(first_of_b) == 1
+    want = Counter([(1, a), (None, first_of_b.pop()), (2, ""), (None, None), (3, c), (3, d)])
+    assert Counter(map(tuple, kept)) == want
+
+
 def test_parity_never_exceeds_the_unshared(spark):
     draw = np.random.default_rng(3)
     for size in (5, 200, 3000):
