@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issuequarry.llm import chat_format, decontaminate, near_dedup, packing, pii, quality_crf, quality_rules, sentence_spans, sharding, suffix_dedup
+from issuequarry.llm import (
+    chat_format, decontaminate, importance, near_dedup, packing, pii, quality_crf, quality_rules, sentence_spans, sharding,
+    suffix_dedup, vector_codes,
+)
 from issuequarry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +61,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(rows))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -71,6 +82,8 @@ def registry() -> dict[str, Query]:
         "op8_passage_spans": op8_passage_spans,
         "op9_pii": op9_pii,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_vector_codes": op11_vector_codes,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -81,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.ORACLE,
         "op8_sentence_spans": sentence_spans.ORACLE,
         "op10_chat_formatting": chat_format.ORACLE,
+        "op11_vector_codes": vector_codes.oracle(),
     }

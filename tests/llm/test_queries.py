@@ -17,7 +17,7 @@ def _plain(frame):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(spark, name):
     with duckdb.connect() as db:
-        for t in ("documents", "benchmark", "conversations", "labels"):
+        for t in ("documents", "benchmark", "conversations", "labels", "embeddings"):
             db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = db.sql(queries.oracle_sql()[name]).df()
     assert _plain(queries.registry()[name](spark, SF).toPandas()) == _plain(want)
