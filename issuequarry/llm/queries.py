@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from issuequarry.llm import (
-    chat_format, decontaminate, importance, near_dedup, packing, pii, quality_crf, quality_rules, sentence_spans, sharding,
-    suffix_dedup, vector_codes,
+    chat_format, decontaminate, importance, near_dedup, packing, pii, quality_crf, quality_rules, secret_scan, sentence_spans,
+    sharding, suffix_dedup, vector_codes,
 )
 from issuequarry.llm.common import table
 
@@ -65,6 +65,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +87,7 @@ def registry() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op10_chat_formatting": op10_chat_formatting,
         "op11_vector_codes": op11_vector_codes,
+        "op12_secret_scan": op12_secret_scan,
         "op13_importance_resampling": op13_importance_resampling,
     }
 
@@ -95,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_sentence_spans": sentence_spans.ORACLE,
         "op10_chat_formatting": chat_format.ORACLE,
         "op11_vector_codes": vector_codes.oracle(),
+        "op12_secret_scan": secret_scan.oracle(),
     }
