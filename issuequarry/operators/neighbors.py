@@ -1,5 +1,8 @@
 """Nearest neighbours for a table of query vectors against a table of vectors.
 
+Only vectors of one *space* can be compared: the same model and the same number of components. Everything below is kept
+apart by space, and a query whose space holds no vector has no answers.
+
 Both sides are packed into blocks of nearby vectors, and only block pairs that
 can hold a neighbour meet, by an equi-join on a cell id. What differs between
 the exact and the approximate searches is the router that names the cells:
@@ -9,6 +12,10 @@ the exact and the approximate searches is the router that names the cells:
 * lists: cells around k-means centres, of which each query probes a few;
 * projections: cells are buckets of random projections, several tables of them.
 
+Pairs are worked off on a grid of tiles: a row of the grid is a group of query blocks that one task holds at once, a
+column a share of the vector blocks. A vector block travels once per row that needs it, not once per query block, and
+each tile hands on the best few of its queries.
+
 Identical vectors are collapsed before any distance is computed and expanded
 after, so a group of copies costs one row however large it is. Blocks have a
 fixed number of rows, so a crowded cell becomes many blocks, not a large one.
@@ -18,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,36 +34,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuequarry.functions.vectors import l2_norm, pairwise_l2, stack
-from issuequarry.session import written
+from issuequarry.session import checkpointed, written
 
 BLOCK_ROWS = 1024
-MAX_PIVOTS = 1024
-BOUND_BYTES = 64 << 20
-PAIRS_PER_KEY = 1024
-# From this many blocks on, a first look at home is cheaper than what it rules out.
-HOME_LOOK_BLOCKS = 64
+#: Query blocks that a task holds at once, and vector blocks that stream past them in one tile.
+TILE_ROWS = 64
+TILE_COLUMNS = 4096
+#: Pivots whose cells bound the answers of a query; more of them cannot loosen a bound.
+BOUND_CELLS = 32
 # Distances closer than this are ties, and ties go to the lower id.
 DECIMALS = 12
-_KEY = ["model", "h1", "h2"]
+_KEY = ["space", "h1", "h2"]
 
 _BLOCK_SCHEMA = (
-    "block_id long, model string, cell long, n int, pmin double, pmax double, heads array<double>, "
-    "ids array<long>, sizes array<int>, mat binary"
+    "block_id long, space string, cell long, n int, pmin double, pmax double, heads array<double>, "
+    "rings array<double>, ids array<long>, sizes array<int>, mat binary"
 )
 _CHUNK_SCHEMA = (
-    "chunk_id long, model string, cell long, n int, pmin double, pmax double, h1s array<long>, h2s array<long>, mat binary"
+    "chunk_id long, space string, cell long, n int, pmin double, pmax double, h1s array<long>, h2s array<long>, mat binary"
 )
-_PROBE_SCHEMA = "chunk_id long, model string, cn int, cell long, lo double, hi double"
+_PROBE_SCHEMA = "chunk_id long, space string, cn int, cell long, lo double, hi double"
 
 
 class Router:
-    """Names the cells of vectors and the cells a group of queries has to visit."""
+    """Names the cells of the vectors of one space and the cells a group of queries has to visit."""
 
     def vector_cells(self, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """One (cell, distance to its centre) pair of arrays per cell a vector belongs to."""
         raise NotImplementedError
 
-    def probes(self, points: np.ndarray, model: str, last: np.ndarray | None = None) -> list[tuple[int, float, float]]:
+    def probes(self, points: np.ndarray, last: np.ndarray | None = None) -> list[tuple[int, float, float]]:
         """Cells to visit, each with the range of centre distances that matters.
 
         ``last`` holds, per point, a cost that its answers are known not to exceed.
@@ -64,16 +71,22 @@ class Router:
         raise NotImplementedError
 
 
+#: The router of every space that holds vectors.
+Routers = dict[str, Router]
+
+
 @dataclass
 class PivotRouter(Router):
-    """Exact routing. ``lift`` turns inner products into distances by one more coordinate."""
+    """Exact routing. ``lift`` turns inner products into distances by one more coordinate.
+
+    ``radius`` and ``heads`` say, per cell, how far its vectors reach and how near its nearest ``keep`` are.
+    """
 
     pivots: np.ndarray
     keep: int
     lift: float | None = None
-    radius: dict[str, np.ndarray] = field(default_factory=dict)
-    heads: dict[str, np.ndarray] = field(default_factory=dict)
-    bounded: bool = True
+    radius: np.ndarray | None = None
+    heads: np.ndarray | None = None
 
     def _centres(self) -> np.ndarray:
         return self._lifted(self.pivots)
@@ -89,26 +102,22 @@ class PivotRouter(Router):
         cell = distance.argmin(1)
         return [(cell, distance[np.arange(len(cell)), cell])]
 
-    def probes(self, points, model, last=None):
-        if not self.bounded:
-            return [(c, -math.inf, math.inf) for c in range(len(self.pivots))]
-        radius = self.radius.get(model)
-        if radius is None:
-            return []
+    def probes(self, points, last=None):
         known = math.inf if last is None else last
         if self.lift is not None:
             squared = (points * points).sum(1) + self.lift**2
             points = np.hstack([points, np.zeros((len(points), 1))])
             known = np.sqrt(np.maximum(squared + 2.0 * known, 0.0))
         distance = pairwise_l2(points, self._centres())
-        heads = self.heads[model]
-        reach = np.empty(len(points))
+        cells = min(BOUND_CELLS, distance.shape[1])
+        reach = np.full(len(points), math.inf)
         for start in range(0, len(points), 64):
-            part = (distance[start:start + 64, :, None] + heads[None]).reshape(-1, heads.size)
-            at = min(self.keep, heads.size) - 1
-            reach[start:start + 64] = np.partition(part, at, axis=1)[:, at] if heads.size >= self.keep else math.inf
+            part = distance[start:start + 64]
+            nearest = np.argpartition(part, cells - 1, axis=1)[:, :cells]
+            ends = (np.take_along_axis(part, nearest, 1)[:, :, None] + self.heads[nearest]).reshape(len(part), -1)
+            reach[start:start + 64] = np.partition(ends, self.keep - 1, axis=1)[:, self.keep - 1]
         reach = np.minimum(reach, known) + 1e-6 * (1.0 + distance.max(1))
-        near = distance - reach[:, None] <= radius[None, :]
+        near = distance - reach[:, None] <= self.radius[None, :]
         low = np.where(near, distance - reach[:, None], math.inf).min(0)
         high = np.where(near, distance + reach[:, None], -math.inf).max(0)
         return [(int(c), float(low[c]), float(high[c])) for c in np.flatnonzero(near.any(0))]
@@ -126,7 +135,7 @@ class CentreRouter(Router):
         cell = distance.argmin(1)
         return [(cell, distance[np.arange(len(cell)), cell])]
 
-    def probes(self, points, model, last=None):
+    def probes(self, points, last=None):
         distance = pairwise_l2(points, self.centres)
         count = min(self.nprobe, distance.shape[1])
         nearest = np.argpartition(distance, count - 1, axis=1)[:, :count]
@@ -153,19 +162,25 @@ class ProjectionRouter(Router):
         cells = self._buckets(points)
         return [(cells[:, t], np.zeros(len(points))) for t in range(cells.shape[1])]
 
-    def probes(self, points, model, last=None):
+    def probes(self, points, last=None):
         return [(int(c), -math.inf, math.inf) for c in np.unique(self._buckets(points))]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """128 bits of hash name a vector; equal vectors share them."""
-    return df.filter("embedding is not null").withColumns({
+    """The space of a vector, and 128 bits of hash that name it; equal vectors share them.
+
+    Rows without model or vector, and vectors with null or undefined components, have no distances and no place here.
+    """
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    usable = df.filter("model is not null and size(embedding) > 0").filter(~odd)
+    return usable.withColumns({
+        "space": F.concat("model", F.lit("/"), F.size("embedding").cast("string")),
         "h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), F.col("embedding")),
     })
 
 
 def distinct_vectors(vectors: DataFrame, keep: int) -> DataFrame:
-    """One row per distinct vector with its ``keep`` lowest ids.
+    """One row per distinct vector of a space with its ``keep`` lowest ids.
 
     More than ``keep`` copies can never all be neighbours of one query. The
     limit works inside each map task first, so a vector copied a billion times
@@ -178,34 +193,34 @@ def distinct_vectors(vectors: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def _routed(points: DataFrame, router: Router, extra: str) -> DataFrame:
+def _routed(points: DataFrame, routers: Routers, extra: str) -> DataFrame:
     """Add cell and centre distance, then lay rows out by them in even ranges.
 
     Range partitioning on (cell, distance, key) splits a crowded cell over
-    tasks, which hashing on the cell would not.
+    tasks, which hashing on the cell would not. A batch is split by space first.
     """
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            for cell, distance in router.vector_cells(stack(pdf["embedding"])):
-                yield pdf.assign(cell=cell.astype(np.int64), pdist=distance)
+            for space, part in pdf.groupby("space", sort=False):
+                if space in routers:
+                    for cell, distance in routers[space].vector_cells(stack(part["embedding"])):
+                        yield part.assign(cell=cell.astype(np.int64), pdist=distance)
 
-    schema = f"model string, h1 long, h2 long, {extra}embedding array<float>, cell long, pdist double"
-    order = ["model", "cell", "pdist", "h1", "h2"]
+    schema = f"space string, h1 long, h2 long, {extra}embedding array<float>, cell long, pdist double"
+    order = ["space", "cell", "pdist", "h1", "h2"]
     return points.mapInPandas(route, schema).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _groups(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Cut a sorted partition into runs of one (model, cell) of at most ``size`` rows, with unique ids."""
+    """Cut a sorted partition into runs of one (space, cell) of at most ``size`` rows, with unique ids."""
     partition = TaskContext.get().partitionId()
     serial = 0
     held: pd.DataFrame | None = None
     for pdf in batches:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         held = None
-        new_run = ((pdf["model"] != pdf["model"].shift()) | (pdf["cell"] != pdf["cell"].shift())).cumsum()
+        new_run = ((pdf["space"] != pdf["space"].shift()) | (pdf["cell"] != pdf["cell"].shift())).cumsum()
         runs = [run for _, run in pdf.groupby(new_run, sort=False)]
         for at, run in enumerate(runs):
             for start in range(0, len(run), size):
@@ -223,8 +238,8 @@ def _matrix_bytes(part: pd.DataFrame) -> bytes:
     return np.stack([np.asarray(v, dtype=np.float32) for v in part["embedding"]]).tobytes()
 
 
-def pack_vectors(points: DataFrame, router: Router, keep: int, block_rows: int) -> tuple[DataFrame, int]:
-    """Blocks of the searched side (ids, matrix, ring of centre distances), and their number."""
+def pack_vectors(points: DataFrame, routers: Routers, keep: int, block_rows: int) -> DataFrame:
+    """Blocks of the searched side: ids, matrix, and the ring of centre distances its rows lie in."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block_id, part in _groups(batches, block_rows):
@@ -232,14 +247,17 @@ def pack_vectors(points: DataFrame, router: Router, keep: int, block_rows: int)
             sizes = part["ids"].map(len).to_numpy()
             heads = np.repeat(ring, sizes)[:keep]
             yield pd.DataFrame({
-                "block_id": [block_id], "model": [part["model"].iloc[0]], "cell": [int(part["cell"].iloc[0])],
-                "n": [len(part)], "pmin": [ring.min()], "pmax": [ring.max()], "heads": [heads.tolist()],
+                "block_id": [block_id], "space": [part["space"].iloc[0]], "cell": [int(part["cell"].iloc[0])],
+                "n": [len(part)], "pmin": [ring.min()], "pmax": [ring.max()], "heads": [heads.tolist()], "rings": [ring.tolist()],
                 "ids": [np.concatenate(part["ids"].tolist())], "sizes": [sizes.astype(np.int32)], "mat": [_matrix_bytes(part)],
             })
 
-    routed = _routed(points.select(*_KEY, "ids", "embedding"), router, "ids array<long>, ")
-    blocks, facts = written(routed.mapInPandas(pack, _BLOCK_SCHEMA), "blocks", n=F.count(F.lit(1)))
-    return blocks, facts["n"]
+    return _routed(points.select(*_KEY, "ids", "embedding"), routers, "ids array<long>, ").mapInPandas(pack, _BLOCK_SCHEMA)
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    stored, facts = written(df, name, n=F.count(F.lit(1)))
+    return stored, facts["n"] or 0
 
 
 class _HomeCell(Router):
@@ -252,26 +270,25 @@ class _HomeCell(Router):
         return self.router.vector_cells(points)[:1]
 
 
-def pack_queries(queries: DataFrame, router: Router, chunk_rows: int) -> tuple[DataFrame, int]:
+def pack_queries(queries: DataFrame, routers: Routers, chunk_rows: int) -> tuple[DataFrame, int]:
     """Chunks of the asking side (keys, matrix, home cell and ring), and their number."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk_id, part in _groups(batches, chunk_rows):
             yield pd.DataFrame({
-                "chunk_id": [chunk_id], "model": [part["model"].iloc[0]], "cell": [int(part["cell"].iloc[0])],
+                "chunk_id": [chunk_id], "space": [part["space"].iloc[0]], "cell": [int(part["cell"].iloc[0])],
                 "n": [len(part)], "pmin": [part["pdist"].min()], "pmax": [part["pdist"].max()],
                 "h1s": [part["h1"].tolist()], "h2s": [part["h2"].tolist()], "mat": [_matrix_bytes(part)],
             })
 
     distinct = _keyed(queries).groupBy(*_KEY).agg(F.any_value("embedding").alias("embedding"))
-    routed = _routed(distinct, _HomeCell(router), "")
-    chunks, facts = written(routed.mapInPandas(pack, _CHUNK_SCHEMA), "chunks", n=F.count(F.lit(1)))
-    return chunks, facts["n"]
+    home = {space: _HomeCell(router) for space, router in routers.items()}
+    return _counted(_routed(distinct, home, "").mapInPandas(pack, _CHUNK_SCHEMA), "chunks")
 
 
-def probe_cells(chunks: DataFrame, router: Router, lasts: DataFrame | None = None) -> DataFrame:
+def probe_cells(chunks: DataFrame, routers: Routers, lasts: DataFrame | None = None) -> DataFrame:
     """The cells every chunk has to visit, one row each."""
-    asked = chunks.select("chunk_id", "model", "n", "mat")
+    asked = chunks.select("chunk_id", "space", "n", "mat")
     if lasts is None:
         asked = asked.withColumn("lasts", F.lit(None).cast("array<array<double>>"))
     else:
@@ -281,39 +298,37 @@ def probe_cells(chunks: DataFrame, router: Router, lasts: DataFrame | None = Non
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 last = None if row.lasts is None else np.min(np.stack([np.asarray(x) for x in row.lasts]), axis=0)
-                probes = router.probes(_matrix(row.mat, row.n).astype(np.float64), row.model, last)
+                probes = routers[row.space].probes(_matrix(row.mat, row.n).astype(np.float64), last)
                 frame = pd.DataFrame(probes, columns=["cell", "lo", "hi"])
-                yield frame.assign(chunk_id=row.chunk_id, model=row.model, cn=row.n)[
-                    ["chunk_id", "model", "cn", "cell", "lo", "hi"]
+                yield frame.assign(chunk_id=row.chunk_id, space=row.space, cn=row.n)[
+                    ["chunk_id", "space", "cn", "cell", "lo", "hi"]
                 ]
 
-    return written(asked.mapInPandas(probe, _PROBE_SCHEMA), "probes")[0]
+    return asked.mapInPandas(probe, _PROBE_SCHEMA)
 
 
 def block_pairs(probes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Chunk and block ids that have to meet: equal cell, overlapping ring.
+    """Chunk and block ids that have to meet: equal space and cell, overlapping ring.
 
     A block has one cell and a chunk names a cell once, so no pair comes twice.
     """
-    rings = blocks.select("block_id", "model", "cell", "pmin", "pmax", F.col("n").alias("bn"))
-    met = probes.join(rings, ["model", "cell"]).filter("pmax >= lo and pmin <= hi")
+    rings = blocks.select("block_id", "space", "cell", "pmin", "pmax", F.col("n").alias("bn"))
+    met = probes.join(rings, ["space", "cell"]).filter("pmax >= lo and pmin <= hi")
     return met.select("chunk_id", "block_id", "cn", "bn")
 
 
-def _home_lasts(
-    packed_vectors: tuple[DataFrame, int], packed_queries: tuple[DataFrame, int], keep: int, metric: str, tasks: int
-) -> DataFrame:
+def _home_lasts(blocks: DataFrame, n_blocks: int, packed_queries: tuple[DataFrame, int], keep: int, metric: str) -> DataFrame:
     """A first look at the nearest blocks of the home cell: per chunk, costs its answers cannot exceed.
 
     Whatever is found there bounds the search; two blocks per chunk keep the
     look short and leave the result untouched.
     """
-    (blocks, n_blocks), (chunks, n_chunks) = packed_vectors, packed_queries
-    home = chunks.select("chunk_id", "model", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("at"))
-    rings = blocks.select("block_id", "model", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("mid"))
+    chunks, n_chunks = packed_queries
+    home = chunks.select("chunk_id", "space", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("at"))
+    rings = blocks.select("block_id", "space", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("mid"))
     w = Window.partitionBy("chunk_id").orderBy(F.abs(F.col("mid") - F.col("at")), "block_id")
-    near = home.join(rings, ["model", "cell"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
-    work = _work(near.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks, tasks)
+    near = home.join(rings, ["space", "cell"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
+    work = tiles(near.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk_id, best in _searched(batches, keep, metric):
@@ -323,45 +338,36 @@ def _home_lasts(
     return found.groupBy("chunk_id").agg(F.collect_list("last").alias("lasts"))
 
 
-def _salted(pairs: DataFrame, other: str, salts: int) -> DataFrame:
-    """Pairs with a salt taken from the partner, all zero when one is enough."""
-    salt = F.pmod(F.xxhash64(other), F.lit(salts)) if salts > 1 else F.lit(0).cast("bigint")
-    return pairs.withColumn("_salt", salt)
-
-
-def _with_blocks(pairs: DataFrame, blocks: DataFrame, salts: int) -> DataFrame:
-    """Pairs with the packed block. A block that many chunks ask for is copied per salt first."""
-    if salts <= 1:
-        return pairs.join(blocks, "block_id")
-    salted = _salted(pairs, "chunk_id", salts)
-    copies = salted.select("block_id", "_salt").distinct().join(blocks, "block_id")
-    return salted.join(copies, ["block_id", "_salt"]).drop("_salt")
-
+def tiles(pairs: DataFrame, blocks: DataFrame, chunks: DataFrame, n_blocks: int, n_chunks: int) -> DataFrame:
+    """Rows for the search, laid out on the grid: in every tile its chunks, then the blocks some of them look at.
 
-def _work(pairs: DataFrame, blocks: DataFrame, chunks: DataFrame, n_blocks: int, n_chunks: int, tasks: int) -> DataFrame:
-    """Rows for the search: each chunk followed by the blocks it has to look at.
-
-    A chunk travels once per salt, not once per block, and sorting puts it in
-    front of its blocks. The number of tasks is fixed: the bytes are few for the
-    work they cause, so sizing tasks by bytes would leave cores idle. Few chunks
-    against many blocks are salted until every task gets a share.
+    A grid row is ``TILE_ROWS`` chunks packed one after another, so they mostly need the same blocks. Blocks are dealt to as
+    many columns as give every task a tile, and a tile at most ``TILE_COLUMNS`` blocks or so. The number of tasks is
+    fixed: the bytes are few for the work they cause, so sizing tasks by bytes would leave cores idle.
     """
-    salts = min(n_blocks, max(math.ceil(n_blocks / PAIRS_PER_KEY), math.ceil(tasks / max(1, n_chunks))))
-    found = _with_blocks(pairs, blocks.select("block_id", "ids", "sizes", "mat"), math.ceil(n_chunks / PAIRS_PER_KEY))
-    asked = _salted(pairs, "block_id", salts).select("chunk_id", "_salt").distinct().join(chunks, "chunk_id")
-    asked = asked.select("chunk_id", "_salt", "model", "h1s", "h2s", "mat")
+    tasks = _tasks(pairs)
+    rows = max(1, math.ceil(n_chunks / TILE_ROWS))
+    columns = max(1, min(n_blocks, max(math.ceil(tasks / rows), math.ceil(n_blocks / TILE_COLUMNS))))
+    placed = pairs.select(
+        "chunk_id", "block_id", F.floor(F.col("chunk_id") / TILE_ROWS).alias("tile_row"),
+        F.pmod(F.xxhash64("block_id"), F.lit(columns)).alias("tile_column"),
+    )
+    shipped = placed.groupBy("block_id", "tile_row", "tile_column").agg(F.collect_list("chunk_id").alias("chunk_ids"))
+    wanted = ["ids", "sizes", "mat"]
+    dead = F.col("dead") if "dead" in blocks.columns else F.lit(None).cast("array<int>")
     none = F.lit(None)
-    looked_at = _salted(found, "block_id", salts).select(
-        "chunk_id", "_salt", F.lit(1).alias("turn"), none.cast("string").alias("model"),
-        none.cast("array<long>").alias("h1s"), none.cast("array<long>").alias("h2s"), "mat", "ids", "sizes",
+    looked_at = shipped.join(blocks.select("block_id", *wanted, dead.alias("dead")), "block_id").select(
+        "tile_row", "tile_column", F.lit(1).alias("turn"), F.col("block_id").alias("id"), none.cast("string").alias("space"),
+        none.cast("array<long>").alias("h1s"), none.cast("array<long>").alias("h2s"), "chunk_ids", *wanted, "dead",
     )
-    asking = asked.select(
-        "chunk_id", "_salt", F.lit(0).alias("turn"), "model", "h1s", "h2s", "mat",
-        none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"),
+    asked = placed.select("tile_row", "tile_column", "chunk_id").distinct().join(chunks, "chunk_id").select(
+        "tile_row", "tile_column", F.lit(0).alias("turn"), F.col("chunk_id").alias("id"), "space", "h1s", "h2s",
+        none.cast("array<long>").alias("chunk_ids"), none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"),
+        "mat", none.cast("array<int>").alias("dead"),
     )
-    both = asking.unionByName(looked_at)
-    return both.repartition(min(tasks, max(1, n_blocks * n_chunks)), "chunk_id", "_salt").sortWithinPartitions(
-        "chunk_id", "_salt", "turn"
+    both = asked.unionByName(looked_at)
+    return both.repartition(min(max(tasks, rows * columns), max(1, n_blocks * n_chunks)), "tile_row", "tile_column").sortWithinPartitions(
+        "tile_row", "tile_column", "turn", "id"
     )
 
 
@@ -373,7 +379,7 @@ class _Best:
     """
 
     def __init__(self, row, keep: int, metric: str):
-        self.names = (row.model, np.asarray(row.h1s), np.asarray(row.h2s))
+        self.names = (row.space, np.asarray(row.h1s), np.asarray(row.h2s))
         self.q = _matrix(row.mat, len(row.h1s))
         self.norms = np.einsum("ij,ij->i", self.q, self.q, dtype=np.float64)
         self.keep, self.metric = keep, metric
@@ -383,6 +389,8 @@ class _Best:
         self.ids = np.empty(0, dtype=np.int64)
 
     def offer(self, v: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if not len(v):
+            return
         norms = np.einsum("ij,ij->i", v, v, dtype=np.float64)
         cost = self.q @ v.T
         if self.metric == "ip":
@@ -432,9 +440,9 @@ class _Best:
         self.last[self.rows[full]] = self.cost[full]
 
     def frame(self) -> pd.DataFrame:
-        model, h1s, h2s = self.names
+        space, h1s, h2s = self.names
         return pd.DataFrame({
-            "model": model, "h1": h1s[self.rows], "h2": h2s[self.rows], "cost": self.cost, "id": self.ids,
+            "space": space, "h1": h1s[self.rows], "h2": h2s[self.rows], "cost": self.cost, "id": self.ids,
         })
 
 
@@ -442,29 +450,42 @@ def _matrix(raw: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.float32).reshape(rows, -1)
 
 
+def _alive(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrix, ids and copies of a block without the places that are dead."""
+    v, ids, sizes = _matrix(row.mat, len(row.sizes)), row.ids, row.sizes.astype(np.int64)
+    if row.dead is None or not len(row.dead):
+        return v, ids, sizes
+    live = np.ones(len(ids), dtype=bool)
+    live[np.asarray(row.dead)] = False
+    copies = np.add.reduceat(live.astype(np.int64), np.cumsum(sizes) - sizes)
+    return v[copies > 0], ids[live], copies[copies > 0]
+
+
 def _searched(batches: Iterator[pd.DataFrame], keep: int, metric: str) -> Iterator[tuple[int, _Best]]:
-    """Chunks of a task with the best they found in the blocks that follow them."""
-    chunk_id, best = None, None
+    """The chunks of each tile with the best they found in its blocks."""
+    tile, held = None, {}
     for pdf in batches:
         for row in pdf.itertuples(index=False):
+            if (row.tile_row, row.tile_column) != tile:
+                yield from held.items()
+                tile, held = (row.tile_row, row.tile_column), {}
             if row.turn == 0:
-                if best is not None:
-                    yield chunk_id, best
-                chunk_id, best = row.chunk_id, _Best(row, keep, metric)
+                held[row.id] = _Best(row, keep, metric)
             else:
-                best.offer(_matrix(row.mat, len(row.sizes)), row.ids, row.sizes.astype(np.int64))
-    if best is not None:
-        yield chunk_id, best
+                block = _alive(row)
+                for chunk_id in row.chunk_ids:
+                    held[chunk_id].offer(*block)
+    yield from held.items()
 
 
 def _candidates(work: DataFrame, keep: int, metric: str) -> DataFrame:
-    """(query key, cost, id) rows: the best ``keep`` of every chunk over the blocks that follow it."""
+    """(query key, cost, id) rows: the best ``keep`` of every chunk in each of its tiles."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, best in _searched(batches, keep, metric):
             yield best.frame()
 
-    return work.mapInPandas(search, "model string, h1 long, h2 long, cost double, id long")
+    return work.mapInPandas(search, "space string, h1 long, h2 long, cost double, id long")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -473,13 +494,12 @@ def _tasks(df: DataFrame) -> int:
 
 
 def _answers(
-    queries: DataFrame, packed_vectors: tuple[DataFrame, int], packed_queries: tuple[DataFrame, int],
-    probes: DataFrame, k: int, keep: int, metric: str, exclude_self: bool, overlapping: bool,
+    queries: DataFrame, blocks: DataFrame, n_blocks: int, packed_queries: tuple[DataFrame, int],
+    pairs: DataFrame, k: int, keep: int, metric: str, exclude_self: bool, overlapping: bool,
 ) -> DataFrame:
-    (blocks, n_blocks), (chunks, n_chunks) = packed_vectors, packed_queries
-    pairs = block_pairs(probes, blocks).select("chunk_id", "block_id")
-    work = _work(pairs, blocks, chunks, n_blocks, n_chunks, _tasks(queries))
-    found = _candidates(work, keep, metric)
+    """Merge the best of all tiles, and hand them to every query that asked with the same vector."""
+    chunks, n_chunks = packed_queries
+    found = _candidates(tiles(pairs.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks), keep, metric)
     if overlapping:
         found = found.distinct()
     w = Window.partitionBy(*_KEY).orderBy("cost", "id")
@@ -500,45 +520,70 @@ def _answers(
     )
 
 
-def _exact_router(
-    points: DataFrame, facts: dict, keep: int, metric: str, block_rows: int, max_pivots: int
-) -> PivotRouter:
-    count = min(max_pivots, max(1, math.ceil(facts["n"] / (4 * block_rows))))
-    per_pivot = max(1, facts["models"]) * keep * 8
-    count = max(1, min(count, BOUND_BYTES // per_pivot))
-    picked = points.select("embedding").orderBy("h1", "h2").limit(count).collect()
-    pivots = stack([r.embedding for r in picked])
-    lift = None if metric != "ip" else float(facts["longest"] or 0.0)
-    return PivotRouter(pivots, keep, lift, bounded=count * per_pivot <= BOUND_BYTES)
+def no_answers(queries: DataFrame, metric: str = "l2") -> DataFrame:
+    value = "similarity" if metric == "ip" else "distance"
+    return queries.limit(0).select(
+        "query_id", F.col("query_id").cast("bigint").alias("issue_id"), F.lit(0).cast("bigint").alias("rank"), F.lit(0.0).alias(value),
+    )
 
 
-def _learn_bounds(router: PivotRouter, blocks: DataFrame) -> PivotRouter:
-    """Per model and cell: the outer radius and the smallest centre distances.
+def exact_routers(points: DataFrame, keep: int, metric: str = "l2", block_rows: int = BLOCK_ROWS) -> dict[str, PivotRouter]:
+    """Pivots of every space: as many as the square root of its blocks, the vectors with the lowest hashes.
 
-    At most pivots x models rows of ``keep`` numbers, a size fixed before.
+    So what a task holds grows with the root of a space's size. Spaces are few; a row of each reaches the driver.
+    """
+    longest = F.max(l2_norm(F.col("embedding"))) if metric == "ip" else F.lit(None).cast("double")
+    sizes = {r.space: r for r in points.groupBy("space").agg(F.count("*").alias("n"), longest.alias("longest")).collect()}
+    if not sizes:
+        return {}
+    wanted = {space: math.ceil(math.sqrt(math.ceil(r.n / block_rows))) for space, r in sizes.items()}
+    w = Window.partitionBy("space").orderBy("h1", "h2")
+    first = points.select(*_KEY, "embedding").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(wanted.values()))
+    limits = F.broadcast(points.sparkSession.createDataFrame(list(wanted.items()), "space string, _limit int"))
+    picked: dict[str, list] = {}
+    for row in first.join(limits, "space").filter("_n <= _limit").select("space", "embedding").collect():
+        picked.setdefault(row.space, []).append(row.embedding)
+    return {space: PivotRouter(stack(rows), keep, sizes[space].longest) for space, rows in picked.items()}
+
+
+def learn_bounds(routers: dict[str, PivotRouter], rings: DataFrame) -> dict[str, PivotRouter]:
+    """Per space and cell: the outer radius and the smallest centre distances, one row per cell.
+
+    ``rings``: space, cell, pmin, pmax, heads of every block.
     """
-    if not router.bounded:
-        return router
-    rings = blocks.select("model", "cell", "pmin", "pmax", "heads")
-    w = Window.partitionBy("model", "cell").orderBy("pmin")
-    first = rings.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= router.keep)
-    heads = first.groupBy("model", "cell").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), 1, router.keep).alias("heads")
+    keep = max((router.keep for router in routers.values()), default=1)
+    w = Window.partitionBy("space", "cell").orderBy("pmin")
+    first = rings.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep)
+    heads = first.groupBy("space", "cell").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), 1, keep).alias("heads")
     )
-    radii = rings.groupBy("model", "cell").agg(F.max("pmax").alias("radius"))
-    for row in radii.join(heads, ["model", "cell"]).collect():
-        size = len(router.pivots)
-        router.radius.setdefault(row.model, np.full(size, -math.inf))[row.cell] = row.radius
-        table = router.heads.setdefault(row.model, np.full((size, router.keep), math.inf))
-        table[row.cell, : len(row.heads)] = row.heads
-    return router
+    radii = rings.groupBy("space", "cell").agg(F.max("pmax").alias("radius"))
+    for router in routers.values():
+        router.radius = np.full(len(router.pivots), -math.inf)
+        router.heads = np.full((len(router.pivots), router.keep), math.inf)
+    for row in radii.join(heads, ["space", "cell"]).collect():
+        router = routers[row.space]
+        router.radius[row.cell] = row.radius
+        router.heads[row.cell, : len(row.heads)] = row.heads
+    return routers
+
+
+def search_blocks(
+    queries: DataFrame, blocks: DataFrame, n_blocks: int, routers: Routers, k: int, keep: int, *, metric: str = "l2",
+    exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Exact search of packed blocks: a look at home bounds each chunk, then the tiles of what is left."""
+    chunks = pack_queries(queries, routers, block_rows)
+    lasts = _home_lasts(blocks, n_blocks, chunks, keep, metric)
+    pairs = checkpointed(block_pairs(probe_cells(chunks[0], routers, lasts), blocks), "pairs")
+    return _answers(queries, blocks, n_blocks, chunks, pairs, k, keep, metric, exclude_self, overlapping=False)
 
 
 def exact_knn(
     queries: DataFrame, vectors: DataFrame, k: int, *, metric: str = "l2", exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The ``k`` nearest vectors of the same model for every query.
+    """The ``k`` nearest vectors of the same space for every query.
 
     ``queries``: query_id, model, embedding. ``vectors``: issue_id, model,
     embedding. ``metric`` is ``l2`` (ascending) or ``ip`` (inner product,
@@ -546,32 +591,23 @@ def exact_knn(
     equal values rank by id.
     """
     keep = k + int(exclude_self)
-    longest = F.max(l2_norm(F.col("embedding"))) if metric == "ip" else F.max(F.lit(None).cast("double"))
-    points, facts = written(
-        distinct_vectors(vectors, keep), "points",
-        n=F.count(F.lit(1)), models=F.approx_count_distinct("model"), longest=longest,
+    points = checkpointed(distinct_vectors(vectors, keep), "points")
+    routers = exact_routers(points, keep, metric, block_rows)
+    if not routers:
+        return no_answers(queries, metric)
+    blocks, n_blocks = _counted(pack_vectors(points, routers, keep, block_rows), "blocks")
+    routers = learn_bounds(routers, blocks.select("space", "cell", "pmin", "pmax", "heads"))
+    return search_blocks(
+        queries, blocks, n_blocks, routers, k, keep, metric=metric, exclude_self=exclude_self, block_rows=block_rows
     )
-    if not facts["n"]:
-        value = "similarity" if metric == "ip" else "distance"
-        return queries.limit(0).select(
-            "query_id", F.col("query_id").alias("issue_id"), F.lit(0).cast("bigint").alias("rank"),
-            F.lit(0.0).alias(value),
-        )
-    router = _exact_router(points, facts, keep, metric, block_rows, max_pivots)
-    packed = pack_vectors(points, router, keep, block_rows)
-    router = _learn_bounds(router, packed[0])
-    chunks = pack_queries(queries, router, block_rows)
-    lasts = _home_lasts(packed, chunks, keep, metric, _tasks(queries)) if packed[1] >= HOME_LOOK_BLOCKS else None
-    probes = probe_cells(chunks[0], router, lasts)
-    return _answers(queries, packed, chunks, probes, k, keep, metric, exclude_self, overlapping=False)
 
 
 @dataclass
 class AnnIndex:
-    """Packed vectors with the router that placed them; reusable for any query table."""
+    """Packed vectors with the routers that placed them; reusable for any query table."""
 
     packed: tuple[DataFrame, int]
-    router: Router
+    routers: Routers
     keep: int
     overlapping: bool
 
@@ -581,12 +617,12 @@ class AnnIndex:
     def _search(self, queries: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
         if k + int(exclude_self) > self.keep:
             raise ValueError(f"this index holds at most {self.keep} copies per vector")
-        chunks = pack_queries(queries, self.router, BLOCK_ROWS // 8)
-        probes = probe_cells(chunks[0], self.router)
+        chunks = pack_queries(queries, self.routers, BLOCK_ROWS // 8)
+        pairs = checkpointed(block_pairs(probe_cells(chunks[0], self.routers), self.packed[0]), "pairs")
         found = _answers(
-            queries, self.packed, chunks, probes, k, k + int(exclude_self), "l2", exclude_self, self.overlapping
+            queries, *self.packed, chunks, pairs, k, k + int(exclude_self), "l2", exclude_self, self.overlapping
         )
-        return found, block_pairs(probes, self.packed[0])
+        return found, pairs
 
     def search_with_cost(self, queries: DataFrame, k: int, exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
         """Neighbours, and one row with the share of all vector pairs that was compared."""
@@ -608,11 +644,16 @@ class AnnIndex:
         return found, share
 
 
+def _spaces(points: DataFrame) -> list:
+    """Number of vectors and components of every space."""
+    return points.groupBy("space").agg(F.count("*").alias("n"), F.any_value(F.size("embedding")).alias("dim")).collect()
+
+
 def ivf_index(
     vectors: DataFrame, *, lists: int = 100, nprobe: int = 8, keep: int = 51, seed: int = 42,
     block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
-    """Inverted lists around k-means centres.
+    """Inverted lists around k-means centres, fitted space by space.
 
     The centres are fitted, distributed, to all distinct vectors, and every
     vector is placed in a list.
@@ -620,13 +661,18 @@ def ivf_index(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = written(distinct_vectors(vectors, keep), "points")[0]
-    features = points.select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    )
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(features)
-    router = CentreRouter(np.stack(model.clusterCenters()), nprobe)
-    return AnnIndex(pack_vectors(points, router, keep, block_rows), router, keep, overlapping=False)
+    points = checkpointed(distinct_vectors(vectors, keep), "points")
+    routers: Routers = {}
+    for row in _spaces(points):
+        features = points.filter(F.col("space") == row.space).select(
+            array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+        )
+        if row.n == 1:
+            routers[row.space] = CentreRouter(np.zeros((1, row.dim)), 1)
+            continue
+        model = KMeans(k=max(2, min(lists, row.n)), seed=seed, maxIter=10).fit(features)
+        routers[row.space] = CentreRouter(np.stack(model.clusterCenters()), nprobe)
+    return AnnIndex(_counted(pack_vectors(points, routers, keep, block_rows), "blocks"), routers, keep, overlapping=False)
 
 
 def projection_index(
@@ -634,10 +680,9 @@ def projection_index(
     block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
     """Random-projection tables; a vector appears once per table."""
-    points = written(distinct_vectors(vectors, keep), "points")[0]
-    head = points.select(F.size("embedding").alias("dim")).first()
-    router = ProjectionRouter.make(head.dim if head else 1, tables, width, seed)
-    return AnnIndex(pack_vectors(points, router, keep, block_rows), router, keep, overlapping=True)
+    points = checkpointed(distinct_vectors(vectors, keep), "points")
+    routers: Routers = {r.space: ProjectionRouter.make(r.dim, tables, width, seed) for r in _spaces(points)}
+    return AnnIndex(_counted(pack_vectors(points, routers, keep, block_rows), "blocks"), routers, keep, overlapping=True)
 
 
 def nearest(

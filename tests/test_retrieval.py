@@ -25,9 +25,8 @@ def _brute(matrix, models, k, metric):
     return out
 
 
-@pytest.mark.parametrize("metric,home_blocks", [("l2", 1), ("l2", 1000), ("ip", 1), ("ip", 1000)])
-def test_exact_search_equals_brute_force_on_clusters_copies_and_ties(spark, monkeypatch, metric, home_blocks):
-    monkeypatch.setattr(neighbors, "HOME_LOOK_BLOCKS", home_blocks)
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_exact_search_equals_brute_force_on_clusters_copies_and_ties(spark, metric):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((6, 8)) * 5
     matrix = np.vstack([
@@ -47,27 +46,76 @@ def test_clusters_are_pruned(spark):
     rng = np.random.default_rng(2)
     matrix = np.repeat(rng.standard_normal((20, 8)) * 50, 40, axis=0) + rng.standard_normal((800, 8)) * 0.01
     v = _vectors(spark, matrix)
-    points, facts = neighbors.written(
-        neighbors.distinct_vectors(v, 4), "points", n=F.count(F.lit(1)), models=F.approx_count_distinct("model"))
-    router = neighbors._exact_router(points, facts, 4, "l2", 8, 64)
-    packed = neighbors.pack_vectors(points, router, 4, 8)
-    router = neighbors._learn_bounds(router, packed[0])
-    chunks = neighbors.pack_queries(v.withColumnRenamed("issue_id", "query_id"), router, 8)
-    everything = packed[1] * chunks[1]
-    met = neighbors.block_pairs(neighbors.probe_cells(chunks[0], router), packed[0]).count()
-    assert met < 0.25 * everything
-    lasts = neighbors._home_lasts(packed, chunks, 4, "l2", 8)
-    closer = neighbors.block_pairs(neighbors.probe_cells(chunks[0], router, lasts), packed[0]).count()
+    points = neighbors.checkpointed(neighbors.distinct_vectors(v, 4), "points")
+    routers = neighbors.exact_routers(points, 4, block_rows=8)
+    blocks, n_blocks = neighbors._counted(neighbors.pack_vectors(points, routers, 4, 8), "blocks")
+    routers = neighbors.learn_bounds(routers, blocks)
+    chunks = neighbors.pack_queries(v.withColumnRenamed("issue_id", "query_id"), routers, 8)
+    everything = n_blocks * chunks[1]
+    met = neighbors.block_pairs(neighbors.probe_cells(chunks[0], routers), blocks).count()
+    assert met < 0.35 * everything
+    lasts = neighbors._home_lasts(blocks, n_blocks, chunks, 4, "l2")
+    closer = neighbors.block_pairs(neighbors.probe_cells(chunks[0], routers, lasts), blocks).count()
     assert closer < 0.6 * met
 
 
-def test_salted_attachment_changes_nothing(spark, monkeypatch):
+def test_a_block_travels_once_per_row_of_the_grid(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    matrix = rng.standard_normal((120, 4))
+    matrix = rng.standard_normal((240, 4))
     v = _vectors(spark, matrix)
-    monkeypatch.setattr(neighbors, "PAIRS_PER_KEY", 2)
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 4)
+    points = neighbors.checkpointed(neighbors.distinct_vectors(v, 4), "points")
+    routers = neighbors.exact_routers(points, 4, block_rows=8)
+    blocks, n_blocks = neighbors._counted(neighbors.pack_vectors(points, routers, 4, 8), "blocks")
+    routers = neighbors.learn_bounds(routers, blocks)
+    chunks, n_chunks = neighbors.pack_queries(v.withColumnRenamed("issue_id", "query_id"), routers, 8)
+    pairs = chunks.select("chunk_id").crossJoin(blocks.select("block_id"))
+    work = neighbors.tiles(pairs, blocks, chunks, n_blocks, n_chunks)
+    shipped = {r.id: r.n for r in work.filter("turn = 1").groupBy("id").agg(F.count("*").alias("n")).collect()}
+    rows = chunks.select(F.floor(F.col("chunk_id") / 4)).distinct().count()
+    assert len(shipped) == n_blocks and max(shipped.values()) <= rows < n_chunks
+    assert work.filter("turn = 1").select(F.sum(F.size("chunk_ids"))).first()[0] == n_blocks * n_chunks
     found = neighbors.exact_knn(v.withColumnRenamed("issue_id", "query_id"), v, 3, exclude_self=True, block_rows=8)
-    assert {(r.query_id, r.issue_id, r.rank) for r in found.collect()} == _brute(matrix, ["m"] * 120, 3, "l2")
+    assert {(r.query_id, r.issue_id, r.rank) for r in found.collect()} == _brute(matrix, ["m"] * 240, 3, "l2")
+
+
+def _mixed(spark):
+    """Two models, one of them with two widths, a model that only asks, and vectors that have no distances."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], rng.standard_normal(6 if i % 4 == 1 else 3).tolist()) for i in range(90)]
+    rows += [(100, "c", [1.0]), (101, "a", None), (102, "a", [1.0, None, 2.0]), (103, None, [0.0, 0.0, 0.0]), (104, "a", []), (105, "a", [float("nan")] * 3)]
+    return rows, spark.createDataFrame(rows, "issue_id long, model string, embedding array<float>")
+
+
+def test_models_of_several_widths_stay_apart(spark):
+    rows, v = _mixed(spark)
+    stored = v.filter("model <> 'c'")
+    q = v.withColumnRenamed("issue_id", "query_id")
+    want = set()
+    usable = {i: (m, np.array(x, dtype=np.float32).astype(float)) for i, m, x in rows[:90]}
+    for i, (m, x) in usable.items():
+        near = sorted((round(float(np.linalg.norm(x - y)), 12), j) for j, (n, y) in usable.items() if n == m and len(x) == len(y) and i != j)
+        want |= {(i, j, rank) for rank, (_, j) in enumerate(near[:3], 1)}
+    got = neighbors.exact_knn(q, stored, 3, exclude_self=True, block_rows=4)
+    assert {(r.query_id, r.issue_id, r.rank) for r in got.collect()} == want
+    lists = neighbors.ivf_index(stored, lists=3, nprobe=3).search(q, 3, exclude_self=True)
+    assert {(r.query_id, r.issue_id, r.rank) for r in lists.collect()} == want
+    graph = neighbors.knn_graph(v, 3)
+    assert {(r.issue_id, r.neighbor_id, r.rank) for r in graph.collect()} == want
+    assert neighbors.projection_index(stored, width=100.0).search(q, 3, exclude_self=True).filter("query_id = 100").count() == 0
+
+
+def test_proposals_for_issues_with_and_without_a_vector(spark):
+    issues = spark.createDataFrame([
+        (i, "github", f"o/r#{i}", f"title {i}", "", "o/r", None, "{}") for i in range(1, 7)], ISSUES)
+    stored = spark.createDataFrame([
+        (1, "m", [0.0, 0.0], 1), (2, "m", [0.0, 1.0], 1), (3, "hashing-4", [1.0, 0.0, 0.0, 0.0], 1),
+    ], "issue_id long, model string, embedding array<float>, updated_at long")
+    targets = search.issue_latest_vector(issues, stored, lambda df: embed.embed_corpus(df, "issue_id", dim=4), "hashing-4")
+    rows = {r.issue_id: r for r in search.triage_propose(targets, stored, issues, 2).collect()}
+    assert set(rows) == {1, 2, 3, 4, 5, 6}
+    assert [s.issue_id for s in rows[1].similar] == [1, 2] and [s.issue_id for s in rows[4].similar] == [3]
+    assert rows[4].labels == ["needs-triage"] and rows[4].similar[0].title == "title 3"
 
 
 def test_fewer_vectors_than_k_and_none_at_all(spark):
