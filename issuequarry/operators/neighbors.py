@@ -317,7 +317,9 @@ def block_pairs(probes: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.select("chunk_id", "block_id", "cn", "bn")
 
 
-def _home_lasts(blocks: DataFrame, n_blocks: int, packed_queries: tuple[DataFrame, int], keep: int, metric: str) -> DataFrame:
+def _home_lasts(
+    blocks: DataFrame, n_blocks: int, packed_queries: tuple[DataFrame, int], keep: int, metric: str, dead: DataFrame | None = None,
+) -> DataFrame:
     """A first look at the nearest blocks of the home cell: per chunk, costs its answers cannot exceed.
 
     Whatever is found there bounds the search; two blocks per chunk keep the
@@ -328,7 +330,7 @@ def _home_lasts(blocks: DataFrame, n_blocks: int, packed_queries: tuple[DataFram
     rings = blocks.select("block_id", "space", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("mid"))
     w = Window.partitionBy("chunk_id").orderBy(F.abs(F.col("mid") - F.col("at")), "block_id")
     near = home.join(rings, ["space", "cell"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
-    work = tiles(near.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks)
+    work = tiles(near.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks, dead)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk_id, best in _searched(batches, keep, metric):
@@ -338,12 +340,15 @@ def _home_lasts(blocks: DataFrame, n_blocks: int, packed_queries: tuple[DataFram
     return found.groupBy("chunk_id").agg(F.collect_list("last").alias("lasts"))
 
 
-def tiles(pairs: DataFrame, blocks: DataFrame, chunks: DataFrame, n_blocks: int, n_chunks: int) -> DataFrame:
+def tiles(
+    pairs: DataFrame, blocks: DataFrame, chunks: DataFrame, n_blocks: int, n_chunks: int, dead: DataFrame | None = None,
+) -> DataFrame:
     """Rows for the search, laid out on the grid: in every tile its chunks, then the blocks some of them look at.
 
     A grid row is ``TILE_ROWS`` chunks packed one after another, so they mostly need the same blocks. Blocks are dealt to as
     many columns as give every task a tile, and a tile at most ``TILE_COLUMNS`` blocks or so. The number of tasks is
-    fixed: the bytes are few for the work they cause, so sizing tasks by bytes would leave cores idle.
+    fixed: the bytes are few for the work they cause, so sizing tasks by bytes would leave cores idle. ``dead`` names
+    places of blocks (block_id, dead) that no longer count.
     """
     tasks = _tasks(pairs)
     rows = max(1, math.ceil(n_chunks / TILE_ROWS))
@@ -354,9 +359,12 @@ def tiles(pairs: DataFrame, blocks: DataFrame, chunks: DataFrame, n_blocks: int,
     )
     shipped = placed.groupBy("block_id", "tile_row", "tile_column").agg(F.collect_list("chunk_id").alias("chunk_ids"))
     wanted = ["ids", "sizes", "mat"]
-    dead = F.col("dead") if "dead" in blocks.columns else F.lit(None).cast("array<int>")
     none = F.lit(None)
-    looked_at = shipped.join(blocks.select("block_id", *wanted, dead.alias("dead")), "block_id").select(
+    if dead is None:
+        shipped = shipped.withColumn("dead", none.cast("array<int>"))
+    else:
+        shipped = shipped.join(dead, "block_id", "left")
+    looked_at = shipped.join(blocks.select("block_id", *wanted), "block_id").select(
         "tile_row", "tile_column", F.lit(1).alias("turn"), F.col("block_id").alias("id"), none.cast("string").alias("space"),
         none.cast("array<long>").alias("h1s"), none.cast("array<long>").alias("h2s"), "chunk_ids", *wanted, "dead",
     )
@@ -495,11 +503,11 @@ def _tasks(df: DataFrame) -> int:
 
 def _answers(
     queries: DataFrame, blocks: DataFrame, n_blocks: int, packed_queries: tuple[DataFrame, int],
-    pairs: DataFrame, k: int, keep: int, metric: str, exclude_self: bool, overlapping: bool,
+    pairs: DataFrame, k: int, keep: int, metric: str, exclude_self: bool, overlapping: bool, dead: DataFrame | None = None,
 ) -> DataFrame:
     """Merge the best of all tiles, and hand them to every query that asked with the same vector."""
     chunks, n_chunks = packed_queries
-    found = _candidates(tiles(pairs.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks), keep, metric)
+    found = _candidates(tiles(pairs.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks, dead), keep, metric)
     if overlapping:
         found = found.distinct()
     w = Window.partitionBy(*_KEY).orderBy("cost", "id")
@@ -570,13 +578,13 @@ def learn_bounds(routers: dict[str, PivotRouter], rings: DataFrame) -> dict[str,
 
 def search_blocks(
     queries: DataFrame, blocks: DataFrame, n_blocks: int, routers: Routers, k: int, keep: int, *, metric: str = "l2",
-    exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
+    exclude_self: bool = False, block_rows: int = BLOCK_ROWS, dead: DataFrame | None = None,
 ) -> DataFrame:
     """Exact search of packed blocks: a look at home bounds each chunk, then the tiles of what is left."""
     chunks = pack_queries(queries, routers, block_rows)
-    lasts = _home_lasts(blocks, n_blocks, chunks, keep, metric)
+    lasts = _home_lasts(blocks, n_blocks, chunks, keep, metric, dead)
     pairs = checkpointed(block_pairs(probe_cells(chunks[0], routers, lasts), blocks), "pairs")
-    return _answers(queries, blocks, n_blocks, chunks, pairs, k, keep, metric, exclude_self, overlapping=False)
+    return _answers(queries, blocks, n_blocks, chunks, pairs, k, keep, metric, exclude_self, overlapping=False, dead=dead)
 
 
 def exact_knn(
@@ -686,9 +694,9 @@ def projection_index(
 
 
 def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int, *, index: AnnIndex | None = None, exclude_self: bool = False, **options
+    queries: DataFrame, vectors: DataFrame, k: int, *, index=None, exclude_self: bool = False, **options
 ) -> DataFrame:
-    """Exact neighbours, or those of an index built before over the same vectors."""
+    """Exact neighbours, or those of an index (``AnnIndex`` or a stored one) built before over the same vectors."""
     if index is not None:
         return index.search(queries, k, exclude_self)
     return exact_knn(queries, vectors.select("issue_id", "model", "embedding"), k, exclude_self=exclude_self, **options)

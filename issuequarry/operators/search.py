@@ -63,16 +63,17 @@ def candidate_union(vector_hits: DataFrame, text_hits: DataFrame) -> DataFrame:
 
 
 def hybrid_search(
-    queries: DataFrame, vectors: DataFrame, issues: DataFrame, k: int = 10, stemmed: bool = True, **options
+    queries: DataFrame, vectors: DataFrame, issues: DataFrame, k: int = 10, stemmed: bool = True, postings=None, **options
 ) -> DataFrame:
     """Blend of vector and text candidates: alpha * 1/(1+d) + (1 - alpha) * rank.
 
     Both sides are cut to ``k`` per query before they meet; the text rank is
-    not rescaled. Only the final hits fetch their issue.
+    not rescaled. Only the final hits fetch their issue. ``postings`` and ``index`` are stored indexes
+    of the issues and the vectors to read instead of them.
     """
     near = N.nearest(queries, vectors, k, **options)
     vector_hits = near.withColumn("vector_score", F.lit(1.0) / (F.lit(1.0) + F.col("distance")))
-    text_hits = T.text_search(issues, queries, k, stemmed)
+    text_hits = T.text_search(issues, queries, k, stemmed, postings)
     # A dangling vector takes up one of the k candidates, then finds no issue.
     both = candidate_union(vector_hits, text_hits).join(
         issues.select("id"), F.col("issue_id") == F.col("id"), "left_semi"

@@ -79,14 +79,15 @@ def relevant_postings(issues: DataFrame, terms: DataFrame, stemmed: bool = True)
     )
 
 
-def text_match(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def text_match(postings: DataFrame, terms: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """(query_id, issue_id, positions per term) where the issue holds every term of the query.
 
     Candidates come from each query's rarest term alone, so a term found in a
     third of all issues never drives the join; the other terms then only check
-    those candidates.
+    those candidates. ``frequency`` (term, df) saves counting them.
     """
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if frequency is None:
+        frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = weighted.groupBy("query_id", "n_terms").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"), F.min("df").alias("lowest")
@@ -148,20 +149,25 @@ def top_by_score(scored: DataFrame, score: str, k: Column | int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-def text_search(issues: DataFrame, queries: DataFrame, k: int = 10, stemmed: bool = True) -> DataFrame:
-    """Match and rank: query_id, issue_id, text_score, rank.
+def _matched(issues: DataFrame, queries: DataFrame, stemmed: bool, index) -> DataFrame:
+    """Matches read off a stored index, or off the texts.
 
-    The match reads terms and postings several times, so both are written once
-    instead of cutting every text anew.
+    The match reads terms and postings several times, so what comes from texts is written once instead of
+    cutting every text anew; stored postings are read through the folders of the asked terms.
     """
-    terms = checkpointed(query_terms(queries, stemmed), "terms")
-    postings = checkpointed(relevant_postings(issues, terms, stemmed), "postings")
-    return top_by_score(text_rank(text_match(postings, terms)), "text_score", k)
+    terms = checkpointed(query_terms(queries, stemmed if index is None else index.stemmed), "terms")
+    if index is not None:
+        postings, frequency = index.lookup(terms)
+        return text_match(postings, terms, frequency)
+    return text_match(checkpointed(relevant_postings(issues, terms, stemmed), "postings"), terms)
 
 
-def matching_issue_ids(issues: DataFrame, text: str, stemmed: bool = True) -> DataFrame:
+def text_search(issues: DataFrame, queries: DataFrame, k: int = 10, stemmed: bool = True, index=None) -> DataFrame:
+    """Match and rank: query_id, issue_id, text_score, rank. ``index`` is a ``PostingsIndex`` of the same issues."""
+    return top_by_score(text_rank(_matched(issues, queries, stemmed, index)), "text_score", k)
+
+
+def matching_issue_ids(issues: DataFrame, text: str, stemmed: bool = True, index=None) -> DataFrame:
     """Ids of the issues one query text matches, for facet search."""
     query = issues.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(text).alias("text"))
-    terms = checkpointed(query_terms(query, stemmed), "terms")
-    postings = checkpointed(relevant_postings(issues, terms, stemmed), "postings")
-    return text_match(postings, terms).select(F.col("issue_id").alias("id"))
+    return _matched(issues, query, stemmed, index).select(F.col("issue_id").alias("id"))

@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
     )
     white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     rel = ' rel="nofollow noopener noreferrer"'
-    return {
+    twins = {
         "scan_ndjson": _sql("SELECT id, source, external_key, title, body, status FROM issues", "issues"),
         "scan_labelled_pairs": _sql(
             "SELECT d.id, title, body, duplicate_of FROM docs d LEFT JOIN truth t ON t.id = d.id", "docs", "truth"),
@@ -534,3 +534,6 @@ def oracle_sql() -> dict[str, str]:
             f"ELSE 'embedded' END AS status FROM jobs j JOIN {job_first} ON f.issue_id = j.issue_id", "jobs"),
         "dead_letter": "SELECT '{\"page\": ' || page_id AS value FROM pages",
     }
+    # The stored indexes answer as the searches that read the tables do.
+    twins["vector_search_stored"] = twins["vector_search"]
+    return twins

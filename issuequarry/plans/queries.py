@@ -11,6 +11,8 @@ from issuequarry import schemas
 from issuequarry.functions.instants import utc_naive
 from issuequarry.functions.payload import parse_payload
 from issuequarry.operators import embed, evaluate, maintain, neighbors, normalize, protect, search, text_search, viewer
+from issuequarry.operators.neighbor_index import StoredIndex
+from issuequarry.operators.postings_index import PostingsIndex
 from issuequarry.plans import views as V
 from issuequarry.session import checkpointed, scratch_path
 from issuequarry.sources import archives
@@ -388,6 +390,19 @@ def vector_search(spark, sf):
     return _rounded(hits.select("query_id", "issue_id", "rank", "distance", "score", "title", "route", "url"), "distance", "score")
 
 
+@query
+def vector_search_stored(spark, sf):
+    """The same search, of an index that was written in two segments and lost its orphans by a third."""
+    index = StoredIndex(spark, scratch_path(spark, "index"), keep=10)
+    v, issues = V.vectors(spark, sf), V.issues(spark, sf)
+    index.append(v.filter("model = 'm0'"))
+    index.append(v.filter("model <> 'm0'"))
+    index.append(v.limit(0), index.ids().join(issues.select("id"), F.col("issue_id") == F.col("id"), "left_anti"))
+    asked = V.queries(spark, sf).select("query_id", "model", "embedding")
+    hits = search.vector_search(asked, v, issues, 10, index=index)
+    return _rounded(hits.select("query_id", "issue_id", "rank", "distance", "score", "title", "route", "url"), "distance", "score")
+
+
 @query
 def knn_graph(spark, sf):
     return _rounded(neighbors.knn_graph(V.vectors(spark, sf), 5), "distance", "score")
@@ -469,23 +484,37 @@ def text_index_english(spark, sf):
     return _postings_flat(text_search.text_index(V.issues(spark, sf), stemmed=True))
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def _postings(spark: SparkSession, sf: str, stemmed: bool = False) -> PostingsIndex:
+    """The stored postings of the issues, built by the first search of a session and again when the table changes."""
+    state = V.table(spark, sf, "documents").agg(F.max("_metadata.file_modification_time"), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, sf, stemmed, *state)
+    if key not in _STORED:
+        root = scratch_path(spark, "postings")
+        PostingsIndex(spark, root, stemmed).append(V.issues(spark, sf))
+        _STORED[key] = root
+    return PostingsIndex(spark, _STORED[key], stemmed)
+
+
 @query
 def text_match(spark, sf):
     q = V.queries(spark, sf)
     terms = checkpointed(text_search.query_terms(q, stemmed=False), "terms")
-    postings = checkpointed(text_search.relevant_postings(V.issues(spark, sf), terms, stemmed=False), "postings")
-    return text_search.text_match(postings, terms).select("query_id", "issue_id", "n_terms")
+    postings, frequency = _postings(spark, sf).lookup(terms)
+    return text_search.text_match(postings, terms, frequency).select("query_id", "issue_id", "n_terms")
 
 
 @query
 def text_rank_topk(spark, sf):
-    found = text_search.text_search(V.issues(spark, sf), V.queries(spark, sf), 10, stemmed=False)
+    found = text_search.text_search(V.issues(spark, sf), V.queries(spark, sf), 10, index=_postings(spark, sf))
     return _rounded(found.select("query_id", "issue_id", "rank", "text_score"), "text_score")
 
 
 @query
 def text_rank_english(spark, sf):
-    found = text_search.text_search(V.issues(spark, sf), V.queries(spark, sf), 10, stemmed=True)
+    found = text_search.text_search(V.issues(spark, sf), V.queries(spark, sf), 10, index=_postings(spark, sf, stemmed=True))
     return _rounded(found.select("query_id", "issue_id", "rank", "text_score"), "text_score")
 
 
@@ -494,7 +523,7 @@ def text_rank_english(spark, sf):
 
 @query
 def hybrid_search(spark, sf):
-    hits = search.hybrid_search(V.queries(spark, sf), V.vectors(spark, sf), V.issues(spark, sf), 10, stemmed=False)
+    hits = search.hybrid_search(V.queries(spark, sf), V.vectors(spark, sf), V.issues(spark, sf), 10, postings=_postings(spark, sf))
     return _rounded(hits.select(
         "query_id", "issue_id", "rank", "vector_score", "text_score", "score", "title", "route", "url"),
         "vector_score", "text_score", "score")
@@ -622,7 +651,7 @@ def viewer_search(spark, sf):
 def viewer_search_text(spark, sf):
     """Facet search with a text: issues that hold both words, newest first."""
     issues = V.issues(spark, sf)
-    matching = text_search.matching_issue_ids(issues, "les des", stemmed=False)
+    matching = text_search.matching_issue_ids(issues, "les des", index=_postings(spark, sf))
     found = viewer.viewer_search(issues, V.labels(spark, sf), matching_ids=matching, limit=200)
     return _flat(found)
 
@@ -726,7 +755,6 @@ def _embedded(spark: SparkSession, sf: str) -> str:
     issues = V.issues(spark, sf)
     S.stream_embed(
         D.stream_jobs(spark, inbox), root, lambda: issues, V.vectors(spark, sf), V.run_ts(),
-        encode=lambda texts: embed.embed_corpus(texts, dim=64),
     ).awaitTermination()
     return root
 
