@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +108,39 @@ def rerank(candidates: DataFrame, scorer: Scorer | None = None, score: str = "sc
     return T.top_by_score(scored.drop("rank"), "rerank_score", every).drop("rerank_score")
 
 
+ListScorer = Callable[[str, pd.DataFrame], Sequence[float]]
+#: The longest candidate list a list scorer is handed; searches give at most this many.
+LONGEST_LIST = 200
+
+
+def rerank_lists(candidates: DataFrame, queries: DataFrame, scorer: ListScorer) -> DataFrame:
+    """Re-order the candidates of every query by a scorer that sees the query's text and its complete list.
+
+    The list comes in the order of ``rank``; the scorer returns a number per candidate, higher is better, and
+    equal numbers keep that order. Queries and candidates meet by a cogroup on the query, whose groups are the
+    ``k`` rows of one search; a longer list than ``LONGEST_LIST`` ends the job. Queries without candidates have no rows.
+    """
+    schema = candidates.schema
+    longest = LONGEST_LIST
+
+    def order(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return rows
+        if len(rows) > longest:
+            raise ValueError(f"a list of {len(rows)} candidates, at most {longest} are taken")
+        text = asked["text"].iloc[0] if len(asked) else None
+        rows = rows.sort_values("rank", kind="stable").reset_index(drop=True)
+        scores = np.asarray(list(scorer("" if text is None else text, rows.copy())), dtype=float)
+        if scores.shape != (len(rows),):
+            raise ValueError(f"the scorer returned {len(scores)} numbers for {len(rows)} candidates")
+        placed = rows.iloc[np.argsort(-scores, kind="stable")].copy()
+        placed["rank"] = np.arange(1, len(placed) + 1)
+        return placed
+
+    texts = queries.select("query_id", "text")
+    return candidates.groupBy("query_id").cogroup(texts.groupBy("query_id")).applyInPandas(order, schema)
+
+
 def issue_latest_vector(
     issues: DataFrame, vectors: DataFrame, encode: Callable[[DataFrame], DataFrame], default_model: str
 ) -> DataFrame:
