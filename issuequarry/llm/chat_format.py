@@ -1,10 +1,11 @@
 """Chat formatting with a grammar round trip, in SQL functions only.
 
 Grammar: ``conversation := turn*``, ``turn := "<s>[INST]" role "[/INST]" text "</s>"``. The parser cuts at ``</s>``,
-takes the role up to the first ``[/INST]`` and undoes escapes (a backslash stands before a kept character). Texts are
-first rendered as they are; turns that come back different are escaped and rendered again, until what the parser
-recovers is identical to the source. Escaping puts a backslash behind the first character of every control string
-and of every backslash, so no control string is left and the undoing is exact.
+takes the role up to the first ``[/INST]`` and undoes escapes (a backslash stands before a kept character). Escaping
+puts a backslash behind the first character of every control string and of every backslash, so no control string is left
+inside a role or text and the undoing is exact. Turns that hold neither are rendered as they are. The rendered text is
+parsed again and compared with the source; a conversation that came back different would be escaped once more, and one
+that never comes back identical ends the job.
 
 Defined results: a null text or role is empty; null turns come first, turns with equal numbers are ordered by role
 and text; repeated rows are turns of their own; a null conv_id is a conversation of its own. An empty table gives no
@@ -82,22 +83,16 @@ def format_chats(rows: DataFrame) -> DataFrame:
     source = turns.select(
         "conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
     )
-    plain = source.withColumn("formatted", F.array_join(_written(F.col("turns")), ""))
-    tried = plain.withColumn("recovered", parse(F.col("formatted")))
-    same = F.col("recovered") == F.col("turns")
-    # Only turns whose own rendering comes back different are escaped.
-    mended = F.transform("turns", lambda t: F.when(
-        parse(F.concat(F.lit(BEGIN), t["role"], F.lit(ROLE_END), t["text"], F.lit(END))) == F.array(t), t,
-    ).otherwise(F.struct(_escape(t["role"]).alias("role"), _escape(t["text"]).alias("text"))))
-    again = tried.select(
-        "conv_id", "turns",
-        F.when(same, F.col("formatted")).otherwise(F.array_join(_written(mended), "")).alias("formatted"),
-    )
-    checked = again.withColumn("recovered", parse(F.col("formatted")))
-    whole = F.transform("turns", lambda t: F.struct(_escape(t["role"]).alias("role"), _escape(t["text"]).alias("text")))
+    def escaped(turns: str) -> Column:
+        return F.transform(turns, lambda t: F.struct(_escape(t["role"]).alias("role"), _escape(t["text"]).alias("text")))
+
+    # What conflicts with the grammar is escaped; all else is not touched by it.
+    tried = source.withColumn("safe", escaped("turns")).withColumn("formatted", F.array_join(_written(F.col("safe")), ""))
+    checked = tried.withColumn("recovered", parse(F.col("formatted")))
     last = checked.select(
         "conv_id", "turns",
-        F.when(F.col("recovered") == F.col("turns"), F.col("formatted")).otherwise(F.array_join(_written(whole), "")).alias("formatted"),
+        F.when(F.col("recovered") == F.col("turns"), F.col("formatted"))
+        .otherwise(F.array_join(_written(escaped("safe")), "")).alias("formatted"),
     )
     return last.withColumn("recovered", parse(F.col("formatted"))).withColumn("loss_spans", loss_spans(F.col("formatted")))
 
@@ -136,13 +131,11 @@ WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, len(regexp_extract_all(role || text, '\\|\[/?INST\]|</?s>')) AS marks,
-        len(regexp_extract_all(role || text, '\[/?INST\]|</?s>|\\')) AS n FROM r),
-b AS (SELECT *, contains(role || text, '\') OR contains(role || text, '</s>') OR contains(role, '[/INST]') AS bad FROM e)
+b AS (SELECT *, len(regexp_extract_all(role, '\\|\[/?INST\]|</?s>')) + len(regexp_extract_all(text, '\\|\[/?INST\]|</?s>')) AS marks FROM r)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(20 + length(role) + length(text) + CASE WHEN bad THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars
+  CAST(sum(20 + length(role) + length(text) + marks) AS BIGINT) AS formatted_chars
 FROM b GROUP BY conv_id
 """

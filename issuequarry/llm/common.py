@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from issuequarry.session import scratch_path
+
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -25,6 +27,48 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
+class Scratch:
+    """Scratch tables of one job, which it empties once nothing reads them any more.
+
+    A table is emptied by writing it anew without rows. Only do so when every frame that reads it has been written itself:
+    a lost executor then reads the later table.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def counted(self, df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+        """The written table, and aggregates observed while it was written."""
+        path, seen = scratch_path(self.spark, name), Observation()
+        if facts:
+            df = df.observe(seen, *[fact.alias(key) for key, fact in facts.items()])
+        df.write.parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(stored)] = (stored, path)
+        return stored, (seen.get if facts else {})
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return self.counted(df, name)[0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            if id(table) in self.paths:
+                stored, path = self.paths.pop(id(table))
+                self.spark.createDataFrame([], stored.schema).write.mode("overwrite").parquet(path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        names = {id(table) for table in tables}
+        self.drop(*[stored for key, (stored, _) in list(self.paths.items()) if key not in names])
+
+
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that the table does not have, in any spelling."""
+    taken = {name.lower() for name in df.columns}
+    found = (f"_own{k}" for k in range(n + len(taken) + n))
+    return [name for name in found if name not in taken and f"{name}_" not in taken][:n]
+
+
 def row_keys(n: int, state: dict) -> np.ndarray:
     """Keys of the next ``n`` rows of this task, unlike those of any other task.
 

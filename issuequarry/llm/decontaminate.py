@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issuequarry.llm.common import batches, hash_runs, hash_spans, lower_ascii, row_keys, signed, spans_of, text_bytes
+from issuequarry.llm.common import batches, fresh_names, hash_runs, hash_spans, lower_ascii, row_keys, signed, spans_of, text_bytes
 from issuequarry.session import checkpointed
 
 WINDOW = 13
@@ -214,10 +214,11 @@ def digest(judged: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that are contaminated. Rows with one id share a verdict; null ids are judged by text."""
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    named = docs.select(key.alias("doc_id"), "text")
-    bad = contamination(named, benchmark).filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").drop("_key")
+    own, bad_key = fresh_names(docs, 2)
+    # 128 bits of the id, or of the text where there is none.
+    key = F.md5(F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.concat(F.lit("text"), F.coalesce("text", F.lit("")))))
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_key)).distinct()
+    return docs.withColumn(own, key).join(bad, F.col(own) == F.col(bad_key), "left_anti").select(*docs.columns)
 
 
 #: DuckDB twin: every window of every item against every window of every document, by its words.

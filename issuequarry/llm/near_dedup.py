@@ -6,15 +6,17 @@ A document's set holds the hashes of its distinct ``SHINGLE``-word shingles; its
 2. Inverted lists of retained values: two sets with the asked similarity share far more than ``SHARED`` of their
    retained values (all but about 3.5 pairs in 10**10 at the threshold; sets of up to 15 shingles always). So it is enough
    to list each class under its rarest values, all but the ``SHARED - 1`` most frequent ones: values of a passage that
-   many documents hold are hardly ever used.
-3. Within a list, pairs are not spelt out. Every class first meets the list's smallest class; classes already connected
-   are then left alone, others meet a second centre chosen by hash, and what is still apart meets every class of another
-   component. Two tests in the join condition keep pairs without a chance from ever being rows: the parities of
-   ``ODD_BITS`` buckets, which differ in no more places than the sets have unshared values (so no link is lost), and
-   the union-sketch estimate.
+   many documents hold are hardly ever used. Lists are rows of a value and a class, without the sketches.
+3. Within a list, pairs are not spelt out. Every class first meets the list's smallest class, so there are no more pairs
+   than list rows; classes already connected are then left alone, and what is outside a list's largest component meets
+   a centre chosen by hash among its own, again and again while that connects at least half of it. What is still apart
+   meets every class of another component; there a pair is a row only under the smallest list that it shares.
+   Two tests keep pairs without a chance from being compared: the parities of ``ODD_BITS`` buckets, which
+   differ in no more places than the sets have unshared values (so no link is lost), and the union-sketch estimate.
 4. Survivors are verified on full sets, which only classes in such lists rebuild from their texts, and connected.
 
-No link between components is lost: any two classes of one list are compared, or already connected.
+No link between components is lost: any two classes of one list are compared, or already connected. Scratch tables
+are emptied as soon as nothing reads them any more.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; texts of fewer words than
 a shingle have one; rows of one doc_id are one node; rows without id take their class's component, else null, and are
@@ -27,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from issuequarry.llm.common import batches, hash_runs, hash_spans, lower_ascii, mix, spans_of, text_bytes
-from issuequarry.session import checkpointed, written
+from issuequarry.llm.common import Scratch, batches, fresh_names, hash_runs, hash_spans, lower_ascii, mix, spans_of, text_bytes
 
 SHINGLE = 4
 KEPT = 32
@@ -81,14 +83,16 @@ def _sketches(shingle: int, kept: int):
                 a, b = set_key(own)
                 size.append(len(own)), hi.append(a), lo.append(b), low.append(own[:kept]), odd.append(odd_bits(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "hi", "lo", "sketch", "odd"],
+                [batch.column("doc_id"), batch.column("name"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "name", "n", "hi", "lo", "sketch", "odd"],
             )
 
     return sketch
 
 
 def _sets(shingle: int):
+    """Class key and full set of every text, for texts of classes that are asked for."""
+
     def full(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             keys, sets = [], []
@@ -96,8 +100,8 @@ def _sets(shingle: int):
                 keys.append(set_key(own))
                 sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sets, pa.binary())],
-                names=["doc_id", "hi", "lo", "shingles"],
+                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sets, pa.binary())],
+                names=["hi", "lo", "shingles"],
             )
 
     return full
@@ -124,28 +128,32 @@ def _facts() -> dict[str, Column]:
     return {"n": F.count(F.lit(1)), "x": F.bit_xor(full), "s": F.sum(full.cast("decimal(20,0)"))}
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node and comp, the smallest node of its component, by alternating large and small stars.
 
     Stars are a minimum per node and a join back on it, so a node of any degree is never gathered in one place. The
     minima are written first, so that the edges of a node of high degree can be split at run time.
     """
-    now, seen = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", **_facts())
+    now, seen = scratch.counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", **_facts())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")
+        least = scratch.kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = checkpointed(large, "edges-large")
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
+        large = scratch.kept(large, "edges-large")
+        fewest = scratch.kept(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
+        small = large.join(fewest, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
             F.col("e.v").alias("u"), F.col("e.m").alias("v"),
         ).filter("u <> v").distinct()
-        after, facts = written(small, "edges", **_facts())
+        after, facts = scratch.counted(small, "edges", **_facts())
+        scratch.drop(now, least, large, fewest)
+        now = after
         if facts == seen:
             break
-        now, seen = after, facts
+        seen = facts
     tops = now.select(F.col("v").alias("u"), "v").distinct()
-    return checkpointed(now.unionByName(tops).select(F.col("u").alias("node"), F.col("v").alias("comp")), "edges-labels")
+    labels = scratch.kept(now.unionByName(tops).select(F.col("u").alias("node"), F.col("v").alias("comp")), "edges-labels")
+    scratch.drop(now)
+    return labels
 
 
 def _few_unshared(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -162,83 +170,146 @@ def _plausible(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Co
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (hits >= F.least(F.lit(SHARED), F.ceil(F.least(na, nb) * percent / 100)))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lean = docs.select("doc_id", "text")
-    rows = checkpointed(lean.mapInArrow(_sketches(shingle, KEPT), f"doc_id {kind}, n bigint, hi bigint, lo bigint, sketch array<bigint>, odd array<bigint>"), "near-sketches")
-    classes = rows.filter("n > 0").groupBy("hi", "lo", "n", "sketch", "odd").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL")
-    classes = checkpointed(classes, "near-classes")
-
-    # Inverted lists under each class's rarest retained values.
-    postings = classes.select("rep", "hi", "lo", F.explode("sketch").alias("value"))
-    shared = checkpointed(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
-    met = postings.join(shared, "value").groupBy("rep", "hi", "lo").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))
+def _listed(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Inverted lists (value, cid): every class under its rarest retained values that another class has too."""
+    postings = classes.select("cid", "n", F.explode("sketch").alias("value"))
+    shared = scratch.kept(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
+    met = postings.join(shared, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))
     needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
     rare = F.size("met") - needed + 1  # values of one class alone would come first in the order, and take no list
-    entries = classes.join(met, ["rep", "hi", "lo"]).filter(rare > 0).select(
-        "rep", "hi", "lo", "n", "sketch", "odd", F.explode(F.slice("met", F.lit(1), rare.cast("int"))).alias("e"),
-    ).select("rep", "hi", "lo", "n", "sketch", "odd", F.col("e.value").alias("value"))
-    entries = checkpointed(entries, "near-entries")
-    listed = checkpointed(entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value"), "near-listed")
-    entries = checkpointed(entries.join(listed, "value"), "near-lists")
-
-    # Full sets of the listed classes alone. The filter over ids has a fixed size whatever the corpus.
-    wanted = entries.select("rep", "hi", "lo").distinct()
-    slots = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS)).cast("int").alias("s")).distinct().toArrow().column("s").to_numpy()
+    entries = met.filter(rare > 0).select("cid", F.explode(F.slice("met", F.lit(1), rare.cast("int"))).alias("e")).select("cid", F.col("e.value").alias("value"))
+    entries = scratch.kept(entries, "near-entries")
+    many = scratch.kept(entries.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value"), "near-many")
+    lists = scratch.kept(entries.join(many, "value"), "near-lists")
+    scratch.drop(shared, entries, many)
+    return lists
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """Full sets (cid, shingles) of the listed classes alone, rebuilt from one document of each.
+
+    The filter over ids has a fixed size whatever the corpus; what it lets through by chance falls out in the join.
+    """
+    wanted = classes.select("cid", "hi", "lo", "rep").join(lists.select("cid").distinct(), "cid", "left_semi")
+    wanted = scratch.kept(wanted, "near-wanted")
+    slot = F.pmod("rep", F.lit(1 << FILTER_BITS)).cast("int")
+    slots = wanted.select(slot.alias("s")).distinct().toArrow().column("s").to_numpy()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[slots] = True
 
-    def known(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            yield batch.filter(pa.array(bits[batch.column("s").to_numpy(zero_copy_only=False)]))
-
     def known_sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sets(shingle)(known(stream))
+        yield from _sets(shingle)(b.filter(pa.array(bits[b.column("s").to_numpy(zero_copy_only=False)])) for b in stream)
+
+    keyed = docs.select("text", F.pmod(_named(docs), F.lit(1 << FILTER_BITS)).cast("int").alias("s"))
+    sets = keyed.mapInArrow(known_sets, "hi bigint, lo bigint, shingles binary")
+    # One set per class: copies are dropped inside the map tasks first.
+    sets = sets.join(wanted.select("cid", "hi", "lo"), ["hi", "lo"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    sets = scratch.kept(sets, "near-sets")
+    scratch.drop(wanted)
+    return sets
+
+
+def _named(docs: DataFrame) -> Column:
+    """A number that names a row for the filter: of its id, or of its text where it has none."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\n"), F.col("text"))))
 
-    keyed = lean.filter("doc_id IS NOT NULL").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int"))
-    sets = keyed.mapInArrow(known_sets, f"doc_id {kind}, hi bigint, lo bigint, shingles binary")
-    sets = sets.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "hi", "lo"], "left_semi").groupBy("rep", "hi", "lo").agg(F.first("shingles").alias("shingles"))
-    sets = checkpointed(sets.select("rep", "shingles"), "near-sets")
+
+def _components(docs: DataFrame, shingle: int, percent: int, one_node_per_id: bool, scratch: Scratch) -> DataFrame:
+    """doc_id, n, hi, lo, comp of every row; the classes of a component share ``comp``, null without shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lean = docs.select("doc_id", "text", _named(docs).alias("name"))
+    sketched = lean.mapInArrow(_sketches(shingle, KEPT), f"doc_id {kind}, name bigint, n bigint, hi bigint, lo bigint, sketch array<bigint>, odd array<bigint>")
+    rows = scratch.kept(sketched, "near-sketches")
+    classes = rows.filter("n > 0").groupBy("hi", "lo", "n", "sketch", "odd").agg(F.min("name").alias("rep"))
+    classes = scratch.kept(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    rows_of = classes.select("hi", "lo", "cid")
+    lists = _listed(classes, percent, scratch)
+    sets = _sets_of(docs, classes, lists, shingle, scratch)
+    known = classes.select("cid", "n", "sketch", "odd")
+
+    def fits(a: str, b: str) -> Column:
+        at = {side: {x: F.col(f"{side}.{x}") for x in ("n", "sketch", "odd")} for side in (a, b)}
+        few = _few_unshared(at[a]["odd"], at[b]["odd"], at[a]["n"], at[b]["n"], percent)
+        return few & _plausible(at[a]["sketch"], at[b]["sketch"], at[a]["n"], at[b]["n"], percent)
 
     def links(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), f"a {kind}, b {kind}")
-
-    def pairs_of(members: DataFrame, centres: DataFrame) -> DataFrame:
-        c = centres.select("value", *[F.col(x).alias(f"c_{x}") for x in ("rep", "n", "sketch", "odd", "comp")])
-        apart = (F.col("rep") != F.col("c_rep")) & (F.col("comp") != F.col("c_comp"))
-        fit = _few_unshared(F.col("odd"), F.col("c_odd"), F.col("n"), F.col("c_n"), percent) & _plausible(F.col("sketch"), F.col("c_sketch"), F.col("n"), F.col("c_n"), percent)
-        met = members.join(c, (members["value"] == c["value"]) & apart & fit)
-        return checkpointed(met.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct(), "near-pairs")
-
-    def centres_by(order: Column, members: DataFrame) -> DataFrame:
-        chosen = checkpointed(members.groupBy("value").agg(F.min_by("rep", order).alias("rep")), "near-chosen")
-        return checkpointed(members.join(chosen, ["value", "rep"]), "near-centres")
-
-    member = entries.select("value", "rep", "n", "sketch", "odd", F.col("rep").alias("comp"))
-    edges = checkpointed(links(pairs_of(member, centres_by(F.col("rep"), member))), "near-links")
-    labels = connected(edges)
-    for step in ("centre by hash", "all that is apart"):
-        placed = member.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        placed = checkpointed(placed, "near-placed")
-        open_lists = placed.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("value")
-        open_lists = checkpointed(open_lists, "near-open-lists")
-        still = checkpointed(placed.join(open_lists, "value"), "near-open")
-        if step == "centre by hash":
-            pairs = pairs_of(still, centres_by(F.xxhash64("value", "rep"), still))
-        else:
-            # All classes outside a list's largest component meet those of other components.
-            sizes = still.groupBy("value", "comp").agg(F.count("*").alias("size")).groupBy("value").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"))
-            outside = checkpointed(still.join(checkpointed(sizes, "near-sizes"), "value").filter("comp <> most").drop("most"), "near-outside")
-            pairs = pairs_of(still, outside)
-        edges = checkpointed(edges.unionByName(links(pairs)), "near-links")
-        labels = connected(edges)
-
-    of_class = classes.select("hi", "lo", "rep")
+        """The pairs (a, b) whose full sets are similar enough."""
+        left, right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a bigint, b bigint")
+
+    def with_centres(members: DataFrame, centres: DataFrame) -> DataFrame:
+        """Every member with its list's one centre: as many rows as lists have, tested once they are distinct."""
+        met = members.join(centres.select("value", F.col("cid").alias("c"), F.col("comp").alias("c_comp")), "value")
+        asked = scratch.kept(met.filter("cid <> c AND comp <> c_comp").select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct(), "near-asked")
+        x, y = known.alias("x"), known.alias("y")
+        tried = asked.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid")).filter(fits("x", "y"))
+        pairs = scratch.kept(tried.select("a", "b"), "near-pairs")
+        scratch.drop(asked)
+        return pairs
+
+    def with_all(members: DataFrame, others: DataFrame) -> DataFrame:
+        """Every member with every other of its lists and another component; one row a pair, under its smallest list."""
+        def side(entries: DataFrame) -> DataFrame:
+            per = entries.groupBy("cid").agg(F.collect_list("value").alias("lists"), F.first("comp").alias("comp"))
+            return per.join(known, "cid").select("*", F.explode("lists").alias("value"))
+
+        x, y = side(members).alias("x"), side(others).alias("y")
+        once = F.col("x.value") == F.array_min(F.array_intersect("x.lists", "y.lists"))
+        met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y") & once)
+        return scratch.kept(met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct(), "near-pairs")
+
+    def joined(edges: DataFrame, labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = scratch.kept(edges.unionByName(links(pairs)), "near-links")
+        now = connected(more, scratch)
+        scratch.drop(pairs, edges, *([] if labels is None else [labels]))
+        return more, now
+
+    if one_node_per_id:
+        # An id whose rows have different sets ties their classes together.
+        owned = rows.filter("n > 0 AND doc_id IS NOT NULL").join(rows_of, ["hi", "lo"]).select("doc_id", "cid").distinct()
+        edges = owned.join(owned.groupBy("doc_id").agg(F.min("cid").alias("b"), F.count("*").alias("k")).filter("k > 1"), "doc_id").select(F.col("cid").alias("a"), "b").filter("a <> b")
+    else:
+        edges = rows_of.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    edges = scratch.kept(edges.distinct(), "near-links")
+    member = lists.select("value", "cid", F.col("cid").alias("comp"))
+    centres = member.groupBy("value").agg(F.min("cid").alias("cid")).withColumn("comp", F.col("cid"))
+    edges, labels = joined(edges, None, with_centres(member, scratch.kept(centres, "near-centres")))
+    turn, left = 0, None
+    while True:
+        placed = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        placed = scratch.kept(placed, "near-placed")
+        # Per list: its largest component, and whether there is another.
+        sizes = placed.groupBy("value", "comp").agg(F.count("*").alias("size")).groupBy("value").agg(
+            F.max_by("comp", F.struct("size", "comp")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+        sizes = scratch.kept(sizes.select("value", "most"), "near-sizes")
+        still = scratch.kept(placed.join(sizes, "value"), "near-open")
+        outside, seen = scratch.counted(still.filter("comp <> most").drop("most"), "near-outside", n=F.count(F.lit(1)))
+        now = seen["n"] or 0
+        if not now:
+            break
+        if left is not None and 2 * now > left:
+            edges, labels = joined(edges, labels, with_all(still, outside))
+            break
+        turn, left = turn + 1, now
+        chosen = outside.groupBy("value").agg(F.min_by(F.struct("cid", "comp"), F.xxhash64(F.lit(turn), "value", "cid")).alias("c"))
+        chosen = scratch.kept(chosen.select("value", "c.cid", "c.comp"), "near-centres")
+        edges, labels = joined(edges, labels, with_centres(still, chosen))
+        scratch.drop(placed, sizes, still, outside, chosen)
+    scratch.drop(lists, sets, edges)
+    of_class = scratch.kept(rows_of.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("hi", "lo", F.coalesce("comp", "cid").alias("comp")), "near-components")
     found = rows.select("doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
-    placed = found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
+    result = scratch.kept(found.select("doc_id", "n", "hi", "lo", F.when(F.col("n") > 0, F.col("comp")).alias("comp")), "near-found")
+    scratch.drop_all_but(result)
+    return result
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    scratch = Scratch(docs.sparkSession)
+    found = _components(docs, shingle, percent, True, scratch)
+    least = scratch.kept(found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least")), "near-least")
+    placed = found.join(least, "comp", "left")
+    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return placed.select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
     ).withColumn("kept", F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id")))
@@ -247,11 +318,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def kept(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, all their columns, one row of each component: the smallest id, no id last, of equal ids one row.
 
-    Rows are told apart by a key stored with them, so repeated rows and rows without id are nodes of their own.
+    Rows are nodes by what they say, so an id that names several texts ties nothing together; rows without words all
+    stay. A row is found again by its id; only rows that share an id or have none are told apart by their set.
     """
-    keyed = checkpointed(docs.withColumn("_key", F.monotonically_increasing_id()), "near-keyed")
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_comp"))
-    placed = keyed.select("_key", "doc_id").join(found, "_key")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("_key"))
-    first = placed.groupBy("_comp").agg(F.min(order).alias("first")).select(F.col("first._key").alias("_key"))
-    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    found = _components(docs, shingle, percent, False, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hi").alias("hi"), F.col("lo").alias("lo"))
+    first = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("f"))
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("t_id"))
+    id_, hi, lo, nth = fresh_names(docs, 4)
+    first = scratch.kept(first.select(F.col("f.id").alias(id_), F.col("f.hi").alias(hi), F.col("f.lo").alias(lo)), "near-first")
+    twice = scratch.kept(twice.withColumnRenamed("t_id", id_), "near-twice")
+    scratch.drop(found)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same_id = F.col("doc_id").eqNullSafe(F.col(id_))
+    once = first.join(twice, first[id_].eqNullSafe(twice[id_]), "left_anti").select(id_)
+    single = docs.filter(worded).join(once, same_id, "left_semi")
+    # Rows of ids that stand for several rows: their sets say which row is meant, and of equal ones one stays.
+    again = _with_class(docs.filter(worded).join(twice, same_id, "left_semi"), shingle, hi, lo)
+    chosen = first.withColumnsRenamed({hi: f"{hi}_", lo: f"{lo}_"})
+    again = again.join(chosen, same_id & (F.col(hi) == F.col(f"{hi}_")) & (F.col(lo) == F.col(f"{lo}_")), "left_semi")
+    each = Window.partitionBy("doc_id", hi, lo).orderBy(F.xxhash64("text"))
+    again = again.withColumn(nth, F.row_number().over(each)).filter(F.col(nth) == 1)
+    return docs.filter(~worded).unionByName(single).unionByName(again.select(*docs.columns)).select(*docs.columns)
+
+
+def _with_class(docs: DataFrame, shingle: int, hi: str, lo: str) -> DataFrame:
+    """The documents with the key of their set in two more columns."""
+    schema = StructType([*docs.schema.fields, StructField(hi, LongType()), StructField(lo, LongType())])
+
+    def keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            keys = [set_key(own) for own in shingle_sets(batch.column("text"), shingle)]
+            columns = [*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, hi, lo])
+
+    return docs.mapInArrow(keyed, schema)

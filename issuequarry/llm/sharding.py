@@ -52,17 +52,29 @@ def _slot(slots: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint") % slots
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the table's own columns."""
+    taken = {column.lower() for column in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """The documents with ``slot`` and ``shard``; one narrow map against the broadcast table."""
+    """The documents with two more columns, ``slot`` and ``shard``; one narrow map against the broadcast table.
+
+    A table that has columns of these names keeps them; the new ones then end in an underscore.
+    """
     spark: SparkSession = docs.sparkSession
+    slot, shard = _free(docs, "slot"), _free(docs, "shard")
     owners = lookup_table(shard_names(shards), slots)
-    table = spark.createDataFrame([(i, int(k)) for i, k in enumerate(owners)], "slot bigint, shard bigint")
-    return docs.withColumn("slot", _slot(slots)).join(F.broadcast(table), "slot")
+    table = spark.createDataFrame([(i, int(k)) for i, k in enumerate(owners)], f"{slot} bigint, {shard} bigint")
+    return docs.withColumn(slot, _slot(slots)).join(F.broadcast(table), slot).select(*docs.columns, slot, shard)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> None:
     """One folder of Parquet files per shard. Rows are written where they are, without a shuffle."""
-    place(docs, shards, slots).drop("slot").write.partitionBy("shard").parquet(path)
+    place(docs, shards, slots).drop(_free(docs, "slot")).write.partitionBy(_free(docs, "shard")).parquet(path)
 
 
 def placements(docs: DataFrame) -> DataFrame:
