@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuequarry.llm import decontaminate, near_dedup, packing, pii, quality_crf
-from issuequarry.llm.common import table
+from issuequarry.llm.common import fresh_names, table
 from issuequarry.session import checkpointed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Words per shingle of the near-duplicate stage.
+#: Words per shingle of the near-duplicate stage: five, as stages on word shingles have unless a contract says otherwise.
 SHINGLE = 5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the line classifier does not reject."""
     model = quality_crf.learn(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.scored(docs, model).filter("_score >= 0.5").select(*docs.columns)
+    score = fresh_names(docs, 1)[0]
+    return quality_crf.scored(docs, model, score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +46,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack(docs)
+    """Pieces of token sequences with their token ids; ``packing.sequences`` puts them together."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
