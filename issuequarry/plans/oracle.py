@@ -204,7 +204,7 @@ _NEEDS = {
     "dupscore": ["truth", "duptop"], "near": ["queries", "vectors"], "words": ["docs"], "terms": ["queries"],
     "matches": ["terms", "words"], "occurrences": ["matches", "terms", "words"], "latest": ["occurrences", "terms"],
     "ends": ["latest"], "covers": ["ends"], "ranked": ["covers", "occurrences"], "texttop": ["ranked"],
-    "sent": ["docs"], "routes": ["routed"], "requested": ["routed"], "linked": ["docs"], "maskin": ["docs"],
+    "sent": ["docs"], "routes": ["routed"], "requested": ["routed"], "linked": ["docs"], "maskin": ["docs"], "entities": ["maskin"],
     "github_rows": ["docs"], "jira_rows": ["docs"], "arrived": ["sent", "github_rows", "jira_rows"],
     "ingested": ["arrived"], "upserted": ["issues"],
 }
@@ -229,7 +229,8 @@ def _sql(body: str, *needed: str) -> str:
 
     for name in needed:
         add(name)
-    parts = ",\n".join(f"{name} AS ({_CTES[name]})" for name in order)
+    ctes = _CTES | {"entities": _entities()}
+    parts = ",\n".join(f"{name} AS ({ctes[name]})" for name in order)
     text = f"WITH {parts}\n{body}" if order else body
     for content in ("title || ' ' || body", "text"):
         text = text.replace(f"TOKENS({content})", _tokens(content))
@@ -258,6 +259,42 @@ def _paragraphs(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN '' ELSE replace('<p>' || {split} || '</p>', chr(10), '<br />' || chr(10)) END"
 
 
+#: The protected kinds in order of priority, worded for an engine without lookahead: a traceback takes the blank line behind
+#: it along, which is cut off again. Letters and numbers of any script are word characters, bounds are those of ASCII words.
+_WORD = r"\p{L}\p{N}_"
+_PROTECTED = (
+    ("fence", "(?s:```.*?```|~~~.*?~~~)"),
+    ("traceback", r"(?s:Traceback \(most recent call last\):.+?(?:\n\n|\z))"),
+    ("inline_code", "`[^`]+`"),
+    ("url", r"(?i)https?://[^\s\p{Z}]+"),
+    ("path", rf"(?:\.{{1,2}}/|/)[{_WORD}@~./-]+"),
+    ("repo", rf"\b[{_WORD}.-]+/[{_WORD}.-]+\b"),
+    ("issue_key", r"\b[A-Z][A-Z0-9]+-\d+\b"),
+    ("id", r"(?i)\b(?:id:?\s*#?\d{3,}|#\d{3,}|\d{5,})\b"),
+    ("timestamp", r"\b\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})?)?\b"),
+    ("version", rf"\bv?\d+\.\d+(?:\.\d+)?(?:-[{_WORD}.-]+)?\b"),
+    ("error", r"\b[A-Z][A-Za-z0-9]+Error\b"),
+)
+
+
+def _entities() -> str:
+    """Protected spans: matches are laid out by the lengths of what lies between them, kinds accepted one after another."""
+    parts = ["t AS MATERIALIZED (SELECT doc_id, text FROM maskin)"]
+    for k, (kind, pattern) in enumerate(_PROTECTED):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        cut = "CASE WHEN ends_with(h, chr(10) || chr(10)) THEN 2 ELSE 0 END" if kind == "traceback" else "0"
+        parts.append(f"""
+h{k} AS (SELECT doc_id, generate_subscripts(hs, 1) AS nth, unnest(hs) AS h, unnest(bs[1 : len(hs)]) AS b FROM (
+  SELECT doc_id, regexp_extract_all(text, {quoted}) AS hs, string_split_regex(text, {quoted}) AS bs FROM t WHERE regexp_matches(text, {quoted}))),
+p{k} AS (SELECT doc_id, h, sum(length(b) + length(h)) OVER (PARTITION BY doc_id ORDER BY nth) AS e FROM h{k}),
+m{k} AS (SELECT doc_id, '{kind}' AS kind, CAST(e - length(h) AS BIGINT) AS s, CAST(e - {cut} AS BIGINT) AS e FROM p{k}),
+a{k} AS MATERIALIZED (SELECT * FROM m{k}{f" WHERE NOT EXISTS (SELECT 1 FROM a{k - 1} x WHERE x.doc_id = m{k}.doc_id AND x.s < m{k}.e AND m{k}.s < x.e) UNION ALL SELECT * FROM a{k - 1}" if k else ""})""")
+    last = len(_PROTECTED) - 1
+    return f"""WITH {",".join(parts)}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS idx, kind, text[s + 1 : e] AS value, s AS start, e AS "end"
+FROM a{last} JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     top_pairs = (
         "SELECT query_id, issue_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, issue_id) AS rank "
@@ -509,6 +546,15 @@ def oracle_sql() -> dict[str, str]:
             "SELECT first_id AS target_id, count(*) AS in_links FROM ("
             f"SELECT {tracker_link} AS route FROM (SELECT rtrim(unnest({url_list}), '.,);') AS url FROM linked)) l "
             "JOIN routes r ON r.route = l.route GROUP BY first_id", "linked", "routes"),
+        "locked_entities": _sql('SELECT doc_id, idx, kind, value, start, "end" FROM entities', "entities"),
+        "entity_stats": _sql(
+            "SELECT kind, count(*) AS spans, count(DISTINCT value) AS distinct_values FROM entities GROUP BY kind", "entities"),
+        "mask_corpus": _sql(
+            "SELECT m.doc_id, CASE WHEN n IS NULL THEN text ELSE masked || text[last + 1 :] END AS masked, coalesce(n, 0) AS n_spans "
+            "FROM maskin m LEFT JOIN (SELECT doc_id, count(*) AS n, max(\"end\") AS last, "
+            "string_agg(gap || chr(63743) || idx || chr(63742), '' ORDER BY idx) AS masked FROM ("
+            "SELECT e.doc_id, idx, \"end\", text[lag(\"end\", 1, 0) OVER (PARTITION BY e.doc_id ORDER BY idx) + 1 : start] AS gap "
+            "FROM entities e JOIN maskin x ON x.doc_id = e.doc_id) GROUP BY doc_id) g ON g.doc_id = m.doc_id", "entities"),
         "unmask_corpus": _sql("SELECT doc_id, text AS restored, true AS same FROM maskin", "maskin"),
         "token_counts": (
             "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+')) AS BIGINT) AS tokens FROM documents"),
