@@ -53,7 +53,9 @@ _BLOCK_SCHEMA = (
 _CHUNK_SCHEMA = (
     "chunk_id long, space string, cell long, n int, pmin double, pmax double, h1s array<long>, h2s array<long>, mat binary"
 )
-_PROBE_SCHEMA = "chunk_id long, space string, cn int, cell long, lo double, hi double"
+_PROBE_SCHEMA = "chunk_id long, space string, cn int, cell long, lo double, hi double, wants array<int>"
+#: Some queries of a chunk (a cell to visit, the range of centre distances that matters, the queries or None for all).
+Probe = tuple[int, float, float, np.ndarray | None]
 
 
 class Router:
@@ -63,14 +65,24 @@ class Router:
         """One (cell, distance to its centre) pair of arrays per cell a vector belongs to."""
         raise NotImplementedError
 
-    def probes(self, points: np.ndarray, last: np.ndarray | None = None) -> list[tuple[int, float, float]]:
-        """Cells to visit, each with the range of centre distances that matters.
+    def probes(self, points: np.ndarray, last: np.ndarray | None = None) -> list[Probe]:
+        """Cells to visit, each with the range of centre distances and the queries that matter.
 
         ``last`` holds, per point, a cost that its answers are known not to exceed.
         """
         raise NotImplementedError
 
 
+def _wanted(cells: np.ndarray) -> list[Probe]:
+    """The queries that visit each cell, from the cells of each query (one row each)."""
+    flat = cells.ravel()
+    query = np.repeat(np.arange(len(cells)), cells.shape[1])
+    order = np.lexsort((query, flat))
+    flat, query = flat[order], query[order]
+    bounds = np.append(np.flatnonzero(np.diff(flat, prepend=flat[0] - 1)), len(flat))
+    return [(int(flat[a]), -math.inf, math.inf, np.unique(query[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 #: The router of every space that holds vectors.
 Routers = dict[str, Router]
 
@@ -120,7 +132,7 @@ class PivotRouter(Router):
         near = distance - reach[:, None] <= self.radius[None, :]
         low = np.where(near, distance - reach[:, None], math.inf).min(0)
         high = np.where(near, distance + reach[:, None], -math.inf).max(0)
-        return [(int(c), float(low[c]), float(high[c])) for c in np.flatnonzero(near.any(0))]
+        return [(int(c), float(low[c]), float(high[c]), None) for c in np.flatnonzero(near.any(0))]
 
 
 @dataclass
@@ -139,31 +151,57 @@ class CentreRouter(Router):
         distance = pairwise_l2(points, self.centres)
         count = min(self.nprobe, distance.shape[1])
         nearest = np.argpartition(distance, count - 1, axis=1)[:, :count]
-        return [(int(c), -math.inf, math.inf) for c in np.unique(nearest)]
+        return _wanted(nearest)
 
 
 @dataclass
 class ProjectionRouter(Router):
-    """Random-projection routing: a vector sits in one bucket of every table."""
+    """Random-projection routing: in each of several tables, the bucket is named by several projections together.
+
+    A bucket's name is a sum over its projections, so the buckets beyond the nearest bounds of a query follow
+    by adding or taking away one term; ``nearby`` of them are visited in each table besides the query's own.
+    """
 
     directions: np.ndarray
+    offsets: np.ndarray
+    terms: np.ndarray
     width: float
+    nearby: int
 
     @classmethod
-    def make(cls, dim: int, tables: int, width: float, seed: int = 42) -> ProjectionRouter:
-        directions = np.random.default_rng(seed).standard_normal((tables, dim))
-        return cls(directions / np.linalg.norm(directions, axis=1, keepdims=True), width)
+    def make(cls, dim: int, tables: int, projections: int, width: float, nearby: int, seed: int = 42) -> ProjectionRouter:
+        draw = np.random.default_rng(seed)
+        directions = draw.standard_normal((tables, projections, dim))
+        terms = draw.integers(1, 1 << 62, (tables, projections), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return cls(
+            directions / np.linalg.norm(directions, axis=2, keepdims=True), draw.random((tables, projections)), terms, width, nearby
+        )
+
+    def _named(self, sums: np.ndarray) -> np.ndarray:
+        """Cell numbers of summed terms (n x tables x names): the upper bits, behind the number of the table."""
+        spread = (sums ^ (sums >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(20)).astype(np.int64) | (np.arange(len(self.terms), dtype=np.int64) << 48)[None, :, None]
 
-    def _buckets(self, points: np.ndarray) -> np.ndarray:
-        bucket = np.floor(points @ self.directions.T / self.width).astype(np.int64)
-        return bucket + (np.arange(len(self.directions), dtype=np.int64) << 40)[None, :]
+    def _placed(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of terms of each point in each table, and how far each projection lies above its lower bound."""
+        at = np.einsum("nd,tpd->ntp", points, self.directions) / self.width + self.offsets[None]
+        step = np.floor(at)
+        return (step.astype(np.int64).view(np.uint64) * self.terms[None]).sum(2, dtype=np.uint64), at - step
 
     def vector_cells(self, points):
-        cells = self._buckets(points)
+        cells = self._named(self._placed(points)[0][:, :, None])[:, :, 0]
         return [(cells[:, t], np.zeros(len(points))) for t in range(cells.shape[1])]
 
     def probes(self, points, last=None):
-        return [(int(c), -math.inf, math.inf) for c in np.unique(self._buckets(points))]
+        sums, above = self._placed(points)
+        # One step down or up along each projection, by how near that bound is.
+        far = np.concatenate([above, 1.0 - above], axis=2)
+        steps = np.concatenate([np.uint64(0) - self.terms, self.terms], axis=1)[None]
+        count = min(self.nearby, far.shape[2])
+        best = np.argsort(far, axis=2, kind="stable")[:, :, :count]
+        moved = sums[:, :, None] + np.take_along_axis(np.broadcast_to(steps, far.shape), best, axis=2)
+        cells = self._named(np.concatenate([sums[:, :, None], moved], axis=2))
+        return _wanted(cells.reshape(len(points), -1))
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -299,9 +337,10 @@ def probe_cells(chunks: DataFrame, routers: Routers, lasts: DataFrame | None = N
             for row in pdf.itertuples(index=False):
                 last = None if row.lasts is None else np.min(np.stack([np.asarray(x) for x in row.lasts]), axis=0)
                 probes = routers[row.space].probes(_matrix(row.mat, row.n).astype(np.float64), last)
-                frame = pd.DataFrame(probes, columns=["cell", "lo", "hi"])
-                yield frame.assign(chunk_id=row.chunk_id, space=row.space, cn=row.n)[
-                    ["chunk_id", "space", "cn", "cell", "lo", "hi"]
+                frame = pd.DataFrame(probes, columns=["cell", "lo", "hi", "wants"])
+                asking = [row.n if wants is None else len(wants) for wants in frame["wants"]]
+                yield frame.assign(chunk_id=row.chunk_id, space=row.space, cn=asking)[
+                    ["chunk_id", "space", "cn", "cell", "lo", "hi", "wants"]
                 ]
 
     return asked.mapInPandas(probe, _PROBE_SCHEMA)
@@ -314,7 +353,7 @@ def block_pairs(probes: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     rings = blocks.select("block_id", "space", "cell", "pmin", "pmax", F.col("n").alias("bn"))
     met = probes.join(rings, ["space", "cell"]).filter("pmax >= lo and pmin <= hi")
-    return met.select("chunk_id", "block_id", "cn", "bn")
+    return met.select("chunk_id", "block_id", "cn", "bn", "wants")
 
 
 def _home_lasts(
@@ -330,7 +369,8 @@ def _home_lasts(
     rings = blocks.select("block_id", "space", "cell", ((F.col("pmin") + F.col("pmax")) / 2).alias("mid"))
     w = Window.partitionBy("chunk_id").orderBy(F.abs(F.col("mid") - F.col("at")), "block_id")
     near = home.join(rings, ["space", "cell"]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
-    work = tiles(near.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks, dead)
+    near = near.withColumn("wants", F.lit(None).cast("array<int>"))
+    work = tiles(near, blocks, chunks, n_blocks, n_chunks, dead)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk_id, best in _searched(batches, keep, metric):
@@ -345,6 +385,8 @@ def tiles(
 ) -> DataFrame:
     """Rows for the search, laid out on the grid: in every tile its chunks, then the blocks some of them look at.
 
+    ``pairs``: chunk_id, block_id and the queries of the chunk that look at the block, null for all.
+
     A grid row is ``TILE_ROWS`` chunks packed one after another, so they mostly need the same blocks. Blocks are dealt to as
     many columns as give every task a tile, and a tile at most ``TILE_COLUMNS`` blocks or so. The number of tasks is
     fixed: the bytes are few for the work they cause, so sizing tasks by bytes would leave cores idle. ``dead`` names
@@ -354,10 +396,11 @@ def tiles(
     rows = max(1, math.ceil(n_chunks / TILE_ROWS))
     columns = max(1, min(n_blocks, max(math.ceil(tasks / rows), math.ceil(n_blocks / TILE_COLUMNS))))
     placed = pairs.select(
-        "chunk_id", "block_id", F.floor(F.col("chunk_id") / TILE_ROWS).alias("tile_row"),
+        "chunk_id", "block_id", "wants", F.floor(F.col("chunk_id") / TILE_ROWS).alias("tile_row"),
         F.pmod(F.xxhash64("block_id"), F.lit(columns)).alias("tile_column"),
     )
-    shipped = placed.groupBy("block_id", "tile_row", "tile_column").agg(F.collect_list("chunk_id").alias("chunk_ids"))
+    shipped = placed.groupBy("block_id", "tile_row", "tile_column").agg(
+        F.collect_list(F.struct("chunk_id", "wants")).alias("looks"))
     wanted = ["ids", "sizes", "mat"]
     none = F.lit(None)
     if dead is None:
@@ -366,11 +409,11 @@ def tiles(
         shipped = shipped.join(dead, "block_id", "left")
     looked_at = shipped.join(blocks.select("block_id", *wanted), "block_id").select(
         "tile_row", "tile_column", F.lit(1).alias("turn"), F.col("block_id").alias("id"), none.cast("string").alias("space"),
-        none.cast("array<long>").alias("h1s"), none.cast("array<long>").alias("h2s"), "chunk_ids", *wanted, "dead",
+        none.cast("array<long>").alias("h1s"), none.cast("array<long>").alias("h2s"), "looks", *wanted, "dead",
     )
     asked = placed.select("tile_row", "tile_column", "chunk_id").distinct().join(chunks, "chunk_id").select(
         "tile_row", "tile_column", F.lit(0).alias("turn"), F.col("chunk_id").alias("id"), "space", "h1s", "h2s",
-        none.cast("array<long>").alias("chunk_ids"), none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"),
+        none.cast("array<struct<chunk_id:long,wants:array<int>>>").alias("looks"), none.cast("array<long>").alias("ids"), none.cast("array<int>").alias("sizes"),
         "mat", none.cast("array<int>").alias("dead"),
     )
     both = asked.unionByName(looked_at)
@@ -396,21 +439,24 @@ class _Best:
         self.cost = np.empty(0)
         self.ids = np.empty(0, dtype=np.int64)
 
-    def offer(self, v: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def offer(self, v: np.ndarray, ids: np.ndarray, sizes: np.ndarray, wants: np.ndarray | None = None) -> None:
+        """Compare the queries named by ``wants``, all of them without it, with a block."""
         if not len(v):
             return
+        mine = np.arange(len(self.q)) if wants is None else np.asarray(wants)
+        own, last = self.norms[mine], self.last[mine]
         norms = np.einsum("ij,ij->i", v, v, dtype=np.float64)
-        cost = self.q @ v.T
+        cost = self.q[mine] @ v.T
         if self.metric == "ip":
             np.negative(cost, out=cost)
-            limit = self.last
+            limit = last
         else:
             cost *= np.float32(-2.0)
-            cost += self.norms[:, None].astype(np.float32)
+            cost += own[:, None].astype(np.float32)
             cost += norms[None, :].astype(np.float32)
-            limit = self.last**2
+            limit = last**2
         # Single precision sorts out the candidates; the bound covers its rounding, twice.
-        slack = (4 * v.shape[1] + 16) * 6e-8 * (self.norms + norms.max())
+        slack = (4 * v.shape[1] + 16) * 6e-8 * (own + norms.max())
         open_rows = np.isinf(limit)
         if open_rows.any() and cost.shape[1] > self.keep:
             part = np.partition(cost[open_rows], self.keep - 1, axis=1)
@@ -419,6 +465,7 @@ class _Best:
         rows, cols = np.nonzero(cost <= (limit + slack)[:, None].astype(np.float32))
         if not len(rows):
             return
+        rows = mine[rows]
         exact = np.empty(len(rows))
         for start in range(0, len(rows), 32768):
             r, c = rows[start:start + 32768], cols[start:start + 32768]
@@ -481,8 +528,8 @@ def _searched(batches: Iterator[pd.DataFrame], keep: int, metric: str) -> Iterat
                 held[row.id] = _Best(row, keep, metric)
             else:
                 block = _alive(row)
-                for chunk_id in row.chunk_ids:
-                    held[chunk_id].offer(*block)
+                for look in row.looks:
+                    held[look["chunk_id"]].offer(*block, look["wants"])
     yield from held.items()
 
 
@@ -507,7 +554,7 @@ def _answers(
 ) -> DataFrame:
     """Merge the best of all tiles, and hand them to every query that asked with the same vector."""
     chunks, n_chunks = packed_queries
-    found = _candidates(tiles(pairs.select("chunk_id", "block_id"), blocks, chunks, n_blocks, n_chunks, dead), keep, metric)
+    found = _candidates(tiles(pairs, blocks, chunks, n_blocks, n_chunks, dead), keep, metric)
     if overlapping:
         found = found.distinct()
     w = Window.partitionBy(*_KEY).orderBy("cost", "id")
@@ -657,39 +704,135 @@ def _spaces(points: DataFrame) -> list:
     return points.groupBy("space").agg(F.count("*").alias("n"), F.any_value(F.size("embedding")).alias("dim")).collect()
 
 
+#: Parts a list is cut into at once, and vectors of a list that fit the cut, per part.
+FANOUT = 64
+TRAIN_PER_PART = 64
+
+
+def _cut_list(points: np.ndarray, parts: int, seed: int) -> np.ndarray:
+    """Centres of ``parts`` clusters of one list, or of fewer where there are no more different points."""
+    draw = np.random.default_rng(seed)
+    centres = points[draw.integers(len(points))][None]
+    gap = pairwise_l2(points, centres)[:, 0] ** 2
+    while len(centres) < parts and gap.max() > 0:
+        centres = np.vstack([centres, points[draw.choice(len(points), p=gap / gap.sum())]])
+        gap = np.minimum(gap, pairwise_l2(points, centres[-1:])[:, 0] ** 2)
+    for _ in range(10):
+        home = pairwise_l2(points, centres).argmin(1)
+        counts = np.bincount(home, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, points)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
+def _grown_lists(points: DataFrame, wanted: dict[str, int], sizes: dict[str, int], dims: dict[str, int], seed: int) -> dict[str, np.ndarray]:
+    """List centres of every space, level by level: what holds more than twice its share is cut into up to ``FANOUT`` parts.
+
+    A cut is fitted to at most ``FANOUT * TRAIN_PER_PART`` vectors of its list, those with the lowest hashes; the vectors
+    that lists hold are counted over all. The driver holds the centres and one row per list.
+    """
+    centres = {space: np.zeros((1, dims[space])) for space in wanted}
+    while True:
+        now = dict(centres)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for space, part in pdf.groupby("space", sort=False):
+                    home = pairwise_l2(stack(part["embedding"]), now[space]).argmin(1)
+                    yield part[["space", "h1", "embedding"]].assign(list=home.astype(np.int64))
+
+        placed = points.select("space", "h1", "embedding").mapInPandas(place, "space string, h1 long, embedding array<float>, list long")
+        over = []
+        for row in placed.groupBy("space", "list").agg(F.count("*").alias("n")).collect():
+            share = sizes[row.space] / wanted[row.space]
+            if row.n > 2 * share:
+                over.append((row.space, row.list, min(FANOUT, max(2, math.ceil(row.n / share)))))
+        if not over:
+            return centres
+        cuts = F.broadcast(points.sparkSession.createDataFrame(over, "space string, list long, parts int"))
+        w = Window.partitionBy("space", "list").orderBy("h1")
+        train = placed.join(cuts, ["space", "list"]).withColumn("_n", F.row_number().over(w)).filter(
+            F.col("_n") <= FANOUT * TRAIN_PER_PART).filter(F.col("_n") <= F.col("parts") * TRAIN_PER_PART)
+
+        def cut(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("h1")
+            found = _cut_list(stack(rows["embedding"]), int(rows["parts"].iloc[0]), seed)
+            return pd.DataFrame({"space": rows["space"].iloc[0], "list": rows["list"].iloc[0], "centre": list(found)})
+
+        fitted = train.groupBy("space", "list").applyInPandas(cut, "space string, list long, centre array<double>")
+        fresh: dict[tuple, list] = {}
+        for row in fitted.collect():
+            fresh.setdefault((row.space, row.list), []).append(row.centre)
+        parted = {key: sorted(rows) for key, rows in fresh.items() if len(rows) > 1}
+        if not parted:
+            return centres
+        for space, held in centres.items():
+            out = sorted(n for s, n in parted if s == space)
+            if out:
+                more = [np.array(parted[space, n]) for n in out]
+                kept = np.delete(held, out, axis=0)
+                centres[space] = np.vstack([kept, *more])
+
+
 def ivf_index(
-    vectors: DataFrame, *, lists: int = 100, nprobe: int = 8, keep: int = 51, seed: int = 42,
+    vectors: DataFrame, *, lists: int | None = None, nprobe: int = 8, keep: int = 51, seed: int = 42,
     block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
-    """Inverted lists around k-means centres, fitted space by space.
+    """Inverted lists around centres that grow with the table: the square root of a space's vectors, unless told otherwise.
 
-    The centres are fitted, distributed, to all distinct vectors, and every
-    vector is placed in a list.
+    Every vector is placed in a list; a query visits ``nprobe`` of them, so the share it is compared with falls
+    as the table grows.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     points = checkpointed(distinct_vectors(vectors, keep), "points")
-    routers: Routers = {}
-    for row in _spaces(points):
-        features = points.filter(F.col("space") == row.space).select(
-            array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-        )
-        if row.n == 1:
-            routers[row.space] = CentreRouter(np.zeros((1, row.dim)), 1)
-            continue
-        model = KMeans(k=max(2, min(lists, row.n)), seed=seed, maxIter=10).fit(features)
-        routers[row.space] = CentreRouter(np.stack(model.clusterCenters()), nprobe)
+    spaces = _spaces(points)
+    sizes, dims = {r.space: r.n for r in spaces}, {r.space: r.dim for r in spaces}
+    wanted = {space: max(1, min(n, lists or math.ceil(math.sqrt(n)))) for space, n in sizes.items()}
+    centres = _grown_lists(points, wanted, sizes, dims, seed) if spaces else {}
+    routers: Routers = {space: CentreRouter(c, nprobe) for space, c in centres.items()}
     return AnnIndex(_counted(pack_vectors(points, routers, keep, block_rows), "blocks"), routers, keep, overlapping=False)
 
 
+#: Vectors per space that the width of the projections is read off.
+WIDTH_SAMPLE = 512
+
+
+def _widths(points: DataFrame) -> dict[str, tuple[float, float]]:
+    """Per space, over the vectors with the lowest hashes: a typical distance to the nearest other, and the spread along a line."""
+    w = Window.partitionBy("space").orderBy("h1", "h2")
+    first = points.select(*_KEY, "embedding").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= WIDTH_SAMPLE)
+    held: dict[str, list] = {}
+    for row in first.select("space", "embedding").collect():
+        held.setdefault(row.space, []).append(row.embedding)
+    found = {}
+    for space, rows in held.items():
+        sample = stack(rows)
+        distance = pairwise_l2(sample, sample)
+        np.fill_diagonal(distance, math.inf)
+        near = distance.min(1)
+        typical = float(np.median(near[np.isfinite(near)])) if np.isfinite(near).any() else 1.0
+        found[space] = (typical or 1.0, float(sample.std(0).mean()) or 1.0)
+    return found
+
+
 def projection_index(
-    vectors: DataFrame, *, tables: int = 4, width: float = 0.25, keep: int = 51, seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, *, tables: int = 8, projections: int | None = None, width: float | None = None, nearby: int = 6,
+    keep: int = 51, seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
-    """Random-projection tables; a vector appears once per table."""
+    """Random-projection tables; a vector appears once per table.
+
+    Unless given, the width of a bucket is twice the sampled distance between neighbours, and as many projections name a
+    bucket as leave about the square root of a space's vectors in one.
+    """
     points = checkpointed(distinct_vectors(vectors, keep), "points")
-    routers: Routers = {r.space: ProjectionRouter.make(r.dim, tables, width, seed) for r in _spaces(points)}
+    typical = _widths(points)
+    routers: Routers = {}
+    for row in _spaces(points):
+        near, spread = typical[row.space]
+        own = width or 2.0 * near
+        parts = max(1.5, 3.0 * spread / own)
+        named = projections or max(1, min(16, round(0.5 * math.log(max(2, row.n)) / math.log(parts))))
+        routers[row.space] = ProjectionRouter.make(row.dim, tables, named, own, nearby, seed)
     return AnnIndex(_counted(pack_vectors(points, routers, keep, block_rows), "blocks"), routers, keep, overlapping=True)
 
 

@@ -421,7 +421,7 @@ def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query
 def ann_ivf(spark, sf):
     q, v = _asked(spark, sf)
-    return neighbors.ivf_index(v, lists=16, nprobe=8).search(q, 5, exclude_self=True)
+    return neighbors.ivf_index(v).search(q, 5, exclude_self=True)
 
 
 @query
@@ -436,7 +436,7 @@ def ann_recall(spark, sf):
     q, v = _asked(spark, sf)
     exact = checkpointed(neighbors.exact_knn(q, v, 5, exclude_self=True), "exact")
     rows = None
-    for name, index in (("ivf", neighbors.ivf_index(v, lists=16, nprobe=8)), ("lsh", neighbors.projection_index(v))):
+    for name, index in (("ivf", neighbors.ivf_index(v)), ("lsh", neighbors.projection_index(v))):
         found, share = index.search_with_cost(q, 5, exclude_self=True)
         row = neighbors.recall(found, exact, 5).select(
             F.lit(name).alias("path"), "queries", "recall", F.lit(None).cast("double").alias("candidate_share")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,12 +71,12 @@ def test_a_block_travels_once_per_row_of_the_grid(spark, monkeypatch):
     blocks, n_blocks = neighbors._counted(neighbors.pack_vectors(points, routers, 4, 8), "blocks")
     routers = neighbors.learn_bounds(routers, blocks)
     chunks, n_chunks = neighbors.pack_queries(v.withColumnRenamed("issue_id", "query_id"), routers, 8)
-    pairs = chunks.select("chunk_id").crossJoin(blocks.select("block_id"))
+    pairs = chunks.select("chunk_id").crossJoin(blocks.select("block_id")).withColumn("wants", F.lit(None).cast("array<int>"))
     work = neighbors.tiles(pairs, blocks, chunks, n_blocks, n_chunks)
     shipped = {r.id: r.n for r in work.filter("turn = 1").groupBy("id").agg(F.count("*").alias("n")).collect()}
     rows = chunks.select(F.floor(F.col("chunk_id") / 4)).distinct().count()
     assert len(shipped) == n_blocks and max(shipped.values()) <= rows < n_chunks
-    assert work.filter("turn = 1").select(F.sum(F.size("chunk_ids"))).first()[0] == n_blocks * n_chunks
+    assert work.filter("turn = 1").select(F.sum(F.size("looks"))).first()[0] == n_blocks * n_chunks
     found = neighbors.exact_knn(v.withColumnRenamed("issue_id", "query_id"), v, 3, exclude_self=True, block_rows=8)
     assert {(r.query_id, r.issue_id, r.rank) for r in found.collect()} == _brute(matrix, ["m"] * 240, 3, "l2")
 
@@ -138,7 +140,7 @@ def test_approximate_paths_find_most_neighbours_of_clusters(spark):
     v = _vectors(spark, matrix)
     q = v.withColumnRenamed("issue_id", "query_id")
     exact = neighbors.exact_knn(q, v, 5, exclude_self=True)
-    for index in (neighbors.ivf_index(v, lists=12, nprobe=2), neighbors.projection_index(v, tables=6, width=1.0)):
+    for index in (neighbors.ivf_index(v, lists=12, nprobe=2), neighbors.projection_index(v, tables=6, projections=1, width=1.0)):
         found, share = index.search_with_cost(q, 5, exclude_self=True)
         assert neighbors.recall(found, exact, 5).first().recall > 0.9
         assert 0 < share.first().candidate_share
@@ -146,6 +148,29 @@ def test_approximate_paths_find_most_neighbours_of_clusters(spark):
     assert graph.count() == 240 * 5 and graph.filter("issue_id = neighbor_id").count() == 0
 
 
+def _clustered(spark, n, dim=16):
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((n // 20, dim))
+    matrix = centres[rng.integers(0, len(centres), n)] + rng.standard_normal((n, dim)) * 0.05
+    return _vectors(spark, np.vstack([matrix, matrix[:3], np.zeros((n // 4, dim))]))
+
+
+def test_approximate_indexes_compare_a_falling_share(spark):
+    shares = {"lists": [], "projections": []}
+    for n in (400, 3200):
+        v = _clustered(spark, n)
+        q = v.withColumnRenamed("issue_id", "query_id")
+        exact = neighbors.checkpointed(neighbors.exact_knn(q, v, 5, exclude_self=True), "exact")
+        for name, index in (("lists", neighbors.ivf_index(v, nprobe=6)), ("projections", neighbors.projection_index(v))):
+            found, share = index.search_with_cost(q, 5, exclude_self=True)
+            assert neighbors.recall(found, exact, 5).first().recall >= 0.9
+            shares[name].append(share.first().candidate_share)
+            if name == "lists":
+                counts = index.packed[0].groupBy("cell").agg(F.sum("n").alias("n")).agg(F.max("n"), F.count("*")).first()
+                assert counts[0] <= 2 * math.sqrt(n) + 3 and counts[1] >= 0.5 * math.sqrt(n)
+    assert all(later < 0.7 * earlier for earlier, later in shares.values()), shares
+
+
 def test_vector_search_scores_routes_and_urls(spark):
     issues = spark.createDataFrame([
         (1, "github", "org/repo#1", "A", "", "org/repo", None, "{}"),
