@@ -704,6 +704,60 @@ def _spaces(points: DataFrame) -> list:
     return points.groupBy("space").agg(F.count("*").alias("n"), F.any_value(F.size("embedding")).alias("dim")).collect()
 
 
+#: Queries per space, and neighbours of each, that the reach of an approximate index is set by.
+SAMPLE_QUERIES, SAMPLE_NEIGHBOURS = 64, 10
+TARGET_RECALL = 0.95
+
+
+def _sampled_neighbours(points: DataFrame) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """Per space: the vectors with the lowest hashes, each with its exact neighbours among all vectors.
+
+    One pass compares all vectors with the sample; each task hands on the nearest few, so what travels is bounded.
+    """
+    w = Window.partitionBy("space").orderBy("h1", "h2")
+    first = points.select(*_KEY, "embedding").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE_QUERIES)
+    asked: dict[str, list] = {}
+    for row in first.orderBy(*_KEY).collect():
+        asked.setdefault(row.space, []).append(row.embedding)
+    sample = {space: stack(rows) for space, rows in asked.items()}
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for space, part in pdf.groupby("space", sort=False):
+                distance = pairwise_l2(sample[space], stack(part["embedding"]))
+                distance[distance < 1e-6] = math.inf  # itself; other vectors differ
+                nearest = np.argsort(distance, axis=1)[:, :SAMPLE_NEIGHBOURS]
+                rows, cols = np.repeat(np.arange(len(nearest)), nearest.shape[1]), nearest.ravel()
+                yield pd.DataFrame({
+                    "space": space, "query": rows, "distance": distance[rows, cols], "embedding": part["embedding"].iloc[cols].tolist(),
+                })
+
+    found = points.select("space", "embedding").mapInPandas(near, "space string, query int, distance double, embedding array<float>")
+    each = Window.partitionBy("space", "query").orderBy("distance")
+    found = found.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= SAMPLE_NEIGHBOURS).filter("distance < double('inf')")
+    pairs: dict[tuple, list] = {}
+    for row in found.orderBy("space", "query", "_n").collect():
+        pairs.setdefault((row.space, row.query), []).append(row.embedding)
+    out: dict[str, list] = {space: [] for space in sample}
+    for (space, query), rows in sorted(pairs.items()):
+        out[space].append((sample[space][query], stack(rows)))
+    return out
+
+
+def _reaching(choices: Iterator[Router], pairs: list[tuple[np.ndarray, np.ndarray]], target: float) -> Router:
+    """The first router, from narrow to wide, under which the sampled queries visit the target share of their neighbours; else the last."""
+    router = None
+    for router in choices:
+        met = asked = 0
+        for query, near in pairs:
+            visited = np.array([probe[0] for probe in router.probes(query[None])])
+            met += int(np.any([np.isin(cells, visited) for cells, _ in router.vector_cells(near)], axis=0).sum())
+            asked += len(near)
+        if met >= target * asked:
+            break
+    return router
+
+
 #: Parts a list is cut into at once, and vectors of a list that fit the cut, per part.
 FANOUT = 64
 TRAIN_PER_PART = 64
@@ -776,63 +830,47 @@ def _grown_lists(points: DataFrame, wanted: dict[str, int], sizes: dict[str, int
 
 
 def ivf_index(
-    vectors: DataFrame, *, lists: int | None = None, nprobe: int = 8, keep: int = 51, seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, *, lists: int | None = None, nprobe: int | None = None, target: float = TARGET_RECALL, keep: int = 51,
+    seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
     """Inverted lists around centres that grow with the table: the square root of a space's vectors, unless told otherwise.
 
-    Every vector is placed in a list; a query visits ``nprobe`` of them, so the share it is compared with falls
-    as the table grows.
+    Every vector is placed in a list; a query visits ``nprobe`` of them, by default as few as reach ``target`` of the
+    neighbours of sampled queries. On clustered vectors the share that is compared falls as the table grows.
     """
     points = checkpointed(distinct_vectors(vectors, keep), "points")
     spaces = _spaces(points)
     sizes, dims = {r.space: r.n for r in spaces}, {r.space: r.dim for r in spaces}
     wanted = {space: max(1, min(n, lists or math.ceil(math.sqrt(n)))) for space, n in sizes.items()}
     centres = _grown_lists(points, wanted, sizes, dims, seed) if spaces else {}
-    routers: Routers = {space: CentreRouter(c, nprobe) for space, c in centres.items()}
+    near = _sampled_neighbours(points) if nprobe is None and spaces else {}
+    routers: Routers = {
+        space: CentreRouter(c, nprobe) if nprobe else _reaching((CentreRouter(c, n + 1) for n in range(len(c))), near[space], target)
+        for space, c in centres.items()
+    }
     return AnnIndex(_counted(pack_vectors(points, routers, keep, block_rows), "blocks"), routers, keep, overlapping=False)
 
 
-#: Vectors per space that the width of the projections is read off.
-WIDTH_SAMPLE = 512
-
-
-def _widths(points: DataFrame) -> dict[str, tuple[float, float]]:
-    """Per space, over the vectors with the lowest hashes: a typical distance to the nearest other, and the spread along a line."""
-    w = Window.partitionBy("space").orderBy("h1", "h2")
-    first = points.select(*_KEY, "embedding").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= WIDTH_SAMPLE)
-    held: dict[str, list] = {}
-    for row in first.select("space", "embedding").collect():
-        held.setdefault(row.space, []).append(row.embedding)
-    found = {}
-    for space, rows in held.items():
-        sample = stack(rows)
-        distance = pairwise_l2(sample, sample)
-        np.fill_diagonal(distance, math.inf)
-        near = distance.min(1)
-        typical = float(np.median(near[np.isfinite(near)])) if np.isfinite(near).any() else 1.0
-        found[space] = (typical or 1.0, float(sample.std(0).mean()) or 1.0)
-    return found
-
-
 def projection_index(
     vectors: DataFrame, *, tables: int = 8, projections: int | None = None, width: float | None = None, nearby: int = 6,
-    keep: int = 51, seed: int = 42, block_rows: int = BLOCK_ROWS,
+    target: float = TARGET_RECALL, keep: int = 51, seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> AnnIndex:
     """Random-projection tables; a vector appears once per table.
 
-    Unless given, the width of a bucket is twice the sampled distance between neighbours, and as many projections name a
-    bucket as leave about the square root of a space's vectors in one.
+    Unless given, the width of a bucket is four times what neighbours of sampled queries differ by along a line, and as
+    many projections name a bucket, 16 at most, as let these queries still meet ``target`` of their neighbours; where
+    one is too many, buckets get wider.
     """
     points = checkpointed(distinct_vectors(vectors, keep), "points")
-    typical = _widths(points)
+    spaces = _spaces(points)
+    near = _sampled_neighbours(points) if spaces and (projections is None or width is None) else {}
     routers: Routers = {}
-    for row in _spaces(points):
-        near, spread = typical[row.space]
-        own = width or 2.0 * near
-        parts = max(1.5, 3.0 * spread / own)
-        named = projections or max(1, min(16, round(0.5 * math.log(max(2, row.n)) / math.log(parts))))
-        routers[row.space] = ProjectionRouter.make(row.dim, tables, named, own, nearby, seed)
+    for row in spaces:
+        gaps = [float(np.linalg.norm(x - query, axis=1).min()) for query, x in near.get(row.space, []) if len(x)]
+        own = width or 4.0 * (float(np.median(gaps)) if gaps else 1.0) / math.sqrt(row.dim)
+        wanted = [(projections, own)] if projections else [*((n, own) for n in range(16, 0, -1)), *((1, own * 2**n) for n in range(1, 8))]
+        choices = (ProjectionRouter.make(row.dim, tables, n, wide, nearby, seed) for n, wide in wanted)
+        routers[row.space] = _reaching(choices, near.get(row.space, []), target)
     return AnnIndex(_counted(pack_vectors(points, routers, keep, block_rows), "blocks"), routers, keep, overlapping=True)
 
 

@@ -161,7 +161,7 @@ def test_approximate_indexes_compare_a_falling_share(spark):
         v = _clustered(spark, n)
         q = v.withColumnRenamed("issue_id", "query_id")
         exact = neighbors.checkpointed(neighbors.exact_knn(q, v, 5, exclude_self=True), "exact")
-        for name, index in (("lists", neighbors.ivf_index(v, nprobe=6)), ("projections", neighbors.projection_index(v))):
+        for name, index in (("lists", neighbors.ivf_index(v)), ("projections", neighbors.projection_index(v))):
             found, share = index.search_with_cost(q, 5, exclude_self=True)
             assert neighbors.recall(found, exact, 5).first().recall >= 0.9
             shares[name].append(share.first().candidate_share)
