@@ -28,7 +28,7 @@ def test_stages(spark):
     names, columns = [n for n, _ in corpus_pipeline.STAGES], docs.columns
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, SF)
-        docs = spark.createDataFrame(docs.toArrow().to_pandas(), docs.schema)
+        docs = spark.createDataFrame(docs.toArrow(), docs.schema)
         if name != names[-1]:
             assert docs.columns == columns
             assert 0 < docs.count() <= before.count()
