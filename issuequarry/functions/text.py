@@ -42,18 +42,58 @@ def embedding_text(title: Column, body: Column) -> Column:
 
 
 # A word with its hyphenated parts, or a number with sign and decimal points.
-TOKEN = r"\p{N}*\p{L}[\p{L}\p{N}]*(?:-\p{N}*\p{L}[\p{L}\p{N}]*)*|-?\p{N}+(?:\.\p{N}+)*"
+_WORD = r"\p{N}*\p{L}[\p{L}\p{N}]*(?:-\p{N}*\p{L}[\p{L}\p{N}]*)*+"
+_NUMBER = r"-?\p{N}+(?:\.\p{N}+)*+"
+TOKEN = f"{_WORD}|{_NUMBER}"
 _COMPOUND = r"[\p{L}\p{N}]-\p{N}*\p{L}"
 
+# The other token classes of the published parser, tried before words in this order. Groups repeat
+# possessively, so that long chains need no stack; a host name has at most 127 labels, the last of two letters or more.
+_PIECE = r"[\p{L}\p{N}]+(?:[-_]+[\p{L}\p{N}]+)*+"
+_HOST = rf"{_PIECE}(?:\.{_PIECE}){{0,125}}\.\p{{L}}{{2}}[\p{{L}}\p{{N}}]*+(?:[-_]+[\p{{L}}\p{{N}}]+)*+(?::\p{{N}}+)?+"
+_NAME = r"[\p{L}\p{N}]+(?:[._-]+[\p{L}\p{N}]+)*+"
+_PATH = r"/[!#-;=?-\[\]_a-z~]*+"
+_MARKUP = r"</?\p{L}[^<>]*+>|&(?:#\p{N}+|#x[0-9a-f]+|\p{L}[\p{L}\p{N}]*+);|\p{L}+://"
+_EMAIL = rf"{_NAME}@{_HOST}"
+_FILE = rf"(?:~|\.{{1,2}})?+/{_NAME}(?:/{_NAME})*+|{_NAME}(?:/{_NAME})++"
+_EXPONENT = r"-?\p{N}+\.\p{N}+e[+-]?\p{N}+"
+LEXEME = f"{_MARKUP}|{_EMAIL}|{_HOST}{_PATH}|{_HOST}|{_FILE}|{_EXPONENT}|{TOKEN}"
+#: Every class but words and numbers has one of these in it.
+_SPECIAL = r"[@/<&]|\.\p{L}{2}|\.\p{N}+e"
+
+
+def _hyphenated(token: Column) -> Column:
+    plain = ~token.rlike(r"[^\p{L}\p{N}-]")
+    return F.when(plain & token.rlike(_COMPOUND), F.concat(F.array(token), F.split(token, "-"))).otherwise(F.array(token))
+
+
+def _parts(token: Column) -> Column:
+    """What one lexeme is indexed as: markup and protocols vanish, a URL is followed by its host and its path."""
+    url = token.rlike(f"^{_HOST}/")
+    host = F.substring_index(token, "/", 1)
+    return (
+        F.when(token.rlike("^[<&]|://$"), F.array().cast("array<string>"))
+        .when(url, F.array(token, host, F.substr(token, F.length(host) + 1)))
+        .otherwise(_hyphenated(token))
+    )
+
 
 def tokens(col: Column) -> Column:
-    """Lower-cased words and numbers, in order; a hyphenated word is followed by its parts."""
-    found = F.regexp_extract_all(F.lower(col), F.lit(TOKEN), F.lit(0))
-    hyphenated = F.flatten(F.transform(
-        found,
-        lambda w: F.when(w.rlike(_COMPOUND), F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w)),
-    ))
-    return F.when(col.rlike(_COMPOUND), hyphenated).otherwise(found)
+    """Lower-cased tokens in order: words, numbers, hosts, URLs, files and e-mail addresses.
+
+    A hyphenated word is followed by its parts, a URL (without its protocol) by its host and its path. Tags, entities
+    and protocols are no tokens and take no position. A path runs to the first character that no URL holds; a file
+    is names joined by slashes, ``~``, ``.`` or ``..`` and a slash before them or not. Texts without any of these
+    are cut by the pattern of words and numbers alone, which finds the same there.
+    """
+    lowered = F.lower(col)
+    plain = F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
+    lexemes = F.regexp_extract_all(lowered, F.lit(LEXEME), F.lit(0))
+    return (
+        F.when(lowered.rlike(_SPECIAL), F.flatten(F.transform(lexemes, _parts)))
+        .when(col.rlike(_COMPOUND), F.flatten(F.transform(plain, _hyphenated)))
+        .otherwise(plain)
+    )
 
 
 def word_count(col: Column) -> Column:
@@ -66,7 +106,7 @@ _STEM_CACHE_LIMIT = 500_000
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stem token arrays with a per-task memo of bounded size.
+    """Stem token arrays with a per-task memo of bounded size; only words of letters and hyphens have stems.
 
     A row holds one document, so nothing is shuffled; most tokens are memo hits.
     """
@@ -77,7 +117,7 @@ def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if found is None:
             if len(memo) >= _STEM_CACHE_LIMIT:
                 memo.clear()
-            found = memo[word] = stem(word)
+            found = memo[word] = stem(word) if word.replace("-", "").isalpha() else word
         return found
 
     for rows in batches:

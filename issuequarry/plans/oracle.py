@@ -238,9 +238,22 @@ def _sql(body: str, *needed: str) -> str:
 
 
 def _tokens(content: str) -> str:
-    word = r"\p{N}*\p{L}[\p{L}\p{N}]*"
-    found = rf"regexp_extract_all(lower({content}), '{word}(?:-{word})*|-?\p{{N}}+(?:\.\p{{N}}+)*')"
-    parts = r"CASE WHEN regexp_matches(x, '[\p{L}\p{N}]-\p{N}*\p{L}') THEN list_concat([x], string_split(x, '-')) ELSE [x] END"
+    """Token classes in the order in which they are tried, worded for an engine that needs no possessive groups."""
+    sign = r"[\p{L}\p{N}]"
+    word, label, name = rf"\p{{N}}*\p{{L}}{sign}*", rf"{sign}+(?:[-_]+{sign}+)*", rf"{sign}+(?:[._-]+{sign}+)*"
+    host = rf"{label}(?:\.{label})*\.\p{{L}}{{2}}{sign}*(?:[-_]+{sign}+)*(?::\p{{N}}+)?"
+    classes = (
+        r"</?\p{L}[^<>]*>", rf"&(?:#\p{{N}}+|#x[0-9a-f]+|\p{{L}}{sign}*);", r"\p{L}+://", f"{name}@{host}",
+        rf"{host}/[!#-;=?-\[\]_a-z~]*", host, rf"(?:~|\.{{1,2}})?/{name}(?:/{name})*", f"{name}(?:/{name})+",
+        r"-?\p{N}+\.\p{N}+e[+-]?\p{N}+", f"{word}(?:-{word})*", r"-?\p{N}+(?:\.\p{N}+)*",
+    )
+    found = f"regexp_extract_all(lower({content}), '{'|'.join(classes)}')"
+    parts = (
+        "CASE WHEN x LIKE '<%' OR x LIKE '&%' OR x LIKE '%://' THEN CAST([] AS VARCHAR[]) "
+        f"WHEN regexp_matches(x, '^{host}/') THEN [x, split_part(x, '/', 1), substr(x, strpos(x, '/'))] "
+        r"WHEN regexp_full_match(x, '[\p{L}\p{N}-]+') AND regexp_matches(x, '[\p{L}\p{N}]-\p{N}*\p{L}') "
+        "THEN list_concat([x], string_split(x, '-')) ELSE [x] END"
+    )
     return f"flatten(list_transform({found}, lambda x: {parts}))"
 
 
@@ -533,7 +546,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT route, min(id) AS id FROM routed WHERE route IS NOT NULL AND NOT (source = 'github' AND lang = 'de') GROUP BY route) f "
             "ON f.route = q.route LEFT JOIN routed r ON r.id = f.id LEFT JOIN alltags a ON a.id = f.id", "requested", "routed", "alltags"),
         "viewer_search": _sql(
-            f"SELECT {summary} FROM (SELECT * FROM routed WHERE status IN ('Open', 'Closed') ORDER BY created_at DESC, id DESC LIMIT 50) r "
+            f"SELECT {summary} FROM (SELECT * FROM routed WHERE status IN ('Open', 'Closed') "
+            "AND id IN (SELECT id FROM docs WHERE lang IN ('en', 'fr')) ORDER BY created_at DESC, id DESC LIMIT 50) r "
             "JOIN (SELECT id, array_to_string(list_sort(list_distinct(list(label))), '|') AS labels FROM ("
             "SELECT issue_id AS id, label FROM tags WHERE label IN ('quality-1', 'toxic-1') UNION ALL "
             "SELECT id, unnest(['lang-' || lang, 'needs-triage', origin]) FROM docs) GROUP BY id) a ON a.id = r.id "

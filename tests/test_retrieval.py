@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,52 @@ def test_tokens(spark):
     assert {r.t: r.w for r in df.select("t", tokens(F.col("t")).alias("w")).collect()} == cases
 
 
+def test_token_classes(spark):
+    """The examples of the published parser documentation, then edges of each class."""
+    url = "example.com/stuff/index.html"
+    cases = {
+        "foo-bar-beta1": ["foo-bar-beta1", "foo", "bar", "beta1"],
+        f"http://{url}": [url, "example.com", "/stuff/index.html"], "http://example.com": ["example.com"],
+        "/usr/local/fred.txt": ["/usr/local/fred.txt"], "usr/local/fred.txt": ["usr/local/fred.txt"],
+        "-1.234e56 -1.234 -1234 1234 8.3.0": ["-1.234e56", "-1.234", "-1234", "1234", "8.3.0"],
+        '<a href="dictionaries.html">&amp; on': ["on"],
+        "Mail A_b-c.d@Mail.Example.com.": ["mail", "a_b-c.d@mail.example.com"], "x@y": ["x", "y"],
+        "see org/repo at host:80 a.b host.de:80/p?q=1&r <z": [
+            "see", "org/repo", "at", "host", "80", "a", "b", "host.de:80/p?q=1&r", "host.de:80", "/p?q=1&r", "z"],
+        "~/notes.md ./run ../up 1.5ex 1.2.3.4 a_b": [
+            "~/notes.md", "./run", "../up", "1.5", "ex", "1.2.3.4", "a", "b"],
+        "well-known.example.org, end": ["well-known.example.org", "end"], "3 < 4 & 5": ["3", "4", "5"],
+        "https://localhost/x": ["localhost/x"], "é/ü": ["é/ü"],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.w for r in df.select("t", tokens(F.col("t")).alias("w")).collect()}
+    assert got == cases
+    con = duckdb.connect()
+    from issuequarry.plans.oracle import _tokens
+    for text, expected in cases.items():
+        assert con.execute(f"SELECT {_tokens('t')} FROM (SELECT ?::VARCHAR AS t)", [text]).fetchone()[0] == expected
+
+
+def test_long_chains_of_every_class(spark):
+    n = 20_000
+    chains = ["a-" * n + "a", "a." * n + "a", "1." * n + "1", "a/" * n + "a", "a_" * n, "x@" * n, "&" * n, "<a" * n, ".e" * n]
+    df = spark.createDataFrame(list(enumerate(chains)), "k int, t string").repartition(len(chains))
+    sizes = {r.k: r.n for r in df.select("k", F.size(tokens(F.col("t"))).alias("n")).collect()}
+    assert sizes == {0: n + 2, 1: n + 1, 2: 1, 3: 1, 4: n, 5: n, 6: 0, 7: n, 8: n}
+
+
+def test_a_host_is_found_by_its_name_and_keeps_its_form(spark):
+    issues = spark.createDataFrame([
+        (1, "Timeouts", "see https://status.example.com/incidents/7 for details"),
+        (2, "example", "status com"), (3, "Hosts", "status.example.com answers beta1s"),
+    ], "id long, title string, body string")
+    q = spark.createDataFrame([(1, "status.example.com"), (2, "/incidents/7"), (3, "details")], "query_id long, text string")
+    rows = {(r.query_id, r.issue_id) for r in text_search.text_search(issues, q).collect()}
+    assert rows == {(1, 1), (1, 3), (2, 1), (3, 1)}
+    index = {(r.term, r.issue_id): r.positions for r in text_search.text_index(issues).collect()}
+    assert index[("status.example.com", 1)] == [4] and index[("detail", 1)] == [7] and ("beta1s", 3) in index
+
+
 def test_text_search_stems_and_drops_stop_words(spark):
     issues = spark.createDataFrame([
         (1, "The failing connections", "were failing again"), (2, "Connected once", ""), (3, "the of", "and"),
