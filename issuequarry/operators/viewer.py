@@ -304,7 +304,7 @@ def viewer_search(
         if values:
             base = base.filter(F.col(column).isin(*values))
     if priorities:
-        stated = P.text(P.parse_payload(F.col("raw_json")), "$.priority")
+        stated = P.stored_text(P.parse_payload(F.col("raw_json")), "$.priority")
         base = base.filter(F.coalesce(stated, F.lit("")).isin(*priorities))
     if matching_ids is not None:
         base = base.join(matching_ids.select("id").distinct(), "id", "left_semi")

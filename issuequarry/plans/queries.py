@@ -643,7 +643,7 @@ def issues_by_route(spark, sf):
 def viewer_search(spark, sf):
     found = viewer.viewer_search(
         V.issues(spark, sf), V.labels(spark, sf), sources=["github", "jira"], states=["Open", "Closed"],
-        priorities=["", " Medium ", '{"name":"High"}'], label_names=["quality-1", "toxic-1"], limit=50)
+        priorities=[" Medium ", '{"name": "High"}'], label_names=["quality-1", "toxic-1"], limit=50)
     return _flat(found)
 
 

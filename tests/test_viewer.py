@@ -119,6 +119,18 @@ def test_facet_search_limits_before_dropping_unroutable(spark):
     assert {r.id for r in viewer.viewer_search(issues, labels, matching_ids=ids, sources=["github"]).collect()} == {1, 2}
 
 
+def test_facets_compare_priorities_by_their_stored_text(spark):
+    stated = [
+        ("P1", "P1"), ({"name": "High"}, '{"name": "High"}'), ({"value": "x,y:\"z", "id": 3}, '{"id": 3, "value": "x,y:\\"z"}'),
+        ({"bb": [1, {"k": None}], "a": True, "": {}}, '{"": {}, "a": true, "bb": [1, {"k": null}]}'), ([1, "a,b"], '[1, "a,b"]'),
+        (5, "5"), (False, "false"), (None, ""),
+    ]
+    issues = spark.createDataFrame([_issue(i, key=f"o/r#{i}", raw={"priority": p}) for i, (p, _) in enumerate(stated)], SCHEMA)
+    labels = spark.createDataFrame([], "issue_id long, label string")
+    for i, (_, text) in enumerate(stated):
+        assert [r.id for r in viewer.viewer_search(issues, labels, priorities=[text]).collect()] == [i], text
+
+
 def test_lookup_by_route(spark):
     issues = spark.createDataFrame([_issue(7, key="r#5"), _issue(3, key="o/r#5"), _issue(4, "jira", "P-1", None, "P")], SCHEMA)
     labels = spark.createDataFrame([(3, "a")], "issue_id long, label string")
