@@ -1,9 +1,10 @@
 """A stored inverted index: postings laid out by term, appended to and compacted.
 
-Tables: ``postings`` (term, issue_id, positions) and ``frequencies`` (term, issues that hold it), both in folders by a
-hash of the term, so a search reads the folders of its own terms and no text. New or changed issues are cut into words
+Tables: ``postings`` (term, issue_id, positions) and ``frequencies`` (per term and block of neighbouring ids: how many
+issues hold it, and how often the one that holds it most), both in folders by a hash of the term, so a search reads the folders of its own terms and no text. New or changed issues are cut into words
 alone and land in a segment of their own; ids of older segments that they replace no longer count there. Frequencies
-are not taken back when an issue is replaced: they choose the term that drives a match, which any choice leaves right.
+are not taken back when an issue is replaced: they choose the term that drives a match, which any choice leaves right,
+and bound ranks from above, which a number too large does as well.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from issuequarry.operators.segments import Segments, taken_out
 
 _SCHEMAS = {
     "postings": "term string, issue_id long, positions array<long>, bucket int",
-    "frequencies": "term string, df long, bucket int",
+    "frequencies": "term string, block long, df long, peak long, bucket int",
 }
 
 
@@ -36,8 +37,11 @@ class PostingsIndex:
         laid = postings.withColumn("bucket", self._bucket(F.col("term"))).select(*columns)
         laid = laid.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "issue_id")
         stored = self.tables.write(laid, "postings", segment, "bucket")
-        counts = stored.groupBy("term", "bucket").agg(F.count("*").alias("df")).select(*self.tables.columns("frequencies"))
-        self.tables.write(counts.repartition("bucket").sortWithinPartitions("bucket", "term"), "frequencies", segment, "bucket")
+        counts = stored.groupBy("term", "bucket", T.block_of(F.col("issue_id")).alias("block")).agg(
+            F.count("*").alias("df"), F.max(F.size("positions")).cast("long").alias("peak")
+        ).select(*self.tables.columns("frequencies"))
+        laid = counts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
+        self.tables.write(laid, "frequencies", segment, "bucket")
 
     def append(self, issues: DataFrame, removed: DataFrame | None = None, version: int | None = None) -> int:
         """Add or replace issues (id, title, body), take out the ids of ``removed`` (issue_id).
@@ -65,8 +69,8 @@ class PostingsIndex:
         _, segments = self.tables.listed()
         return self.tables.counted(self.tables.read("postings", segments), segments).select("term", "issue_id", "positions")
 
-    def lookup(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Postings (term, issue_id, positions) and frequencies (term, df) of the asked terms.
+    def blocks(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings (term, issue_id, positions) and block statistics (term, block, df, peak) of the asked terms.
 
         The folders to read are named by the hashes of the terms, ``buckets`` numbers at most.
         """
@@ -77,4 +81,9 @@ class PostingsIndex:
         postings = self.tables.read("postings", segments).filter(inside).join(asked, "term", "left_semi")
         postings = self.tables.counted(postings, segments).select("term", "issue_id", "positions")
         counts = self.tables.read("frequencies", segments).filter(inside).join(asked, "term", "left_semi")
+        return postings, counts.groupBy("term", "block").agg(F.sum("df").alias("df"), F.max("peak").alias("peak"))
+
+    def lookup(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings (term, issue_id, positions) and frequencies (term, df) of the asked terms."""
+        postings, counts = self.blocks(terms)
         return postings, counts.groupBy("term").agg(F.sum("df").alias("df"))

@@ -79,12 +79,24 @@ def relevant_postings(issues: DataFrame, terms: DataFrame, stemmed: bool = True)
     )
 
 
-def text_match(postings: DataFrame, terms: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+#: Ids that differ only in their last bits make a block; a ranked search looks at the most promising blocks first.
+BLOCK_BITS = 8
+FIRST_BLOCKS = 8
+
+
+def block_of(issue_id: Column) -> Column:
+    return F.shiftright(issue_id, BLOCK_BITS)
+
+
+def text_match(
+    postings: DataFrame, terms: DataFrame, frequency: DataFrame | None = None, inside: DataFrame | None = None
+) -> DataFrame:
     """(query_id, issue_id, positions per term) where the issue holds every term of the query.
 
     Candidates come from each query's rarest term alone, so a term found in a
     third of all issues never drives the join; the other terms then only check
-    those candidates. ``frequency`` (term, df) saves counting them.
+    those candidates. ``frequency`` (term, df) saves counting them; ``inside`` (query_id, block) leaves the other
+    blocks of ids out.
     """
     if frequency is None:
         frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -93,6 +105,9 @@ def text_match(postings: DataFrame, terms: DataFrame, frequency: DataFrame | Non
         F.min_by("term", F.struct("df", "term")).alias("term"), F.min("df").alias("lowest")
     ).filter("lowest > 0")
     candidates = rarest.join(postings.select("term", "issue_id"), "term").select("query_id", "n_terms", "issue_id")
+    if inside is not None:
+        placed = candidates.withColumn("block", block_of(F.col("issue_id")))
+        candidates = placed.join(inside.select("query_id", "block"), ["query_id", "block"], "left_semi").drop("block")
     wanted = candidates.join(terms.select("query_id", "term"), "query_id")
     found = wanted.join(postings, ["issue_id", "term"])
     return (
@@ -162,8 +177,50 @@ def _matched(issues: DataFrame, queries: DataFrame, stemmed: bool, index) -> Dat
     return text_match(checkpointed(relevant_postings(issues, terms, stemmed), "postings"), terms)
 
 
+def block_reach(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, block, reach): no issue of the block ranks above ``reach``; blocks that lack a term are left out.
+
+    Covers begin at different places and hold a place of each term, so there are at most as many as places without
+    the last ``n_terms - 1``; between two terms a place ends and begins one cover each. No cover adds more than 0.1.
+    """
+    held = terms.join(counts.select("term", "block", "peak"), "term").groupBy("query_id", "n_terms", "block").agg(
+        F.count("*").alias("n"), F.sum("peak").alias("places"), F.min("peak").alias("fewest")
+    ).filter(F.col("n") == F.col("n_terms"))
+    starts = F.col("places") - F.col("n_terms") + 1
+    starts = F.when(F.col("n_terms") == 2, F.least(starts, F.col("fewest") * 2)).otherwise(starts)
+    return held.select("query_id", "block", (starts * 0.1).alias("reach"))
+
+
+def blocks_left(reach: DataFrame, looked: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """Blocks that may still hold one of the ``k`` best: those not looked at whose reach is no lower than the k-th score."""
+    bar = near.filter(F.col("rank") == k).select("query_id", F.col("text_score").alias("bar"))
+    rest = reach.join(looked.select("query_id", "block"), ["query_id", "block"], "left_anti").join(bar, "query_id", "left")
+    return rest.filter(F.col("bar").isNull() | (F.col("reach") >= F.col("bar") - 1e-9)).select("query_id", "block")
+
+
+def _best_of_index(index, terms: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best issues per query, reading the positions of promising blocks alone.
+
+    The ``FIRST_BLOCKS`` blocks of the highest reach give a k-th score; a block below it is never matched nor ranked.
+    """
+    postings, counts = index.blocks(terms)
+    frequency = counts.groupBy("term").agg(F.sum("df").alias("df"))
+    reach = checkpointed(block_reach(counts, terms), "reach")
+    order = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")
+    looked = reach.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= FIRST_BLOCKS)
+    first = text_rank(text_match(postings, terms, frequency, looked))
+    near = checkpointed(top_by_score(first, "text_score", k), "near-texts")
+    far = text_rank(text_match(postings, terms, frequency, blocks_left(reach, looked, near, k)))
+    return top_by_score(near.drop("rank").unionByName(far), "text_score", k)
+
+
 def text_search(issues: DataFrame, queries: DataFrame, k: int = 10, stemmed: bool = True, index=None) -> DataFrame:
-    """Match and rank: query_id, issue_id, text_score, rank. ``index`` is a ``PostingsIndex`` of the same issues."""
+    """Match and rank: query_id, issue_id, text_score, rank. ``index`` is a ``PostingsIndex`` of the same issues.
+
+    From an index, blocks of issues that cannot reach the k-th score are skipped; the rows are the same.
+    """
+    if index is not None:
+        return _best_of_index(index, checkpointed(query_terms(queries, index.stemmed), "terms"), k)
     return top_by_score(text_rank(_matched(issues, queries, stemmed, index)), "text_score", k)
 
 

@@ -63,3 +63,34 @@ def test_a_search_reads_the_folders_of_its_terms_and_no_texts(spark, tmp_path):
     assert "body" not in plan.getvalue() and "CartesianProduct" not in plan.getvalue()
     assert {r.issue_id for r in found.collect()} == {0, 1, 2, 3, 4}
     assert sorted(os.listdir(tmp_path)) == files
+
+
+def test_blocks_below_the_kth_score_are_skipped(spark, tmp_path, monkeypatch):
+    """Equal rows to the full rank with ties, several segments and stale peaks; most blocks are never matched."""
+    monkeypatch.setattr(text_search, "BLOCK_BITS", 2)
+    monkeypatch.setattr(text_search, "FIRST_BLOCKS", 2)
+
+    def body(i):
+        often = 30 if i in (17, 18, 19, 60, 61, 90) else 1 + i % 3
+        return "disk failure " * often + "filler " * (i % 5) + ("card " * (i % 4))
+
+    held = {i: (f"title {i}", body(i)) for i in range(-8, 120)}
+    index = PostingsIndex(spark, str(tmp_path), stemmed=False, buckets=4)
+    index.append(_issues(spark, held))
+    changed = {18: ("quiet", "disk"), 200: ("new", "failure disk " * 25), 201: ("same", "failure disk " * 25)}
+    index.append(_issues(spark, changed))
+    held |= changed
+    texts = ["disk", "disk failure", "card disk failure", "title", "absent disk", "quiet"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    for k in (1, 4, 300):
+        full = text_search.text_search(_issues(spark, held), queries, k, False)
+        assert sorted(map(tuple, text_search.text_search(None, queries, k, index=index).collect())) == sorted(map(tuple, full.collect()))
+    terms = text_search.query_terms(queries, False)
+    reach = text_search.block_reach(index.blocks(terms)[1], terms)
+    ranked = text_search.text_search(_issues(spark, held), queries, 300, False)
+    bounded = ranked.withColumn("block", text_search.block_of(ranked.issue_id)).join(reach, ["query_id", "block"], "left")
+    assert bounded.filter("reach is null or text_score > reach + 1e-9").count() == 0
+    best = text_search.text_search(_issues(spark, held), queries, 4, False)
+    left = text_search.blocks_left(reach, reach.limit(0), best, 4).groupBy("query_id").count().collect()
+    kept, whole = {r.query_id: r["count"] for r in left}, {r.query_id: r["count"] for r in reach.groupBy("query_id").count().collect()}
+    assert whole[0] > 30 and kept[0] <= 6 and kept[1] <= 6 and kept[3] == whole[3]
