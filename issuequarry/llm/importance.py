@@ -78,7 +78,8 @@ class Runs:
     """Words and buckets of a batch: word counts per text and, per run length, the bucket at every place."""
 
     def __init__(self, texts: pa.Array):
-        lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pattern=BETWEEN)
+        # No cast to large_string here: Arrow reads the wrong bytes when it widens the offsets of a slice.
+        lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), pattern=BETWEEN)
         words = pc.list_flatten(lists)
         text_of = pc.list_parent_indices(lists).to_numpy()
         real = pc.not_equal(words, "")

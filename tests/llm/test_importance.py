@@ -83,3 +83,20 @@ def test_runs_stay_in_their_text():
     assert runs.n_words.tolist() == [2, 0, 1, 3] and runs.n_features().tolist() == [3, 0, 1, 6]
     want = Counter(b for t in ("a b", "c", "a b c") for b in _buckets(t))
     assert {k: v for k, v in enumerate(runs.counts().tolist()) if v} == want
+
+
+def test_slices_are_read_from_their_own_start():
+    texts = ["a b", "c D e", "f", "G h i j", None, "k"]
+    for start in range(len(texts)):
+        runs = importance.Runs(pa.array(texts).slice(start))
+        assert runs.n_words.tolist() == [len(_words(t)) for t in texts[start:]]
+        want = Counter(b for t in texts[start:] for b in _buckets(t))
+        assert {k: v for k, v in enumerate(runs.counts().tolist()) if v} == want
+
+
+def test_a_task_of_several_batches(spark):
+    """More text than ``batches`` passes on at once, in one partition and without nulls."""
+    rows = [(k, " ".join(f"W{(k * j) % 997}x" for j in range(20_000))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    aim = spark.createDataFrame([("w1x w2x w3x",)], "text string")
+    assert _got(importance.resample(docs, aim)) == _expected(rows, ["w1x w2x w3x"])
