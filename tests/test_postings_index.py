@@ -94,3 +94,25 @@ def test_blocks_below_the_kth_score_are_skipped(spark, tmp_path, monkeypatch):
     left = text_search.blocks_left(reach, reach.limit(0), best, 4).groupBy("query_id").count().collect()
     kept, whole = {r.query_id: r["count"] for r in left}, {r.query_id: r["count"] for r in reach.groupBy("query_id").count().collect()}
     assert whole[0] > 30 and kept[0] <= 6 and kept[1] <= 6 and kept[3] == whole[3]
+
+
+def test_words_are_grouped_where_their_documents_stand(spark, monkeypatch):
+    """Ids in several rows and null ids give one posting per term; no word is a row, whatever the size of a batch."""
+    words = ["disk", "failure", "the", "failing", "well-known", "full"]
+    rows = [(i % 9 or None, f"{words[i % 6]} common", " ".join(words[(i * j) % 6] for j in range(i % 5))) for i in range(60)]
+    issues = spark.createDataFrame([*rows, (77, None, None), (78, "a", "a")], ISSUES)
+    for stemmed in (False, True):
+        content = text_search.document_text(issues.title, issues.body)
+        one_by_one = text_search.positioned_terms(issues, "id", content, stemmed).collect()
+        want = {}
+        for row in one_by_one:
+            want.setdefault((row.term, row.id), []).append(row.pos)
+        for grouped, records in ((1 << 18, 10_000), (3, 4)):
+            monkeypatch.setattr(text_search, "GROUPED_WORDS", grouped)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+            index = text_search.text_index(issues, stemmed)
+            found = index.collect()
+            assert len(found) == len(want) and {(r.term, r.issue_id): r.positions for r in found} == {k: sorted(v) for k, v in want.items()}
+            plan = index._jdf.queryExecution().executedPlan().toString()
+            assert "Aggregate" not in plan and "Generate" not in plan
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
