@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 from itertools import chain, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,15 +60,25 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-@F.pandas_udf(_CUT)
-def _cut_at_spans(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        spans = find_spans(text) if text is not None else []
-        bounds = [0, *chain.from_iterable(span[:2] for span in spans), len(text or "")]
-        pieces = [text[a:b] for a, b in pairwise(bounds)] if text is not None else None
-        rows.append(([kind for _, _, kind in spans], bounds, pieces))
-    return pd.DataFrame(rows, columns=_CUT.names)
+#: Texts that are cut at once: what Python holds beside the Arrow batch does not grow with the batch.
+CUT_TEXTS = 64
+_CUT_ARROW = pa.struct([
+    ("kinds", pa.list_(pa.string())), ("bounds", pa.list_(pa.int32())), ("pieces", pa.list_(pa.string())),
+])
+
+
+def _cut(text: str | None) -> dict:
+    spans = find_spans(text) if text is not None else []
+    bounds = [0, *chain.from_iterable(span[:2] for span in spans), len(text or "")]
+    pieces = [text[a:b] for a, b in pairwise(bounds)] if text is not None else None
+    return {"kinds": [kind for _, _, kind in spans], "bounds": bounds, "pieces": pieces}
+
+
+@F.arrow_udf(_CUT)
+def _cut_at_spans(texts: pa.Array) -> pa.Array:
+    starts = range(0, len(texts), CUT_TEXTS)
+    parts = [pa.array(map(_cut, texts.slice(k, CUT_TEXTS).to_pylist()), type=_CUT_ARROW) for k in starts]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=_CUT_ARROW)
 
 
 def mask_corpus(texts: DataFrame, text: str = "text") -> DataFrame:
