@@ -6,6 +6,7 @@ import os
 
 from issuequarry.operators import text_search
 from issuequarry.operators.postings_index import PostingsIndex
+from issuequarry.session import checkpointed
 
 ISSUES = "id long, title string, body string"
 
@@ -116,3 +117,22 @@ def test_words_are_grouped_where_their_documents_stand(spark, monkeypatch):
             plan = index._jdf.queryExecution().executedPlan().toString()
             assert "Aggregate" not in plan and "Generate" not in plan
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_common_terms_are_looked_up_for_few_candidates(spark, tmp_path):
+    """More terms than ``RAREST``, all but the rarest held by many issues; postings of one segment meet no mask and are not shuffled to be matched."""
+    held = {i: (f"a{i % 2} b{i % 3} c{i % 4}", f"d{i % 5} e{i % 6} everywhere always") for i in range(240)}
+    index = PostingsIndex(spark, str(tmp_path), stemmed=False, buckets=4)
+    index.append(_issues(spark, held))
+    texts = ["a1 b1 c1 d1 e1 everywhere always", "a1 b1 c1 d1 e2", "everywhere", "everywhere always a0", "a0 absent everywhere always", "c3 d4"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    terms = checkpointed(text_search.query_terms(queries, False), "terms")
+    postings, frequency = index.lookup(terms)
+    found = text_search.text_match(postings, terms, frequency)
+    words = {i: set(f"{t} {b}".split()) for i, (t, b) in held.items()}
+    want = {(q, i) for q, t in enumerate(texts) for i, w in words.items() if set(t.split()) <= w}
+    assert {(r.query_id, r.issue_id) for r in found.collect()} == want and len(want) > 240
+    assert all(len(r.hits) == r.n_terms for r in found.collect())
+    assert "/gone/" not in postings._jdf.queryExecution().toString() and "_gone" not in postings._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.df for r in index.blocks(terms)[1].filter("term = 'everywhere'").collect()) == 240
