@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,3 +79,19 @@ def test_budget(spark, text, candidate, budget, ratio, result, edits):
     row = P.edit_budget_gate(df, budget, ratio).first()
     assert (row.result, row.edited_tokens) == (result, edits)
     assert row.total_tokens == len(re.findall(r"\b\w+\b", text))
+
+
+def test_spans_of_a_batch_are_never_all_in_python():
+    """Every text is cut as ``find_spans`` says, and Python holds a few texts at once, whatever the size of the batch."""
+    texts = ["see `run 1` at https://example.com/a or ./src/x.py and ABC-123 since v1.2.3 " * 10, None, "", "plain"] * 1000
+    tracemalloc.start()
+    try:
+        cut = P._cut_at_spans.func(pa.array(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 << 20 and len(cut) == len(texts)
+    for text, row in zip(texts[:8], cut.slice(0, 8).to_pylist()):
+        spans = P.find_spans(text or "")
+        assert row["kinds"] == [kind for _, _, kind in spans]
+        assert row["pieces"] is None if text is None else "".join(row["pieces"]) == text and row["pieces"][1::2] == [text[a:b] for a, b, _ in spans]
