@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from issuequarry.operators import neighbors
@@ -90,3 +91,12 @@ def test_tiles_start_with_the_bound_of_their_chunks(spark):
     asked = neighbors.tiles(pairs, blocks, chunks[0], n_blocks, chunks[1], lasts=lasts)
     known = asked.filter("turn = 0").select("lasts").collect()
     assert known and all(len(r.lasts[0]) and np.isfinite(neighbors._least(r.lasts)).all() for r in known)
+
+
+def test_few_rows_of_a_tile_are_python_objects_at_once():
+    looks = [[{"chunk_id": c, "wants": [c]} for c in range(40)]] * (5 * neighbors.SLICE_ROWS + 3)
+    batch = pa.record_batch({"id": pa.array(range(len(looks))), "looks": pa.array(looks)})
+    parts = [p for p in neighbors._slices(iter([batch.slice(7), batch.slice(0, 0)]))]
+    assert max(map(len, parts)) <= neighbors.SLICE_ROWS
+    assert [i for p in parts for i in p["id"]] == list(range(7, len(looks)))
+    assert list(parts[-1]["looks"].iloc[-1][39]["wants"]) == [39]
