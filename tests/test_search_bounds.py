@@ -100,3 +100,41 @@ def test_few_rows_of_a_tile_are_python_objects_at_once():
     assert max(map(len, parts)) <= neighbors.SLICE_ROWS
     assert [i for p in parts for i in p["id"]] == list(range(7, len(looks)))
     assert list(parts[-1]["looks"].iloc[-1][39]["wants"]) == [39]
+
+
+def _scattered(spark):
+    """Vectors in 160 far cells, so that no chunk of queries holds more than a few; indexed by projections."""
+    draw = np.random.default_rng(11)
+    points = np.repeat(draw.standard_normal((160, 4)) * 50, 3, axis=0) + draw.standard_normal((480, 4)) * 0.01
+    rows = [(n, "ab"[n % 2], v.tolist()) for n, v in enumerate(points.astype(np.float32))]
+    vectors = spark.createDataFrame(rows, "issue_id long, model string, embedding array<float>")
+    return vectors, vectors.withColumnRenamed("issue_id", "query_id"), neighbors.projection_index(vectors, tables=2, projections=3, width=5.0, nearby=2)
+
+
+def test_small_chunks_share_a_row_of_the_grid_and_a_look_at_a_block(spark, monkeypatch):
+    vectors, queries, index = _scattered(spark)
+    chunks = neighbors.pack_queries(queries, index.routers, 16)
+    assert chunks[1] > 2 * neighbors.TILE_ROWS
+    pairs = neighbors.block_pairs(neighbors.probe_cells(chunks[0], index.routers), index.packed[0])
+    work = neighbors.tiles(pairs, index.packed[0], chunks[0], index.packed[1], chunks[1])
+    columns = work.select(*(c for c, kind in work.dtypes if kind != "void")).collect()
+    blocks = [r.id for r in columns if r.turn == 1]
+    assert len(blocks) == len(set(blocks)) < pairs.count()
+    seen, offer = [], neighbors._Best.offer
+    monkeypatch.setattr(neighbors._Best, "offer", lambda self, block, wants=None: (seen.append(len(wants)), offer(self, block, wants))[1])
+    tiles = list(neighbors._searched(iter(work.toArrow().to_batches()), 3, "l2"))
+    assert len(seen) == len(blocks) and sum(seen) == pairs.selectExpr("sum(cn)").first()[0]
+    assert sum(len(list(t.lasts())) for t in tiles) == sum(r.turn == 0 for r in columns)
+
+
+def test_chunks_that_mean_all_their_queries_and_some_that_name_them_meet_the_same_block(spark):
+    draw = np.random.default_rng(13)
+    points = draw.standard_normal((24, 4)).astype(np.float32)
+    keys = np.arange(8)
+    chunks = [SimpleNamespace(id=40 + n, space="s", h1s=keys, h2s=keys + 8 * n, mat=points[8 * n:8 * n + 8].tobytes(), lasts=None) for n in range(3)]
+    tile = neighbors._Tile(chunks, KEEP, "l2")
+    looks = pa.array([None, [], [{"chunk_id": 42, "wants": [7, 0]}, {"chunk_id": 40, "wants": None}]], pa.list_(pa.struct({"chunk_id": pa.int64(), "wants": pa.list_(pa.int32())})))
+    tile.look(_block(points, 0), *neighbors._Looks(looks.slice(1)).at(1))
+    (best,) = tile.bests
+    assert sorted(set(best.rows.tolist())) == [*range(8), 16, 23]
+    assert best.ids.reshape(-1, KEEP).tolist() == _brute(points[[*range(8), 16, 23]], [points], "l2").tolist()
