@@ -138,3 +138,15 @@ def test_chunks_that_mean_all_their_queries_and_some_that_name_them_meet_the_sam
     (best,) = tile.bests
     assert sorted(set(best.rows.tolist())) == [*range(8), 16, 23]
     assert best.ids.reshape(-1, KEEP).tolist() == _brute(points[[*range(8), 16, 23]], [points], "l2").tolist()
+
+
+def test_every_tile_is_a_task_of_its_own(spark):
+    draw = np.random.default_rng(17)
+    rows = [(n, "m", v.tolist()) for n, v in enumerate(draw.standard_normal((400, 4)).astype(np.float32))]
+    vectors = spark.createDataFrame(rows, "issue_id long, model string, embedding array<float>")
+    index = neighbors.ivf_index(vectors, lists=20, nprobe=20)
+    chunks = neighbors.pack_queries(vectors.withColumnRenamed("issue_id", "query_id"), index.routers, 16)
+    pairs = neighbors.block_pairs(neighbors.probe_cells(chunks[0], index.routers), index.packed[0])
+    work = neighbors.tiles(pairs, index.packed[0], chunks[0], index.packed[1], chunks[1])
+    tiles = work.selectExpr("spark_partition_id() AS task", "tile_row", "tile_column").distinct().collect()
+    assert len(tiles) > 8 and len({t.task for t in tiles}) == len(tiles)
