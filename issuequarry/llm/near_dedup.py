@@ -128,12 +128,13 @@ def _facts() -> dict[str, Column]:
     return {"n": F.count(F.lit(1)), "x": F.bit_xor(full), "s": F.sum(full.cast("decimal(20,0)"))}
 
 
-def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and comp, the smallest node of its component, by alternating large and small stars.
 
     Stars are a minimum per node and a join back on it, so a node of any degree is never gathered in one place. The
     minima are written first, so that the edges of a node of high degree can be split at run time.
     """
+    scratch = Scratch(edges.sparkSession) if scratch is None else scratch
     now, seen = scratch.counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", **_facts())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
