@@ -7,10 +7,15 @@ A document's set holds the hashes of its distinct ``SHINGLE``-word shingles; its
    retained values (all but about 3.5 pairs in 10**10 at the threshold; sets of up to 15 shingles always). So it is enough
    to list each class under its rarest values, all but the ``SHARED - 1`` most frequent ones: values of a passage that
    many documents hold are hardly ever used. Lists are rows of a value and a class, without the sketches.
-3. Within a list, pairs are not spelt out. Every class first meets the list's smallest class, so there are no more pairs
-   than list rows; classes already connected are then left alone, and what is outside a list's largest component meets
-   a centre chosen by hash among its own, again and again while that connects at least half of it. What is still apart
-   meets every class of another component; there a pair is a row only under the smallest list that it shares.
+   Lists of more than ``CROWDED`` classes, say of texts that have one passage in common and nothing else, would still
+   cost the square of their size. Their classes are listed anew, under the rarest values of their full sets, all but as
+   many as a similar set must share less one: no link is lost, and a class with enough words of its own takes no list.
+3. Within a list, pairs are not spelt out. Every class first meets the list's class with the most lists, which has the
+   fewest values of its own, so there are no more pairs than list rows; classes already connected are then left alone,
+   and what is outside a list's largest component meets a centre chosen by hash among its own, again and again while
+   that connects at least half of it and all meetings of what is apart would be more than ``MEETINGS`` for each entry of
+   a list. What is still apart meets every class of another component; there a pair is a row only under the smallest
+   list that it shares.
    Two tests keep pairs without a chance from being compared: the parities of ``ODD_BITS`` buckets, which
    differ in no more places than the sets have unshared values (so no link is lost), and the union-sketch estimate.
 4. Survivors are verified on full sets, which only classes in such lists rebuild from their texts, and connected.
@@ -40,6 +45,9 @@ KEPT = 32
 SHARED = 10
 PERCENT = 80
 FILTER_BITS = 22
+CROWDED = 64
+MEETINGS = 64
+LISTS_SEEN = 64
 ODD_BITS = 1024
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -107,6 +115,14 @@ def _sets(shingle: int):
     return full
 
 
+def _exploded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per value of the sets, a set at a time."""
+    for batch in stream:
+        for cid, own in zip(batch.column("cid").to_pylist(), batch.column("shingles")):
+            values = np.frombuffer(own.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), cid)), pa.array(np.full(len(values), len(values))), pa.array(values)], names=["cid", "n", "value"])
+
+
 def _verified(percent: int):
     def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -132,14 +148,18 @@ def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and comp, the smallest node of its component, by alternating large and small stars.
 
     Stars are a minimum per node and a join back on it, so a node of any degree is never gathered in one place. The
-    minima are written first, so that the edges of a node of high degree can be split at run time.
+    minima are written first, so that the edges of a node of high degree can be split at run time. Stars are reached when
+    every node has larger neighbours alone or one neighbour; the minima are the labels then.
     """
     scratch = Scratch(edges.sparkSession) if scratch is None else scratch
-    now, seen = scratch.counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", **_facts())
+    now, before = scratch.counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", **_facts())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        found = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        least, seen = scratch.counted(found, "edges-least", n=F.count_if(F.expr("m < u AND degree > 1")))
+        if not seen.get("n"):
+            break
+        large = both.filter("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = scratch.kept(large, "edges-large")
         fewest = scratch.kept(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
         small = large.join(fewest, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
@@ -147,13 +167,11 @@ def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         ).filter("u <> v").distinct()
         after, facts = scratch.counted(small, "edges", **_facts())
         scratch.drop(now, least, large, fewest)
-        now = after
-        if facts == seen:
-            break
-        seen = facts
-    tops = now.select(F.col("v").alias("u"), "v").distinct()
-    labels = scratch.kept(now.unionByName(tops).select(F.col("u").alias("node"), F.col("v").alias("comp")), "edges-labels")
-    scratch.drop(now)
+        if facts == before:
+            raise RuntimeError("the edges are no stars and do not change")
+        now, before = after, facts
+    labels = scratch.kept(least.select(F.col("u").alias("node"), F.col("m").alias("comp")), "edges-labels")
+    scratch.drop(now, least)
     return labels
 
 
@@ -171,12 +189,11 @@ def _plausible(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Co
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (hits >= F.least(F.lit(SHARED), F.ceil(F.least(na, nb) * percent / 100)))
 
 
-def _listed(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Inverted lists (value, cid): every class under its rarest retained values that another class has too."""
-    postings = classes.select("cid", "n", F.explode("sketch").alias("value"))
+def _listed(postings: DataFrame, needed: Column, scratch: Scratch) -> DataFrame:
+    """Inverted lists (value, cid) of postings (cid, n, value): every class under its rarest values that another class
+    has too, all but ``needed`` less one."""
     shared = scratch.kept(postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "near-shared")
     met = postings.join(shared, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("met"))
-    needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
     rare = F.size("met") - needed + 1  # values of one class alone would come first in the order, and take no list
     entries = met.filter(rare > 0).select("cid", F.explode(F.slice("met", F.lit(1), rare.cast("int"))).alias("e")).select("cid", F.col("e.value").alias("value"))
     entries = scratch.kept(entries, "near-entries")
@@ -186,6 +203,23 @@ def _listed(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return lists
 
 
+def _uncrowded(lists: DataFrame, sets: DataFrame, overlap: Column, scratch: Scratch) -> DataFrame:
+    """The lists of at most ``CROWDED`` classes, and new ones by the full sets for the classes of all others."""
+    counts = lists.groupBy("value").agg(F.count("*").alias("m"))
+    crowded, seen = scratch.counted(counts.filter(F.col("m") > CROWDED).select("value"), "near-crowded", n=F.count(F.lit(1)))
+    if not seen.get("n"):
+        scratch.drop(crowded)
+        return lists
+    hot = lists.join(crowded, "value", "left_semi").select("cid").distinct()
+    full = scratch.kept(sets.join(hot, "cid", "left_semi").mapInArrow(_exploded, "cid bigint, n bigint, value bigint"), "near-full")
+    finer = _listed(full, overlap, scratch)
+    # Values of both kinds of lists are kept apart.
+    renamed = finer.select(F.xxhash64("value").alias("value"), "cid")
+    fewer = scratch.kept(lists.join(crowded, "value", "left_anti").select("value", "cid").unionByName(renamed), "near-lists")
+    scratch.drop(crowded, full, finer, lists)
+    return fewer
+
+
 def _sets_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
     """Full sets (cid, shingles) of the listed classes alone, rebuilt from one document of each.
 
@@ -224,8 +258,10 @@ def _components(docs: DataFrame, shingle: int, percent: int, one_node_per_id: bo
     classes = rows.filter("n > 0").groupBy("hi", "lo", "n", "sketch", "odd").agg(F.min("name").alias("rep"))
     classes = scratch.kept(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     rows_of = classes.select("hi", "lo", "cid")
-    lists = _listed(classes, percent, scratch)
+    overlap = F.ceil(F.col("n") * percent / 100)  # what a set of n values shares with any that is similar enough
+    lists = _listed(classes.select("cid", "n", F.explode("sketch").alias("value")), F.least(F.lit(SHARED), overlap), scratch)
     sets = _sets_of(docs, classes, lists, shingle, scratch)
+    lists = _uncrowded(lists, sets, overlap, scratch)
     known = classes.select("cid", "n", "sketch", "odd")
 
     def fits(a: str, b: str) -> Column:
@@ -251,12 +287,15 @@ def _components(docs: DataFrame, shingle: int, percent: int, one_node_per_id: bo
     def with_all(members: DataFrame, others: DataFrame) -> DataFrame:
         """Every member with every other of its lists and another component; one row a pair, under its smallest list."""
         def side(entries: DataFrame) -> DataFrame:
-            per = entries.groupBy("cid").agg(F.collect_list("value").alias("lists"), F.first("comp").alias("comp"))
-            return per.join(known, "cid").select("*", F.explode("lists").alias("value"))
+            lists = F.slice(F.sort_array(F.collect_list("value")), 1, LISTS_SEEN)
+            per = entries.groupBy("cid").agg(lists.alias("lists"), F.first("comp").alias("comp"))
+            return entries.select("cid", "value").join(per.join(known, "cid"), "cid")
 
         x, y = side(members).alias("x"), side(others).alias("y")
-        once = F.col("x.value") == F.array_min(F.array_intersect("x.lists", "y.lists"))
-        met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y") & once)
+        # Of very many lists a class carries the smallest alone; a pair that meets again beyond them is a row twice.
+        smaller = F.array_min(F.array_intersect("x.lists", "y.lists")) < F.col("x.value")
+        once = ~F.coalesce(smaller, F.lit(False))
+        met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") != F.col("y.comp")) & once & fits("x", "y"))
         return scratch.kept(met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct(), "near-pairs")
 
     def joined(edges: DataFrame, labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -273,22 +312,25 @@ def _components(docs: DataFrame, shingle: int, percent: int, one_node_per_id: bo
         edges = rows_of.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     edges = scratch.kept(edges.distinct(), "near-links")
     member = lists.select("value", "cid", F.col("cid").alias("comp"))
-    centres = member.groupBy("value").agg(F.min("cid").alias("cid")).withColumn("comp", F.col("cid"))
+    often = member.join(lists.groupBy("cid").agg(F.count("*").alias("k")), "cid")
+    centres = often.groupBy("value").agg(F.max_by("cid", F.struct("k", "cid")).alias("cid")).withColumn("comp", F.col("cid"))
     edges, labels = joined(edges, None, with_centres(member, scratch.kept(centres, "near-centres")))
     turn, left = 0, None
     while True:
         placed = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        placed = scratch.kept(placed, "near-placed")
+        placed, entries = scratch.counted(placed, "near-placed", n=F.count(F.lit(1)))
         # Per list: its largest component, and whether there is another.
         sizes = placed.groupBy("value", "comp").agg(F.count("*").alias("size")).groupBy("value").agg(
-            F.max_by("comp", F.struct("size", "comp")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-        sizes = scratch.kept(sizes.select("value", "most"), "near-sizes")
-        still = scratch.kept(placed.join(sizes, "value"), "near-open")
+            F.max_by("comp", F.struct("size", "comp")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("all"), F.max("size").alias("largest"))
+        meetings = F.sum(F.col("all").cast("double") * (F.col("all") - F.col("largest")))
+        sizes, met = scratch.counted(sizes.filter("parts > 1"), "near-sizes", n=meetings)
+        still = scratch.kept(placed.join(sizes.select("value", "most"), "value"), "near-open")
         outside, seen = scratch.counted(still.filter("comp <> most").drop("most"), "near-outside", n=F.count(F.lit(1)))
-        now = seen["n"] or 0
+        now = seen.get("n") or 0
         if not now:
             break
-        if left is not None and 2 * now > left:
+        few = (met.get("n") or 0) <= MEETINGS * entries["n"]
+        if few or left is not None and 2 * now > left:
             edges, labels = joined(edges, labels, with_all(still, outside))
             break
         turn, left = turn + 1, now
