@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from issuequarry.operators import neighbors
+from issuequarry.operators.neighbor_index import StoredIndex
 from issuequarry.operators.segments import Segments
 from issuequarry.session import checkpointed, shuffles_released
 from issuequarry.streaming import jobs
@@ -111,3 +112,24 @@ def test_waves_hold_every_chunk_once_and_read_its_tasks_alone(spark, monkeypatch
         assert {c >> 32 for c in placed} == {r.chunk_id >> 32 for r in wave.chunks.select("chunk_id").collect()}
         first += wave.rows
     assert first == whole.rows == 19
+
+
+def test_the_stored_index_is_searched_in_waves_past_dead_places(spark, tmp_path, monkeypatch):
+    """The search of the embed stream: a batch that replaces vectors, and asks for neighbours in more than one wave."""
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 2)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 8)
+    waves, written = [], neighbors._in_waves
+    monkeypatch.setattr(neighbors, "_in_waves", lambda parts: (waves.append(len(parts)), written(parts))[1])
+    x = np.random.default_rng(31).standard_normal((80, 4)).astype(np.float32)
+    index = StoredIndex(spark, str(tmp_path), keep=4, block_rows=8)
+    index.append(_vectors(spark, x[::-1].copy()))
+    moved = _vectors(spark, x).filter("issue_id < 70")
+    index.append(moved, spark.range(75, 80).select(F.col("id").alias("issue_id")))
+    held = {i: (x[i] if i < 70 else x[79 - i]).astype(np.float64) for i in range(75)}
+    found = index.search(moved.withColumnRenamed("issue_id", "query_id"), 3, exclude_self=True)
+    want = set()
+    for q in range(70):
+        near = sorted((round(float(np.linalg.norm(held[q] - v)), 12), i) for i, v in held.items() if i != q)
+        want |= {(q, i, rank) for rank, (_, i) in enumerate(near[:3], 1)}
+    assert {(r.query_id, r.issue_id, r.rank) for r in found.collect()} == want
+    assert waves == [5]
